@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import lsm_dedup, mixing, url_rules
+from plumbline.llm import line_dedup, lsm_dedup, mixing, simhash, url_rules
 
 QUERIES = {
     "op1_url_filters": url_rules.op1_url_filters,
     "op3_mixing_sources": mixing.op3_mixing_sources,
     "op4_exact_dedup": lsm_dedup.op4_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 SQL = {
