@@ -77,6 +77,10 @@ class Scratch:
         out._plumbline_path = path
         return out
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps now, not when the driver happens to collect its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table made by cut() which nothing reads any more."""
         if path := getattr(df, "_plumbline_path", None):
@@ -145,9 +149,9 @@ FILTER_BITS = 24
 _CHUNK = 15  # log2 of the bits that bitmap_construct_agg holds in one row
 
 
-def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A one-hash Bloom filter of 64-bit keys as at most 512 rows (_f, _bits) of 4 KB: size-bounded, so it may be broadcast."""
-    bit = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """A one-hash Bloom filter of 64-bit keys as at most 2**(bits - 15) rows (_f, _bits) of 4 KB: size-bounded, so it may be broadcast."""
+    bit = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
     k = keys.select(F.shiftright(bit, _CHUNK).alias("_f"), bit.bitwiseAND(F.lit((1 << _CHUNK) - 1)).alias("_b")).distinct()
     return k.groupBy("_f").agg(F.bitmap_construct_agg("_b").alias("_bits"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import embed_dedup, license_scan, line_dedup, lsm_dedup, mixing, simhash, toxicity, url_rules
+from plumbline.llm import embed_dedup, license_scan, line_dedup, lsm_dedup, mixing, simhash, substring_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_url_filters": url_rules.op1_url_filters,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash": simhash.op6_simhash,
     "op7_license_scan": license_scan.op7_license_scan,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
