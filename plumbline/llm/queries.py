@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from plumbline.llm import embed_dedup, license_scan, line_dedup, lsm_dedup, mixing, simhash, substring_dedup, toxicity, url_rules
+from plumbline.llm import embed_dedup, license_scan, line_dedup, lsm_dedup, mixing, simhash, sp_sampling, substring_dedup, toxicity, url_rules
 
 QUERIES = {
     "op1_url_filters": url_rules.op1_url_filters,
+    "op2_sentencepiece": sp_sampling.op2_sentencepiece,
     "op3_mixing_sources": mixing.op3_mixing_sources,
     "op4_exact_dedup": lsm_dedup.op4_exact_dedup,
     "op5_embedding_dedup": embed_dedup.op5_embedding_dedup,
