@@ -156,11 +156,16 @@ def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
     return k.groupBy("_f").agg(F.bitmap_construct_agg("_b").alias("_bits"))
 
 
-def pass_filter(rows: DataFrame, flt: DataFrame, key: str) -> DataFrame:
-    """The rows whose 64-bit key may be among the filter's keys: all that are, and few others."""
+def with_maybe(rows: DataFrame, flt: DataFrame, key: str, name: str = "_maybe") -> DataFrame:
+    """rows with a boolean: whether the row's 64-bit key may be among the filter's keys (true for all that are, and few others)."""
     bit = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     inside = bit.bitwiseAND(F.lit((1 << _CHUNK) - 1))
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("_byte & shiftleft(1, _in_byte)") != 0
-    joined = rows.withColumn("_f2", F.shiftright(bit, _CHUNK)).join(F.broadcast(flt), F.col("_f2") == F.col("_f"))
-    return joined.withColumn("_byte", byte).withColumn("_in_byte", inside.bitwiseAND(F.lit(7)).cast("int")).where(hit).drop("_f", "_f2", "_bits", "_byte", "_in_byte")
+    hit = F.coalesce(F.expr("_byte & shiftleft(1, _in_byte)") != 0, F.lit(False))
+    joined = rows.withColumn("_f2", F.shiftright(bit, _CHUNK)).join(F.broadcast(flt), F.col("_f2") == F.col("_f"), "left")
+    return joined.withColumn("_byte", byte).withColumn("_in_byte", inside.bitwiseAND(F.lit(7)).cast("int")).withColumn(name, hit).drop("_f", "_f2", "_bits", "_byte", "_in_byte")
+
+
+def pass_filter(rows: DataFrame, flt: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the filter's keys."""
+    return with_maybe(rows, flt, key).where("_maybe").drop("_maybe")

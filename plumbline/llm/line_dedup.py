@@ -1,14 +1,15 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
 A line is compared by its set of character shingles: from each word start, SHINGLE code points of the
-lower-cased line (from every position where a line has few word starts for its length). Signatures are
+lower-cased line (from every position where a line has few word starts for its length). Signatures are the
 BANDS * ROWS minima of the shingles' hashes, each under another XOR constant; lines that share a band
 are candidates, and a candidate pair counts when the exact Jaccard similarity of the two sets is
 MIN_SIMILARITY or more. Linked lines form components by star rounds; of each component one line stays in
 the whole corpus, the first by (doc_id, text hash, line number), and the others go.
 
-Distinct lines alone are compared. A band's members are linked through its two ends first; members still
-in different components are then compared with each other, so no link between components is lost.
+Distinct lines alone are compared. A band's members are linked through its two ends and its most frequent
+line first; members still in different components are then compared with each other, so no link between
+components is lost.
 
 Defined results: lines of under MIN_CHARS code points stay and link with nothing, empty ones too; a null
 text stays null; a text that loses every line becomes empty, its row stays; rows alike in id and text get
@@ -20,10 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, ascii_lower, components, key_filter, pass_filter, table
+from plumbline.llm.common import Scratch, components, key_filter, pass_filter, table, with_maybe
 
 SHINGLE, MIN_CHARS, MIN_SIMILARITY = 12, 20, 0.8
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 10, 4
 
 
 def _constants(n: int) -> list[int]:
@@ -38,12 +39,13 @@ def _constants(n: int) -> list[int]:
     return out
 
 
-def shingles(line: str, k: int = SHINGLE):
-    low = ascii_lower(F.col(line))
-    at_words = F.regexp_extract_all(low, F.lit(rf"(?s)(?<!\S)(?=(\S.{{0,{k - 1}}}))"), F.lit(1))
+def with_shingles(lines: DataFrame, line: str = "line", k: int = SHINGLE) -> DataFrame:
+    """lines with an array _sh of the line's shingles."""
+    low = F.lower(line)
+    at_words = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(\S.{{0,{k - 1}}}))\S+"), F.lit(1))
     at_all = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    spaces = F.length(line) - F.length(F.replace(F.col(line), F.lit(" "), F.lit("")))
-    return F.when((spaces + 1) * 24 < F.length(line), at_all).otherwise(at_words)
+    few = F.size("_words") * 24 < F.length(line)
+    return lines.withColumn("_words", at_words).withColumn("_sh", F.when(few, at_all).otherwise(F.col("_words"))).drop("_words")
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -53,39 +55,41 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Rows (lid, chk, n, keys): a distinct line, its count and its bands' keys. One shuffle: the lines are dealt by themselves, and the minima follow where they lie."""
-    distinct = lines.groupBy("line").agg(F.count("*").alias("n"))
-    h = distinct.select("line", "n", F.explode(shingles("line")).alias("s")).select("line", "n", F.xxhash64("s").alias("h"))
-    least = [F.min(F.col("h").bitwiseXOR(F.lit(c))).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))]
-    sig = h.groupBy("line").agg(F.max("n").alias("n"), *least)
+    """Rows (lid, chk, n, keys): a distinct line, its count and its bands' keys. The minima of a line's copies are combined before the one shuffle; no text is shuffled."""
+    each = with_shingles(lines.select("lid", "chk", "line")).select("lid", "chk", F.posexplode("_sh").alias("i", "s"))
+    h = each.select("lid", "chk", "i", F.xxhash64("s").alias("h"))
+    least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 32)).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))]
+    sig = h.groupBy("lid").agg(F.max("chk").alias("chk"), F.count_if(F.col("i") == 0).alias("n"), *least)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
-    return sig.select(F.xxhash64("line").alias("lid"), F.xxhash64(F.lit(7), F.col("line")).alias("chk"), "n", keys.alias("keys"))
+    return sig.select("lid", "chk", "n", keys.alias("keys"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity."""
-    both = pairs.join(sets.select(F.col("lid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("lid").alias("b"), F.col("hs").alias("hb")), "b")
-    common = F.size(F.array_intersect("ha", "hb"))
-    return both.where(common >= F.lit(similarity) * (F.size("ha") + F.size("hb") - common)).select("a", "b")
+def alike(a: str, b: str, similarity: float):
+    common = F.size(F.array_intersect(a, b))
+    return common >= F.lit(similarity) * (F.size(a) + F.size(b) - common)
 
 
 def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Rows (lid, chk, component) of the lines that recur or are linked."""
     sigs = scratch.cut(signatures(lines_of(docs, key, text)))
-    keyed = sigs.select("lid", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo < hi")
-    members = scratch.cut(keyed.join(ends, "key"))
+    keyed = sigs.select("lid", "n", F.explode("keys").alias("key"))
+    # a band's members meet its ends and its most frequent line, which is likely to be the one that the others vary
+    ends = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max_by("lid", "n").alias("mid")).where("lo < hi")
+    members = scratch.cut(keyed.select("key", "lid").join(ends, "key"))
+    scratch.tidy()
     wanted = scratch.cut(members.select("lid").distinct())
-    texts = pass_filter(lines_of(docs, key, text).select("lid", "line"), key_filter(wanted, "lid"), "lid").distinct().join(wanted, "lid", "left_semi")
-    sets = scratch.cut(texts.select("lid", F.array_distinct(F.transform(shingles("line"), lambda s: F.xxhash64(s))).alias("hs")))
-    star = members.select("lid", F.explode(F.array("lo", "hi")).alias("end")).where("lid <> end").select(F.greatest("lid", "end").alias("a"), F.least("lid", "end").alias("b")).distinct()
-    first = scratch.cut(components(verified(star, sets, similarity), scratch))
+    texts = pass_filter(lines_of(docs, key, text).select("lid", "line"), key_filter(wanted, "lid"), "lid").groupBy("lid", "line").count().join(wanted, "lid", "left_semi")
+    sets = scratch.cut(with_shingles(texts).select("lid", F.array_distinct(F.transform("_sh", lambda s: F.xxhash64(s))).alias("hs")))
+    star = members.select("lid", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("lid <> end").select(F.greatest("lid", "end").alias("a"), F.least("lid", "end").alias("b")).distinct()
+    both = star.join(sets.select(F.col("lid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("lid").alias("b"), F.col("hs").alias("hb")), "b")
+    first = scratch.cut(components(both.where(alike("ha", "hb", similarity)).select("a", "b"), scratch))
+    scratch.tidy()
+    # members of a band that are in different components still: compared with each other, within the join, which yields links alone
     held = members.select("key", "lid").join(first, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("c"))
     mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = scratch.cut(held.join(mixed, "key", "left_semi"))
-    left, right = open_.select("key", F.col("lid").alias("a"), F.col("c").alias("ca")), open_.select("key", F.col("lid").alias("b"), F.col("c").alias("cb"))
-    cross = left.join(right, "key").where("ca < cb").select("a", "b").distinct().join(star.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")), (F.greatest("a", "b") == F.col("x")) & (F.least("a", "b") == F.col("y")), "left_anti")
-    more = scratch.cut(verified(cross, sets, similarity))
+    open_ = scratch.cut(held.join(mixed, "key", "left_semi").join(sets, "lid").select("key", "c", "hs"))
+    left, right = open_.select("key", F.col("c").alias("a"), F.col("hs").alias("ha")), open_.select(F.col("key").alias("key2"), F.col("c").alias("b"), F.col("hs").alias("hb"))
+    more = scratch.cut(left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & alike("ha", "hb", similarity)).select("a", "b").distinct())
     linked = first
     if not more.isEmpty():
         linked = scratch.cut(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch))
@@ -97,17 +101,25 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     """docs with the text's repeated lines gone, and _n_lines, _removed (positions from 0)."""
     scratch = Scratch(docs.sparkSession)
     comp = scratch.cut(line_components(docs, key, text, scratch, similarity))
+    scratch.tidy()
     found = pass_filter(lines_of(docs, key, text).select("id", "row", "pos", "lid", "chk"), key_filter(comp, "lid"), "lid")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")
     places = scratch.cut(found.join(comp, ["lid", "chk"]).select("component", "id", "row", "pos"))
     keep = places.groupBy("component").agg(F.min(at).alias("first"))
     gone = places.join(keep, "component").where(~at.eqNullSafe(F.col("first")))
-    removed = scratch.cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("_removed")))
-    out = docs.withColumn("_row", F.xxhash64(text)).join(removed.withColumnRenamed("id", "_id"), F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("row")), "left")
-    out = out.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size("_lines"))).withColumn("_removed", F.coalesce("_removed", F.array().cast("array<int>")))
+    removed = scratch.cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("_gone")))
+    scratch.tidy()
+    # texts that lose nothing stay where they are; the filter lets few of them through to the join
+    flagged = with_maybe(docs.withColumn("_row", F.xxhash64(text)), key_filter(removed, "row"), "_row")
+    split = F.split(text, "\n", -1)
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
+    same = flagged.where("not _maybe").select(*docs.columns, n_lines.alias("_n_lines"), F.array().cast("array<int>").alias("_removed"))
+    met = flagged.where("_maybe").join(removed.withColumnRenamed("id", "_id"), F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("row")), "left")
+    met = met.withColumn("_lines", split).withColumn("_n_lines", n_lines).withColumn("_removed", F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), F.col("_removed"))
     new = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    return out.withColumn(text, F.when(F.size("_removed") == 0, F.col(text)).otherwise(new)).select(*docs.columns, "_n_lines", "_removed")
+    met = met.withColumn(text, F.when(F.size("_removed") == 0, F.col(text)).otherwise(new)).select(*docs.columns, "_n_lines", "_removed")
+    return same.unionByName(met)
 
 
 def op10_line_dedup(spark, sf_dir):
