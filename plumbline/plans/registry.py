@@ -1,4 +1,3 @@
 """Queries by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from plumbline.plans.queries import QUERIES, SQL  # noqa: F401
