@@ -1,14 +1,14 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative a group.
 
 Vectors are compared within a label only. Equal vectors of a label are one class and are compared once.
-Centres are fitted on at most SAMPLE vectors, in number proportional to the classes (CELL classes a cell,
-MAX_CELLS at most). A class lies in the cell of its nearest centre, its home, and is also compared in
-each cell whose bisector with its home is nearer than the greatest distance that a linked pair can have;
-so every linked pair meets in some cell, and recall is 1 by construction, not by luck.
+Centres are fitted on at most SAMPLE vectors; a label uses as many as it has classes for (CELL a cell, to
+the power of two below, MAX_CELLS at most). A class lies in the cell of its nearest centre, its home, and
+visits each earlier cell whose bisector with its home is nearer than the greatest distance that a linked
+pair can have; so every linked pair meets in the earlier of its two homes, and recall is 1 by construction.
 
-A cell's classes are dealt into blocks of BLOCK by hash, and each pair of blocks is a task of its own: a
-product of two matrices, which returns link counts and a spanning forest, never the pairs. A pair is
-counted in the smaller of the two homes where both are compared, so it is counted once.
+A cell's classes are dealt into blocks of BLOCK by hash, residents apart from visitors. Each pair of a
+block of residents and another block is a task of its own: a product of two matrices, which returns link
+counts and a spanning forest, never the pairs. Each pair is met once.
 
 Defined results: a vector that is null, empty, zero, or holds a null or non-finite component links with
 nothing, neither does one without a label; vectors of different lengths never link; a null vec_id links
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch, components, ship, table
 
 MIN_COSINE = 0.98
-SAMPLE, CELL, MAX_CELLS, BLOCK, ROUNDS = 20_000, 1000, 1024, 512, 8
+SAMPLE, CELL, MAX_CELLS, BLOCK, ROUNDS = 20_000, 2000, 1024, 1024, 8
 
 
 def spherical_kmeans(x, k: int, rounds: int = ROUNDS):
@@ -43,7 +43,7 @@ def spherical_kmeans(x, k: int, rounds: int = ROUNDS):
 
 
 def cells_of(unit, centres, reach: float):
-    """For each unit row: its home, and the cells (home among them) where a row within ``reach`` of it may have its home."""
+    """For each unit row: its home, and with it the earlier cells where a row within ``reach`` of it may have its home."""
     import numpy as np
 
     d = unit @ centres.T
@@ -52,6 +52,7 @@ def cells_of(unit, centres, reach: float):
     # distance to the bisector of home and other: (d_home - d_other) / gap; equal centres are no border
     margin = d[np.arange(len(unit)), home][:, None] - d
     inside = margin <= (reach + 1e-9) * gap[home] + 1e-12
+    inside &= np.arange(len(centres))[None, :] < home[:, None]
     inside[np.arange(len(unit)), home] = True
     return home, [np.flatnonzero(r) for r in inside]
 
@@ -74,58 +75,66 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
     # h names a class: 64 bits could meet by chance, so the class is the hash and the vector itself
     classes = good.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.max("h").alias("h"))
     classes = scratch.cut(classes.withColumn("node", F.struct(F.coalesce("least", F.lit(-(2**63))).alias("l"), "h")).withColumn("rid", F.xxhash64("label", "least", "h")))
-    n, dims = classes.count(), [r.d for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(65).collect()]
+    dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(65).collect()]
     if len(dims) > 64:
         raise ValueError("vectors of more than 64 different lengths")
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    k = max(1, min(MAX_CELLS, n // CELL))
+    sizes = classes.groupBy(F.col("label").alias("l"), F.size("v").alias("d")).agg(F.count("*").alias("n"))
+    want = F.least(F.lit(MAX_CELLS), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") / CELL)))).cast("int")))
+    sizes = sizes.withColumn("k", want)
+    counts = sorted({r.k for r in sizes.select("k").distinct().collect()})  # powers of two: eleven at most
     centres = {}
     for d in dims:
-        got = classes.where(F.size("v") == d).orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks().values.to_numpy(zero_copy_only=False).reshape(-1, d)
+        got = classes.where(F.size("v") == d).orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         unit = got / np.linalg.norm(got, axis=1, keepdims=True)
-        centres[d] = spherical_kmeans(unit, min(k, len(unit)))
+        for k in counts:
+            centres[d, k] = spherical_kmeans(unit, min(k, len(unit)))
+
+    def unit_rows(x):
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            vs = [np.asarray(v, np.float64) for v in b.column(3).to_pylist()]
-            at, home, cell = [], [], []
-            for d in sorted({len(v) for v in vs}):
-                idx = np.array([i for i, v in enumerate(vs) if len(v) == d])
-                x = np.stack([vs[i] for i in idx])
-                x = x / np.linalg.norm(x / np.abs(x).max(axis=1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(axis=1, keepdims=True)
-                for s in range(0, len(idx), 4096):
-                    hs, cs = cells_of(x[s : s + 4096], centres[d], reach)
-                    for i, h, c in zip(idx[s : s + 4096], hs, cs):
+            for s in range(0, b.num_rows, 4096):
+                part = b.slice(s, 4096)
+                vs, ks = part.column(3).to_pylist(), part.column(4).to_pylist()
+                at, home, cell = [], [], []
+                for d, k in sorted({(len(v), k) for v, k in zip(vs, ks)}):
+                    idx = [i for i, v in enumerate(vs) if len(v) == d and ks[i] == k]
+                    hs, cs = cells_of(unit_rows(np.array([vs[i] for i in idx], np.float64)), centres[d, k], reach)
+                    for i, h, c in zip(idx, hs.tolist(), cs):
                         at += [i] * len(c)
-                        home += [int(h)] * len(c)
+                        home += [h] * len(c)
                         cell += c.tolist()
-            took = b.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([took.column(0), took.column(1), took.column(2), took.column(3), pa.array(home, pa.int32()), pa.array(cell, pa.int32())], ["rid", "label", "copies", "v", "home", "cell"])
+                took = part.take(pa.array(at, pa.int64()))
+                resident = pa.array(np.array(home) == np.array(cell))
+                yield pa.RecordBatch.from_arrays([*[took.column(i) for i in range(4)], pa.array(cell, pa.int32()), resident], ["rid", "label", "copies", "v", "cell", "resident"])
 
-    placed = scratch.cut(classes.select("rid", "label", "copies", "v").mapInArrow(place, "rid long, label string, copies long, v array<double>, home int, cell int"))
+    asked = classes.join(sizes, (F.col("label") == F.col("l")) & (F.size("v") == F.col("d"))).select("rid", "label", "copies", "v", "k")
+    placed = scratch.cut(asked.mapInArrow(place, "rid long, label string, copies long, v array<double>, cell int, resident boolean"))
     size = F.size("v").alias("d")
-    cells = placed.groupBy("label", size, "cell").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK)).cast("int").alias("blocks"))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).cast("int")
+    cells = placed.groupBy("label", size, "cell").agg(blocks(F.col("resident")).alias("nr"), blocks(~F.col("resident")).alias("nv"))
     # cells are as many as labels times centres: a shuffled join, its rows split where a cell is large
-    dealt = placed.withColumn("d", size).join(cells, ["label", "d", "cell"]).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "rid"), F.col("blocks")).cast("int"))
-    sides = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.withColumn("d", size).join(cells, ["label", "d", "cell"])
+    h = F.xxhash64(F.lit(3), "rid")
+    # blocks of residents are 0 to nr - 1, of visitors nr to nr + nv - 1; a resident block meets every later one and itself
+    dealt = dealt.withColumn("block", F.when(F.col("resident"), F.pmod(h, F.col("nr"))).otherwise(F.col("nr") + F.pmod(h, F.col("nv"))).cast("int"))
+    partner = F.when(F.col("resident"), F.sequence(F.lit(0), F.col("nr") + F.col("nv") - 1)).otherwise(F.sequence(F.lit(0), F.col("nr") - 1))
+    sides = dealt.withColumn("other", F.explode(partner))
     task = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    work = sides.select("label", "d", "cell", task.alias("pair"), "block", "rid", "copies", "home", "v")
+    work = sides.select("label", "d", "cell", task.alias("pair"), "block", "rid", "copies", "v")
 
     def compare(key_, t):
         import pyarrow as pa
 
-        i, j = key_[3].as_py()["i"], key_[3].as_py()["j"]
-        here = key_[2].as_py()
+        i, j, d = key_[3].as_py()["i"], key_[3].as_py()["j"], key_[1].as_py()
         block = t.column("block").to_numpy()
-        rid, copies, home = t.column("rid").to_numpy(), t.column("copies").to_numpy(), t.column("home").to_numpy()
-        d = key_[1].as_py()
-        x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        rid, copies = t.column("rid").to_numpy(), t.column("copies").to_numpy()
+        x = unit_rows(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
         links, parent = np.zeros(len(rid), np.int64), np.arange(len(rid))
 
@@ -139,9 +148,8 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
         for s in range(0, len(a), 256):
             part = a[s : s + 256]
             hit = x[part] @ x[b].T >= cosine
-            # a pair is counted in the cell that is the smaller of the two homes, where both are compared
-            hit &= np.minimum(home[part][:, None], home[b][None, :]) == here
-            hit &= part[:, None] < b[None, :] if i == j else True
+            if i == j:
+                hit &= part[:, None] < b[None, :]
             p, q = np.nonzero(hit)
             p, q = part[p], b[q]
             np.add.at(links, p, copies[q])
