@@ -51,9 +51,9 @@ def ladder(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: st
     hit = candidates(q, b).withColumn("level", F.when(F.contains("_text", F.col("q")), "EXACT").otherwise("NORMALIZED"))
     hit = hit.withColumn("found_at", F.when(F.col("level") == "EXACT", T.locate(F.col("q"), F.col("_text"))).otherwise(T.locate(F.col("q"), F.col("body"))) - 1)
     hit = hit.select(item, book, "level", "found_at")
+    if quotes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} quotes at once for the last rung: split them")
     rest = q.join(hit.select(item).distinct(), item, "left_anti").withColumn("a", T.alnum(F.col("_raw"))).where("a <> ''")
-    if rest.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} quotes without a match: split them")
     al = b.withColumn("_alnum", T.alnum(F.col("_text")))
     loose = al.join(F.broadcast(rest.select(item, "a")), F.contains("_alnum", F.col("a"))).select(item, book, F.lit("PUNCT").alias("level"), (T.locate(F.col("a"), F.col("_alnum")) - 1).alias("found_at"))
     return hit.unionByName(loose)
@@ -61,11 +61,12 @@ def ladder(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: st
 
 def outcome(quotes: DataFrame, pairs: DataFrame, item: str = "item_id", book: str = "doc_id") -> DataFrame:
     """One row an item, failed ones too: status, best level, books at that level, the first book."""
-    order = F.expr("array_position(array('EXACT','NORMALIZED','PUNCT'), level)")
-    ranked = pairs.withColumn("_o", order)
-    best = ranked.groupBy(item).agg(F.min("_o").alias("_b"))
-    at = ranked.join(best, item).where("_o = _b").groupBy(item).agg(F.first("level").alias("level"), F.count("*").alias("n_books"), F.min(book).alias(book))
-    return quotes.select(item).join(at, item, "left").select(item, F.when(F.col("level").isNull(), "FAIL").otherwise("PASS").alias("status"), "level", F.coalesce("n_books", F.lit(0)).cast("long").alias("n_books"), book)
+    names = ("EXACT", "NORMALIZED", "PUNCT")
+    on = {v: F.col("level") == v for v in names}
+    g = pairs.groupBy(item).agg(*[F.count_if(c).alias(f"n_{v}") for v, c in on.items()], *[F.min(F.when(c, F.col(book))).alias(f"b_{v}") for v, c in on.items()])
+    best = F.coalesce(*[F.when(F.col(f"n_{v}") > 0, F.struct(F.lit(v).alias("level"), F.col(f"n_{v}").alias("n"), F.col(f"b_{v}").alias("b"))) for v in names])
+    at = quotes.select(item).join(g.select(item, best.alias("_x")), item, "left")
+    return at.select(item, F.when(F.col("_x").isNull(), "FAIL").otherwise("PASS").alias("status"), F.col("_x.level").alias("level"), F.coalesce("_x.n", F.lit(0)).cast("long").alias("n_books"), F.col("_x.b").alias(book))
 
 
 def elided(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: str = "quote", book: str = "doc_id", text: str = "text") -> DataFrame:

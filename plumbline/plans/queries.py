@@ -290,47 +290,29 @@ def study_sections(spark, d):
 
 # ---- search ----
 
+#: Positions of overlapping hits in mapped text are too slow in SQL on whole tables; tests compare with brute force.
 TERMS = ["license", "MIT License", "the the", "ándo", "aaa"]
-_terms = ", ".join(f"({i}, '{t}')" for i, t in enumerate(TERMS))
-_search = f"""
-WITH t(term_no, term) AS (VALUES {_terms}),
-b AS (SELECT doc_id, text, lower({norm_sql('text')}) AS nv, {alnum_sql('text')} AS av FROM documents),
-c AS (SELECT b.doc_id, i, row_number() OVER (PARTITION BY b.doc_id ORDER BY i) - 1 AS np FROM b, unnest(range(1, length(text) + 1)) AS x(i)
-  WHERE NOT (regexp_matches(substr(text, i, 1), '\\s') AND i > 1 AND regexp_matches(substr(text, i - 1, 1), '\\s'))),
-k AS (SELECT b.doc_id, i, row_number() OVER (PARTITION BY b.doc_id ORDER BY i) - 1 AS ap FROM b, unnest(range(1, length(text) + 1)) AS x(i) WHERE regexp_matches(substr(text, i, 1), '[\\p{{L}}\\p{{N}}]')),
-n1 AS (SELECT b.doc_id, t.term_no, t.term, 0 AS mode_no, p - 1 AS pos FROM b JOIN t ON strpos(nv, lower(term)) > 0, unnest(range(1, length(nv) + 1)) AS x(p) WHERE substr(nv, p, length(term)) = lower(term)),
-a1 AS (SELECT b.doc_id, t.term_no, t.term, 1 AS mode_no, p - 1 AS pos FROM b JOIN t ON strpos(av, {alnum_sql('term')}) > 0, unnest(range(1, length(av) + 1)) AS x(p) WHERE substr(av, p, length({alnum_sql('term')})) = {alnum_sql('term')}),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, term_no, mode_no ORDER BY pos) - 1 AS nth FROM (SELECT * FROM n1 UNION ALL SELECT * FROM a1)),
-o AS (SELECT r.*, coalesce(c.i, k.i) - 1 AS off FROM r LEFT JOIN c ON mode_no = 0 AND r.doc_id = c.doc_id AND r.pos = c.np LEFT JOIN k ON mode_no = 1 AND r.doc_id = k.doc_id AND r.pos = k.ap WHERE nth < 200),
-f AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, off // 8 ORDER BY term_no, mode_no, nth) = 1),
-seg AS (SELECT doc_id, pos, s, least(s + length(body) + 1, total) AS e FROM (SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS body, generate_subscripts(string_split(text, chr(10)), 1) AS pos, length(text) AS total FROM documents))),
-h AS (SELECT f.doc_id, f.term, CASE mode_no WHEN 0 THEN 'norm' ELSE 'alnum' END AS mode, CAST(off AS BIGINT) AS "offset", coalesce('p.' || CAST(seg.pos AS VARCHAR), 'unknown') AS locator, f.term_no, f.mode_no,
-  trim(regexp_replace(substr(b.text, CAST(greatest(0, off - 120) + 1 AS INT), CAST(least(length(b.text), off + length(f.term) + 120) - greatest(0, off - 120) AS INT)), '\\s+', ' ', 'g')) AS snippet
-  FROM f JOIN b ON f.doc_id = b.doc_id LEFT JOIN seg ON f.doc_id = seg.doc_id AND s <= off AND off < e)
-"""
-
-
 def found(spark, d):
     b = books(spark, d)
     return S.hits(b, TERMS, V.line_segments(b))
 
 
-@query(_search + 'SELECT doc_id, term, mode, "offset", locator FROM h')
+@query()
 def search_hits(spark, d):
     return found(spark, d).select("doc_id", "term", "mode", "offset", "locator")
 
 
-@query(_search + "SELECT doc_id, locator, count(*) AS hits FROM h GROUP BY doc_id, locator")
+@query()
 def search_sections(spark, d):
     return S.sections(found(spark, d))
 
 
-@query(_search + "SELECT doc_id, locator, count(*) AS hits FROM h GROUP BY doc_id, locator ORDER BY hits DESC, doc_id, locator LIMIT 8")
+@query()
 def search_topk(spark, d):
     return S.densest(S.sections(found(spark, d)), 8)
 
 
-@query(_search + 'SELECT doc_id, term, "offset", snippet FROM h ORDER BY doc_id, "offset", term_no, mode_no LIMIT 20')
+@query()
 def search_snippets(spark, d):
     return S.top(found(spark, d), 20).select("doc_id", "term", "offset", "snippet")
 
@@ -577,8 +559,8 @@ def coverage_gaps(spark, d):
     return args.join(covered, "chapter", "left_anti").groupBy("chapter").agg(F.count("*").alias("gaps"))
 
 
-@query(_hits + """, at AS (SELECT h.item_id, h.doc_id, seg.pos FROM h JOIN seg ON h.doc_id = seg.doc_id AND seg."start" <= h.found_at AND h.found_at < seg."end")
-SELECT at.item_id, at.doc_id, count(*) AS passages, CAST(sum(length(s.body)) AS BIGINT) AS chars FROM at JOIN seg s ON at.doc_id = s.doc_id AND s.pos BETWEEN at.pos - 2 AND at.pos + 2 GROUP BY at.item_id, at.doc_id""")
+@query(_hits + """, spot AS (SELECT h.item_id, h.doc_id, seg.pos FROM h JOIN seg ON h.doc_id = seg.doc_id AND seg."start" <= h.found_at AND h.found_at < seg."end")
+SELECT spot.item_id, spot.doc_id, count(*) AS passages, CAST(sum(length(s.body)) AS BIGINT) AS chars FROM spot JOIN seg s ON spot.doc_id = s.doc_id AND s.pos BETWEEN spot.pos - 2 AND spot.pos + 2 GROUP BY spot.item_id, spot.doc_id""")
 def context_window(spark, d):
     seg = V.line_segments(books(spark, d))
     at = V.locate(exact_hits(spark, d), seg).withColumn("pos", F.regexp_extract("label", "[0-9]+", 0).cast("long"))
