@@ -69,9 +69,16 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        path = scratch_dir(self.spark)
-        df.write.parquet(path)
+    def cut(self, df: DataFrame, arrow_rows: int | None = None) -> DataFrame:
+        """Writes df and reads it back. ``arrow_rows`` bounds the rows that a Python worker gets at once, for this write."""
+        path, name = scratch_dir(self.spark), "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(name)
+        if arrow_rows:
+            self.spark.conf.set(name, str(arrow_rows))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(name, before)
         _made.append((self.spark, path))
         out = self.spark.read.schema(df.schema).parquet(path)
         out._plumbline_path = path

@@ -137,6 +137,16 @@ def _hit(bits, keys):
     return (bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+#: Texts handled at once: what a worker holds follows from them, not from Arrow's batches.
+ROWS = 256
+
+
+def _parts(batches: Iterator) -> Iterator:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _bodies(batch, column: int):
     for t in batch.column(column):
         v = t.as_py()
@@ -151,12 +161,12 @@ def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
         import numpy as np
         import pyarrow as pa
 
-        for b in batches:
+        for b in _parts(batches):
             got = [core_of(d, c, length, spread) for d in _bodies(b, 2) for c in anchors(d, length, spread)[0].tolist()]
             core, n = np.unique(np.array(got, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n.astype(np.int64))], ["core", "n"])
 
-    again = scratch.cut(docs.mapInArrow(cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"))
+    again = scratch.cut(docs.mapInArrow(cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"), ROWS)
     if again.isEmpty():
         return docs.sparkSession.createDataFrame([], "id long, th long, lo int, hi int")
     scratch.tidy()
@@ -168,7 +178,7 @@ def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
         import numpy as np
         from xxhash import xxh64_intdigest
 
-        for b in batches:
+        for b in _parts(batches):
             for row, d in enumerate(_bodies(b, 2)):
                 c, lo, hi = anchors(d, length, spread)
                 core = np.array([core_of(d, x, length, spread) for x in c.tolist()], np.uint64)
@@ -195,7 +205,7 @@ def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(x, pa.int32()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), signed(k), signed(ctx)], ["id", "th", "c", "lo", "hi", "core", "ctx"])
             rows.clear()
 
-    found = scratch.cut(docs.mapInArrow(places, "id long, th long, c int, lo int, hi int, core long, ctx long"))
+    found = scratch.cut(docs.mapInArrow(places, "id long, th long, c int, lo int, hi int, core long, ctx long"), ROWS)
     dictionary = scratch.cut(found.groupBy("core", "ctx").agg(F.count("*").alias("n")))
     several = dictionary.groupBy("core").agg(F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c0 <> c1").select("core")
     mixed = scratch.cut(dictionary.join(several, "core", "left_semi").select("core", "ctx"))
@@ -218,7 +228,7 @@ def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
             rows.clear()
 
     of = docs.mapInArrow(parts, "core long, ctx long, a0 int, left binary, right binary").distinct()
-    of = scratch.cut(of.join(mixed, ["core", "ctx"], "left_semi"))
+    of = scratch.cut(of.join(mixed, ["core", "ctx"], "left_semi"), ROWS)
     # suffix a of an entry starts a bytes before the core and ends spread - 1 - a bytes after it
     a = F.explode(F.sequence(F.col("a0"), F.length("left"))).alias("a")
     key = F.xxhash64("core", "a", F.substring(F.col("left"), F.length("left") - F.col("a") + 1, F.col("a")), F.substring(F.col("right"), F.lit(1), F.lit(spread - 1) - F.col("a")))
@@ -263,7 +273,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in _parts(batches):
             size, gone, n, sha, sp, kept = [], [], [], [], [], []
             for d, lo, hi in zip(_bodies(b, 1), b.column(2), b.column(3)):
                 starts = ends = np.zeros(0, np.int64)
@@ -279,7 +289,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(sp, kind), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
     out = both.mapInArrow(cut, out_type)
-    return out if with_bytes else out.drop("kept")
+    return scratch.cut(out if with_bytes else out.drop("kept"), ROWS)
 
 
 def op9_substring_dedup(spark, sf_dir):
