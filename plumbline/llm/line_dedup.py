@@ -1,7 +1,8 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line is compared by its set of character shingles: from each word start, SHINGLE code points of the
-lower-cased line (from every position where a line has few word starts for its length). Signatures are the
+A line is compared by its set of character shingles: from the start of each word (at spaces), the first
+SHINGLE code points of it and the next word, lower-cased; SHINGLE code points from every position where a
+line has few spaces for its length. Signatures are the
 BANDS * ROWS minima of the shingles' hashes, each under another XOR constant; lines that share a band
 are candidates, and a candidate pair counts when the exact Jaccard similarity of the two sets is
 MIN_SIMILARITY or more. Linked lines form components by star rounds; of each component one line stays in
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch, components, key_filter, pass_filter, table, with_maybe
 
 SHINGLE, MIN_CHARS, MIN_SIMILARITY = 12, 20, 0.8
-BANDS, ROWS = 10, 4
+BANDS, ROWS = 8, 4
 
 
 def _constants(n: int) -> list[int]:
@@ -40,12 +41,17 @@ def _constants(n: int) -> list[int]:
 
 
 def with_shingles(lines: DataFrame, line: str = "line", k: int = SHINGLE) -> DataFrame:
-    """lines with an array _sh of the line's shingles."""
+    """lines with an array _sh of pairs of neighbouring words (w, x), from which shingle() cuts; single stretches where a line has few words."""
     low = F.lower(line)
-    at_words = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(\S.{{0,{k - 1}}}))\S+"), F.lit(1))
-    at_all = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    few = F.size("_words") * 24 < F.length(line)
-    return lines.withColumn("_words", at_words).withColumn("_sh", F.when(few, at_all).otherwise(F.col("_words"))).drop("_words")
+    at_all = F.transform(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda s: F.struct(s.alias("w"), F.lit("").alias("x")))
+    few = F.size("_w") * 24 < F.length(line)
+    pairs = F.arrays_zip(F.col("_w").alias("w"), F.concat(F.slice("_w", F.lit(2), F.size("_w")), F.array(F.lit(""))).alias("x"))
+    return lines.withColumn("_w", F.split(low, " ")).withColumn("_sh", F.when(few, at_all).otherwise(pairs)).drop("_w")
+
+
+def shingle(s, k: int = SHINGLE):
+    """The hash of the first k code points of a word and the next."""
+    return F.xxhash64(F.substring(F.concat(s["w"], F.lit(" "), s["x"]), 1, k))
 
 
 def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,13 +63,17 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
 def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Rows (lid, chk, n, keys): a distinct line, its count and its bands' keys. The minima of a line's copies are combined before the one shuffle; no text is shuffled."""
     each = with_shingles(lines.select("lid", "chk", "line")).select("lid", "chk", F.posexplode("_sh").alias("i", "s"))
-    h = each.select("lid", "chk", "i", F.xxhash64("s").alias("h"))
+    h = each.select("lid", "chk", "i", shingle(F.col("s")).alias("h"))
     least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 32)).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))]
     sig = h.groupBy("lid").agg(F.max("chk").alias("chk"), F.count_if(F.col("i") == 0).alias("n"), *least)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
     return sig.select("lid", "chk", "n", keys.alias("keys"))
 
 
+def shingle_of(s):
+    return shingle(s)
+
+
 def alike(a: str, b: str, similarity: float):
     common = F.size(F.array_intersect(a, b))
     return common >= F.lit(similarity) * (F.size(a) + F.size(b) - common)
@@ -79,7 +89,7 @@ def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, simi
     scratch.tidy()
     wanted = scratch.cut(members.select("lid").distinct())
     texts = pass_filter(lines_of(docs, key, text).select("lid", "line"), key_filter(wanted, "lid"), "lid").groupBy("lid", "line").count().join(wanted, "lid", "left_semi")
-    sets = scratch.cut(with_shingles(texts).select("lid", F.array_distinct(F.transform("_sh", lambda s: F.xxhash64(s))).alias("hs")))
+    sets = scratch.cut(with_shingles(texts).select("lid", F.array_distinct(F.transform("_sh", shingle_of)).alias("hs")))
     star = members.select("lid", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("lid <> end").select(F.greatest("lid", "end").alias("a"), F.least("lid", "end").alias("b")).distinct()
     both = star.join(sets.select(F.col("lid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("lid").alias("b"), F.col("hs").alias("hb")), "b")
     first = scratch.cut(components(both.where(alike("ha", "hb", similarity)).select("a", "b"), scratch))
@@ -114,7 +124,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
     split = F.split(text, "\n", -1)
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
     same = flagged.where("not _maybe").select(*docs.columns, n_lines.alias("_n_lines"), F.array().cast("array<int>").alias("_removed"))
-    met = flagged.where("_maybe").join(removed.withColumnRenamed("id", "_id"), F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("row")), "left")
+    met = flagged.where("_maybe").join(removed.withColumnsRenamed({"id": "_gone_id", "row": "_gone_row"}), F.col(key).cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left")
     met = met.withColumn("_lines", split).withColumn("_n_lines", n_lines).withColumn("_removed", F.coalesce("_gone", F.array().cast("array<int>")))
     kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), F.col("_removed"))
     new = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
