@@ -1,8 +1,9 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line is compared by its set of character shingles: from the start of each word (at spaces), the first
-SHINGLE code points of it and the next word, lower-cased; SHINGLE code points from every position where a
-line has few spaces for its length. Signatures are the
+A line is compared by its set of character shingles, lower-cased: SHINGLE code points from every position
+of the whole line (``whole``, which the query and the pipeline take). Without ``whole``: from the start of
+each word (at spaces), the first SHINGLE code points of it and the next word, and from every position where
+a line has few spaces for its length; what follows the 12th code point of a word is then not compared. Signatures are the
 BANDS * ROWS minima of the shingles' hashes, each under another XOR constant; lines that share a band
 are candidates, and a candidate pair counts when the exact Jaccard similarity of the two sets is
 MIN_SIMILARITY or more. Linked lines form components by star rounds; of each component one line stays in
@@ -26,6 +27,8 @@ from plumbline.llm.common import Scratch, components, key_filter, pass_filter, t
 
 SHINGLE, MIN_CHARS, MIN_SIMILARITY = 12, 20, 0.8
 BANDS, ROWS = 8, 4
+#: Places of shingles in a stretch of a line that is cut at once.
+BLOCK = 64
 
 
 def _constants(n: int) -> list[int]:
@@ -60,28 +63,47 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return cut.where(F.length("line") >= MIN_CHARS).withColumn("lid", F.xxhash64("line")).withColumn("chk", F.xxhash64(F.lit(7), F.col("line")))
 
 
-def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def with_blocks(lines: DataFrame, line: str = "line", k: int = SHINGLE) -> DataFrame:
+    """lines with an array _bl of stretches of the line, lower-cased, that hold each k code points of it once. Cutting within a short stretch keeps the work linear in the line's length."""
+    return lines.withColumn("_bl", F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{{k},{BLOCK + k - 1}}})).{{1,{BLOCK}}}"), F.lit(1)))
+
+
+def beginnings(block, k: int = SHINGLE):
+    """The places in a stretch, from 1, where a shingle begins."""
+    return F.sequence(F.lit(1), F.length(block) - (k - 1))
+
+
+def with_set(rows: DataFrame, line: str, name: str, whole: bool) -> DataFrame:
+    """rows with the set of the hashes of a line's shingles."""
+    if not whole:
+        return with_shingles(rows, line).withColumn(name, F.array_distinct(F.transform("_sh", lambda s: shingle(s)))).drop("_sh")
+    at = F.flatten(F.transform("_bl", lambda x: F.transform(beginnings(x), lambda p: F.xxhash64(F.substring(x, p, F.lit(SHINGLE))))))
+    return with_blocks(rows, line).withColumn(name, F.array_distinct(at)).drop("_bl")
+
+
+def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, whole: bool = False) -> DataFrame:
     """Rows (lid, chk, n, keys): a distinct line, its count and its bands' keys. The minima of a line's copies are combined before the one shuffle; no text is shuffled."""
-    each = with_shingles(lines.select("lid", "chk", "line")).select("lid", "chk", F.posexplode("_sh").alias("i", "s"))
-    h = each.select("lid", "chk", "i", shingle(F.col("s")).alias("h"))
+    if whole:
+        cut = with_blocks(lines.select("lid", "chk", "line")).select("lid", "chk", F.posexplode("_bl").alias("j", "x"))
+        each = cut.select("lid", "chk", "j", "x", F.explode(beginnings(F.col("x"))).alias("p"))
+        h = each.select("lid", "chk", F.when(F.col("j") == 0, F.col("p") - 1).otherwise(1).alias("i"), F.xxhash64(F.substring(F.col("x"), F.col("p"), F.lit(SHINGLE))).alias("h"))
+    else:
+        each = with_shingles(lines.select("lid", "chk", "line")).select("lid", "chk", F.posexplode("_sh").alias("i", "s"))
+        h = each.select("lid", "chk", "i", shingle(F.col("s")).alias("h"))
     least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 32)).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))]
     sig = h.groupBy("lid").agg(F.max("chk").alias("chk"), F.count_if(F.col("i") == 0).alias("n"), *least)
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
     return sig.select("lid", "chk", "n", keys.alias("keys"))
 
 
-def shingle_of(s):
-    return shingle(s)
-
-
 def alike(a: str, b: str, similarity: float):
     common = F.size(F.array_intersect(a, b))
     return common >= F.lit(similarity) * (F.size(a) + F.size(b) - common)
 
 
-def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY) -> DataFrame:
+def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY, whole: bool = False) -> DataFrame:
     """Rows (lid, chk, component) of the lines that recur or are linked."""
-    sigs = scratch.cut(signatures(lines_of(docs, key, text)))
+    sigs = scratch.cut(signatures(lines_of(docs, key, text), whole=whole))
     keyed = sigs.select("lid", "n", F.explode("keys").alias("key"))
     # a band's members meet its ends and its most frequent line, which is likely to be the one that the others vary
     ends = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max_by("lid", "n").alias("mid")).where("lo < hi")
@@ -89,15 +111,17 @@ def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, simi
     scratch.tidy()
     wanted = scratch.cut(members.select("lid").distinct())
     texts = pass_filter(lines_of(docs, key, text).select("lid", "line"), key_filter(wanted, "lid"), "lid").groupBy("lid", "line").count().join(wanted, "lid", "left_semi")
-    sets = scratch.cut(with_shingles(texts).select("lid", F.array_distinct(F.transform("_sh", shingle_of)).alias("hs")))
+    lines = scratch.cut(texts.select("lid", "line"))  # a line is several times smaller than its set, so sets are made where they are compared
     star = members.select("lid", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("lid <> end").select(F.greatest("lid", "end").alias("a"), F.least("lid", "end").alias("b")).distinct()
-    both = star.join(sets.select(F.col("lid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("lid").alias("b"), F.col("hs").alias("hb")), "b")
+    both = star.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
+    both = with_set(with_set(both, "la", "ha", whole), "lb", "hb", whole)
     first = scratch.cut(components(both.where(alike("ha", "hb", similarity)).select("a", "b"), scratch))
     scratch.tidy()
     # members of a band that are in different components still: compared with each other, within the join, which yields links alone
     held = members.select("key", "lid").join(first, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("c"))
     mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = scratch.cut(held.join(mixed, "key", "left_semi").join(sets, "lid").select("key", "c", "hs"))
+    open_ = scratch.cut(held.join(mixed, "key", "left_semi").join(lines, "lid").select("key", "c", "line"))
+    open_ = with_set(open_.repartition("key"), "line", "hs", whole)
     left, right = open_.select("key", F.col("c").alias("a"), F.col("hs").alias("ha")), open_.select(F.col("key").alias("key2"), F.col("c").alias("b"), F.col("hs").alias("hb"))
     more = scratch.cut(left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & alike("ha", "hb", similarity)).select("a", "b").distinct())
     linked = first
@@ -107,10 +131,10 @@ def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, simi
     return of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY, whole: bool = False) -> DataFrame:
     """docs with the text's repeated lines gone, and _n_lines, _removed (positions from 0)."""
     scratch = Scratch(docs.sparkSession)
-    comp = scratch.cut(line_components(docs, key, text, scratch, similarity))
+    comp = scratch.cut(line_components(docs, key, text, scratch, similarity, whole))
     scratch.tidy()
     found = pass_filter(lines_of(docs, key, text).select("id", "row", "pos", "lid", "chk"), key_filter(comp, "lid"), "lid")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")
@@ -133,5 +157,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
 
 def op10_line_dedup(spark, sf_dir):
-    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return d.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

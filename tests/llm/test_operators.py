@@ -175,6 +175,20 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_compares_whole_lines(spark):
+    link = "see https://example.com/"
+    clean = [link + "page/one", link + "other?id=9", "あいうえおかきくけこさし" + "すせそたちつてとな", "あいうえおかきくけこさし" + "はひふへほまみむめも"]
+    base = words(80)
+    near = [base, base[:150] + "q" + base[150:], base[:-2], "".join(random.choice("abcdefgh") for _ in range(300))]
+    near.append(near[3][:140] + "Z" + near[3][141:])
+    lines = clean + near
+    sets = [{x.lower()[i : i + 12] for i in range(len(x) - 11)} for x in lines]
+    comp = union_find(len(lines), [(a, b) for a in range(len(lines)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    gone = {r.doc_id for r in line_dedup.dedup_lines(df, whole=True).collect() if r._removed}
+    assert gone == {i for i, c in enumerate(comp) if c != i} == {5, 6, 8}
+
+
 def test_license_scan(spark, docs, empty):
     table = [(r["id"], r["label"], re.compile(r["pattern"]), r["priority"]) for r in license_scan.rules()]
     assert len(table) > 200
