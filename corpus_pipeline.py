@@ -13,7 +13,8 @@ from plumbline.llm import line_dedup, mixing, simhash, sp_sampling, toxicity
 from plumbline.llm.common import Scratch, table
 
 #: The near-dedup stage: shingles of five words; six bits of 64 differ where about one shingle in twenty does.
-SHINGLE, DISTANCE = 5, 6
+#: Pairs that differ in more bits are met by MinHash keys and linked where the exact Jaccard similarity is SIMILARITY or more.
+SHINGLE, DISTANCE, SIMILARITY = 5, 6, 0.8
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    groups = simhash.groups(docs, shingle=SHINGLE, distance=DISTANCE)
+    groups = simhash.groups(docs, shingle=SHINGLE, distance=DISTANCE, similarity=SIMILARITY)
     gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs.doc_id.eqNullSafe(F.col("gone")), "left_anti")
 

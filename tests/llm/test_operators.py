@@ -135,6 +135,28 @@ def test_simhash(spark, docs, empty, shingle, distance):
     assert simhash.groups(empty).count() == 0
 
 
+def test_pipeline_near_copies(spark):
+    import corpus_pipeline
+
+    texts = {}
+    for g in range(8):
+        base = words(400).split()
+        texts[10 * g] = " ".join(base)
+        for c in range(1, 4):
+            w = list(base)
+            for at in random.sample(range(5, 395), 2 * c + 1):
+                w[at] = f"new{at}"
+            texts[10 * g + c] = " ".join(w)
+    texts |= {900: None, 901: "one two"}
+    sets = {i: {tuple((t or "").split()[j : j + 5]) for j in range(max(1, len((t or "").split()) - 4))} for i, t in texts.items()}
+    ids = sorted(texts)
+    near = [(a, b) for a in range(len(ids)) for b in range(a) if len(sets[ids[a]] & sets[ids[b]]) >= 0.8 * len(sets[ids[a]] | sets[ids[b]])]
+    comp = union_find(len(ids), near)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()}
+    assert kept == {ids[k] for k, c in enumerate(comp) if c == k} and len(kept) == 10
+
+
 def line_set(line):
     low = line.lower()
     w = low.split(" ")
