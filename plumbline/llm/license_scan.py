@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
 Texts are lower-cased (A-Z) and cut in words, joined by single spaces. A gate of a few substrings picks
-texts that can hold a license notice; a family's keyword picks its rules; only those rules' regexes run.
+texts that can hold a license notice; a family's keywords pick its rules; only those rules' regexes run.
 Detections are ordered by start, length, priority and rule; one that lies within an earlier one is
 suppressed. Positions are word numbers from 0.
 
@@ -24,63 +24,63 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrase: label. Fixed by the contract.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: label, keyword, name as a regex over words, identifier as a regex over words.
+#: label, keywords (every alternative of the name holds one), name as a regex over words, identifier as a regex over words.
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat)", "mit(?: 0)?"),
-    ("apache", "apache", "apache(?: software)?", "apache [0-9]+(?: [0-9]+)?"),
-    ("gpl", "general public", "(?:gnu )?general public", "gpl [0-9]+(?: [0-9]+)?(?: only| or later)?"),
-    ("gpl", "gpl", "(?:gnu )?gpl", "gpl [0-9]+"),
-    ("lgpl", "lesser general public", "(?:gnu )?(?:lesser|library) general public", "lgpl [0-9]+(?: [0-9]+)?(?: only| or later)?"),
-    ("lgpl", "lgpl", "(?:gnu )?lgpl", "lgpl [0-9]+"),
-    ("agpl", "affero", "(?:gnu )?affero general public", "agpl [0-9]+(?: [0-9]+)?(?: only| or later)?"),
-    ("agpl", "agpl", "(?:gnu )?agpl", "agpl [0-9]+"),
-    ("bsd", "bsd", "(?:new |modified |simplified |revised |original )?(?:[0-9] clause )?bsd", "(?:0bsd|bsd [0-9] clause)"),
-    ("isc", "isc", "isc", "isc"),
-    ("mpl", "mozilla", "mozilla public", "mpl [0-9]+(?: [0-9]+)?"),
-    ("mpl", "mpl", "mpl", "mpl [0-9]+"),
-    ("epl", "eclipse", "eclipse public", "epl [0-9]+(?: [0-9]+)?"),
-    ("edl", "eclipse distribution", "eclipse distribution", "edl [0-9]+"),
-    ("cddl", "common development", "common development and distribution", "cddl [0-9]+(?: [0-9]+)?"),
-    ("cpl", "common public", "common public", "cpl [0-9]+(?: [0-9]+)?"),
-    ("cc-by", "creative commons", "creative commons attribution(?: share ?alike| non ?commercial| no ?derivatives)*", "cc by(?: nc| sa| nd)*(?: [0-9]+)*"),
-    ("cc0", "cc0", "cc0", "cc0 [0-9]+(?: [0-9]+)?"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "wtf", "(?:wtfpl|do what the fuck you want to public)", "wtfpl"),
-    ("zlib", "zlib", "zlib(?: libpng)?", "zlib"),
-    ("libpng", "libpng", "libpng", "libpng(?: [0-9]+)*"),
-    ("artistic", "artistic", "(?:perl )?artistic", "artistic [0-9]+(?: [0-9]+)?"),
-    ("boost", "boost", "boost(?: software)?", "bsl [0-9]+(?: [0-9]+)?"),
-    ("busl", "business source", "business source", "busl [0-9]+(?: [0-9]+)?"),
-    ("postgresql", "postgresql", "postgresql", "postgresql"),
-    ("python", "python", "python(?: software foundation)?", "(?:psf|python) [0-9]+(?: [0-9]+)?"),
-    ("ofl", "open font", "(?:sil )?open font", "ofl [0-9]+(?: [0-9]+)?"),
-    ("eupl", "european union public", "european union public", "eupl [0-9]+(?: [0-9]+)?"),
-    ("ms-pl", "microsoft public", "microsoft public", "ms pl"),
-    ("ms-rl", "microsoft reciprocal", "microsoft reciprocal", "ms rl"),
-    ("apsl", "apple public", "apple public source", "apsl [0-9]+(?: [0-9]+)?"),
-    ("ipl", "ibm public", "ibm public", "ipl [0-9]+(?: [0-9]+)?"),
-    ("qpl", "q public", "q public", "qpl [0-9]+(?: [0-9]+)?"),
-    ("sleepycat", "sleepycat", "sleepycat", "sleepycat"),
-    ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
-    ("afl", "academic free", "academic free", "afl [0-9]+(?: [0-9]+)?"),
-    ("osl", "open software", "open software", "osl [0-9]+(?: [0-9]+)?"),
-    ("php", "php", "php", "php [0-9]+(?: [0-9]+)?"),
-    ("ruby", "ruby", "ruby", "ruby"),
-    ("vim", "vim", "vim", "vim"),
-    ("x11", "x11", "x11", "x11"),
-    ("openssl", "openssl", "openssl", "openssl"),
-    ("curl", "curl", "curl", "curl"),
-    ("ntp", "ntp", "ntp", "ntp"),
-    ("beerware", "beerware", "beerware", "beerware"),
-    ("upl", "universal permissive", "universal permissive", "upl [0-9]+(?: [0-9]+)?"),
-    ("odbl", "open database", "open database", "odbl [0-9]+(?: [0-9]+)?"),
-    ("gfdl", "free documentation", "(?:gnu )?free documentation", "gfdl [0-9]+(?: [0-9]+)?"),
-    ("cecill", "cecill", "cecill", "cecill(?: [a-c0-9]+)*"),
-    ("mulan", "mulan", "mulan(?: permissive software)?", "mulanpsl [0-9]+(?: [0-9]+)?"),
-    ("json", "json", "json", "json"),
-    ("elastic", "elastic", "elastic", "elastic [0-9]+(?: [0-9]+)?"),
-    ("sspl", "server side public", "server side public", "sspl [0-9]+(?: [0-9]+)?"),
-    ("mspl", "open public", "open public", "opl [0-9]+(?: [0-9]+)?"),
+    ("mit", ("mit", "expat"), "(?:mit|expat)", "mit(?: 0)?"),
+    ("apache", ("apache",), "apache(?: software)?", "apache [0-9]+(?: [0-9]+)?"),
+    ("gpl", ("general public",), "(?:gnu )?general public", "gpl [0-9]+(?: [0-9]+)?(?: only| or later)?"),
+    ("gpl", ("gpl",), "(?:gnu )?gpl", "gpl [0-9]+"),
+    ("lgpl", ("lesser general public", "library general public"), "(?:gnu )?(?:lesser|library) general public", "lgpl [0-9]+(?: [0-9]+)?(?: only| or later)?"),
+    ("lgpl", ("lgpl",), "(?:gnu )?lgpl", "lgpl [0-9]+"),
+    ("agpl", ("affero",), "(?:gnu )?affero general public", "agpl [0-9]+(?: [0-9]+)?(?: only| or later)?"),
+    ("agpl", ("agpl",), "(?:gnu )?agpl", "agpl [0-9]+"),
+    ("bsd", ("bsd",), "(?:new |modified |simplified |revised |original )?(?:[0-9] clause )?bsd", "(?:0bsd|bsd [0-9] clause)"),
+    ("isc", ("isc",), "isc", "isc"),
+    ("mpl", ("mozilla",), "mozilla public", "mpl [0-9]+(?: [0-9]+)?"),
+    ("mpl", ("mpl",), "mpl", "mpl [0-9]+"),
+    ("epl", ("eclipse",), "eclipse public", "epl [0-9]+(?: [0-9]+)?"),
+    ("edl", ("eclipse distribution",), "eclipse distribution", "edl [0-9]+"),
+    ("cddl", ("common development",), "common development and distribution", "cddl [0-9]+(?: [0-9]+)?"),
+    ("cpl", ("common public",), "common public", "cpl [0-9]+(?: [0-9]+)?"),
+    ("cc-by", ("creative commons",), "creative commons attribution(?: share ?alike| non ?commercial| no ?derivatives)*", "cc by(?: nc| sa| nd)*(?: [0-9]+)*"),
+    ("cc0", ("cc0",), "cc0", "cc0 [0-9]+(?: [0-9]+)?"),
+    ("unlicense", ("unlicense",), "(?:the )?unlicense", "unlicense"),
+    ("wtfpl", ("wtf", "you want to public"), "(?:wtfpl|do what the fuck you want to public)", "wtfpl"),
+    ("zlib", ("zlib",), "zlib(?: libpng)?", "zlib"),
+    ("libpng", ("libpng",), "libpng", "libpng(?: [0-9]+)*"),
+    ("artistic", ("artistic",), "(?:perl )?artistic", "artistic [0-9]+(?: [0-9]+)?"),
+    ("boost", ("boost",), "boost(?: software)?", "bsl [0-9]+(?: [0-9]+)?"),
+    ("busl", ("business source",), "business source", "busl [0-9]+(?: [0-9]+)?"),
+    ("postgresql", ("postgresql",), "postgresql", "postgresql"),
+    ("python", ("python",), "python(?: software foundation)?", "(?:psf|python) [0-9]+(?: [0-9]+)?"),
+    ("ofl", ("open font",), "(?:sil )?open font", "ofl [0-9]+(?: [0-9]+)?"),
+    ("eupl", ("european union public",), "european union public", "eupl [0-9]+(?: [0-9]+)?"),
+    ("ms-pl", ("microsoft public",), "microsoft public", "ms pl"),
+    ("ms-rl", ("microsoft reciprocal",), "microsoft reciprocal", "ms rl"),
+    ("apsl", ("apple public",), "apple public source", "apsl [0-9]+(?: [0-9]+)?"),
+    ("ipl", ("ibm public",), "ibm public", "ipl [0-9]+(?: [0-9]+)?"),
+    ("qpl", ("q public",), "q public", "qpl [0-9]+(?: [0-9]+)?"),
+    ("sleepycat", ("sleepycat",), "sleepycat", "sleepycat"),
+    ("ncsa", ("ncsa",), "(?:university of illinois )?ncsa(?: open source)?", "ncsa"),
+    ("afl", ("academic free",), "academic free", "afl [0-9]+(?: [0-9]+)?"),
+    ("osl", ("open software",), "open software", "osl [0-9]+(?: [0-9]+)?"),
+    ("php", ("php",), "php", "php [0-9]+(?: [0-9]+)?"),
+    ("ruby", ("ruby",), "ruby", "ruby"),
+    ("vim", ("vim",), "vim", "vim"),
+    ("x11", ("x11",), "x11", "x11"),
+    ("openssl", ("openssl",), "openssl", "openssl"),
+    ("curl", ("curl",), "curl", "curl"),
+    ("ntp", ("ntp",), "ntp", "ntp"),
+    ("beerware", ("beerware",), "beerware", "beerware"),
+    ("upl", ("universal permissive",), "universal permissive", "upl [0-9]+(?: [0-9]+)?"),
+    ("odbl", ("open database",), "open database", "odbl [0-9]+(?: [0-9]+)?"),
+    ("gfdl", ("free documentation",), "(?:gnu )?free documentation", "gfdl [0-9]+(?: [0-9]+)?"),
+    ("cecill", ("cecill",), "cecill", "cecill(?: [a-c0-9]+)*"),
+    ("mulan", ("mulan",), "mulan(?: permissive software)?", "mulanpsl [0-9]+(?: [0-9]+)?"),
+    ("json", ("json",), "json", "json"),
+    ("elastic", ("elastic",), "elastic", "elastic [0-9]+(?: [0-9]+)?"),
+    ("sspl", ("server side public",), "server side public", "sspl [0-9]+(?: [0-9]+)?"),
+    ("mspl", ("open public",), "open public", "opl [0-9]+(?: [0-9]+)?"),
 )
 LICENSE = "licen[cs]e"
 #: pattern with {name} or {id}, priority, weight.
@@ -100,13 +100,13 @@ MARK = "\x01"
 def rules() -> list[dict]:
     out = []
     for pattern, priority, weight in TEMPLATES:
-        for label, keyword, name, spdx in FAMILIES:
-            word = keyword if "{name}" in pattern else "spdx"
-            out.append({"id": len(out), "label": label, "keyword": word, "pattern": "(?<= )" + pattern.replace("{name}", name).replace("{id}", spdx) + "(?= )", "priority": priority, "weight": weight})
+        for label, keywords, name, spdx in FAMILIES:
+            words = list(keywords) if "{name}" in pattern else ["spdx"]
+            out.append({"id": len(out), "label": label, "keywords": words, "pattern": "(?<= )" + pattern.replace("{name}", name).replace("{id}", spdx) + "(?= )", "priority": priority, "weight": weight})
     return out
 
 
-RULE_TYPE = "struct<id:int,label:string,keyword:string,pattern:string,priority:int,weight:double>"
+RULE_TYPE = "struct<id:int,label:string,keywords:array<string>,pattern:string,priority:int,weight:double>"
 
 
 def normal(text: Column) -> Column:
@@ -126,9 +126,9 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     for g in GATE:
         any_gate = any_gate | F.contains("_norm", F.lit(g))
     table_ = rules()
-    words = sorted({r["keyword"] for r in table_})
+    words = sorted({w for r in table_ for w in r["keywords"]})
     held = F.filter(F.from_json(F.lit(json.dumps(words)), "array<string>"), lambda k: F.contains("_norm", k))
-    active = F.filter(F.from_json(F.lit(json.dumps(table_)), f"array<{RULE_TYPE}>"), lambda r: F.array_contains("_held", r["keyword"]))
+    active = F.filter(F.from_json(F.lit(json.dumps(table_)), f"array<{RULE_TYPE}>"), lambda r: F.arrays_overlap("_held", r["keywords"]))
 
     def found(r):
         hits = F.regexp_extract_all("_norm", r["pattern"], F.lit(0))
