@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 
-#: A side of at most this many rows is broadcast, after a count; a larger one is met by blocking alone.
+#: A side of at most this many rows is broadcast, after a count; a larger one is met by blocking, or in blocks of so many rows.
 BROADCAST_ROWS = 20_000
 GRAM = 5
 
@@ -18,12 +20,22 @@ def _grams(words):
     return F.array_distinct(F.transform(rows, lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(GRAM)])))
 
 
+def _blocks(rows: DataFrame, n: int | None = None) -> list[DataFrame]:
+    """rows in blocks of about half of BROADCAST_ROWS, dealt by hash; in one where they are few, in none where n, their greatest number, is 0."""
+    n = rows.count() if n is None else n
+    if n <= BROADCAST_ROWS:
+        return [rows] if n else []
+    k = -(-2 * n // BROADCAST_ROWS)
+    dealt = F.pmod(F.xxhash64(*rows.columns), F.lit(k))
+    return [rows.where(dealt == i) for i in range(k)]
+
+
 def candidates(quotes: DataFrame, books: DataFrame, quote: str = "q", body: str = "body") -> DataFrame:
     """Pairs (quote row, book row) with ``body`` containing ``quote``, both normalised to single spaces.
 
     A quote of seven words or more meets books by the hash of its words 2 to 6, which stand whole in any
-    text that holds it. Shorter quotes have no such gram: they are broadcast where a count allows, else
-    dealt over the books by a salted join.
+    text that holds it. Shorter quotes have no such gram: they are broadcast, in blocks where a count
+    finds many.
     """
     q = quotes.withColumn("_w", F.split(quote, " "))
     long_ = q.where(F.size("_w") >= GRAM + 2).withColumn("_g", F.xxhash64(*[F.get("_w", F.lit(i + 1)) for i in range(GRAM)])).drop("_w")
@@ -31,12 +43,9 @@ def candidates(quotes: DataFrame, books: DataFrame, quote: str = "q", body: str
     few = long_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     grams = books.withColumn("_w", F.split(body, " ")).withColumn("_g", F.explode(_grams(F.col("_w")))).drop("_w")
     met = grams.join(F.broadcast(long_) if few else long_, "_g").drop("_g").where(F.contains(body, F.col(quote)))
-    n_short = short.limit(BROADCAST_ROWS + 1).count()
-    if not n_short:
-        return met
-    if n_short > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} quotes of under {GRAM + 2} words: split them")
-    return met.unionByName(books.join(F.broadcast(short), F.contains(body, F.col(quote))))
+    for block in _blocks(short):
+        met = met.unionByName(books.join(F.broadcast(block), F.contains(body, F.col(quote))))
+    return met
 
 
 def ladder(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: str = "quote", book: str = "doc_id", text: str = "text") -> DataFrame:
@@ -51,12 +60,13 @@ def ladder(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: st
     hit = candidates(q, b).withColumn("level", F.when(F.contains("_text", F.col("q")), "EXACT").otherwise("NORMALIZED"))
     hit = hit.withColumn("found_at", F.when(F.col("level") == "EXACT", T.locate(F.col("q"), F.col("_text"))).otherwise(T.locate(F.col("q"), F.col("body"))) - 1)
     hit = hit.select(item, book, "level", "found_at")
-    if quotes.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} quotes at once for the last rung: split them")
     rest = q.join(hit.select(item).distinct(), item, "left_anti").withColumn("a", T.alnum(F.col("_raw"))).where("a <> ''")
     al = b.withColumn("_alnum", T.alnum(F.col("_text")))
-    loose = al.join(F.broadcast(rest.select(item, "a")), F.contains("_alnum", F.col("a"))).select(item, book, F.lit("PUNCT").alias("level"), (T.locate(F.col("a"), F.col("_alnum")) - 1).alias("found_at"))
-    return hit.unionByName(loose)
+    few = quotes.limit(BROADCAST_ROWS + 1).count()  # where all quotes fit, the rest needs no count
+    out = hit
+    for block in _blocks(rest.select(item, "a"), few if few <= BROADCAST_ROWS else None):
+        out = out.unionByName(al.join(F.broadcast(block), F.contains("_alnum", F.col("a"))).select(item, book, F.lit("PUNCT").alias("level"), (T.locate(F.col("a"), F.col("_alnum")) - 1).alias("found_at")))
+    return out
 
 
 def outcome(quotes: DataFrame, pairs: DataFrame, item: str = "item_id", book: str = "doc_id") -> DataFrame:
@@ -73,10 +83,9 @@ def elided(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: st
     """Rows (item, book, found_at, ends) in normalised text of quotes with ellipses: parts in order, greedy."""
     q = quotes.select(item, F.transform(T.split_elisions(F.col(quote)), lambda p: T.strip(T.norm(p))).alias("parts"))
     b = books.select(book, T.norm(F.col(text)).alias("body"))
-    if q.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} elided quotes: split them")
-    met = b.join(F.broadcast(q), F.contains("body", F.get("parts", F.lit(0))))
-    s = met.withColumn("s", T.search_parts(F.col("body"), F.col("parts"))).where("s.ok")
+    none = q.where("false")
+    met = [b.join(F.broadcast(block), F.contains("body", F.get("parts", F.lit(0)))) for block in _blocks(q) or [none]]
+    s = reduce(DataFrame.unionByName, met).withColumn("s", T.search_parts(F.col("body"), F.col("parts"))).where("s.ok")
     return s.select(item, book, F.col("s.first").cast("long").alias("found_at"), F.col("s.cursor").cast("long").alias("ends"))
 
 

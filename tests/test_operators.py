@@ -23,6 +23,18 @@ def test_ladder(spark):
     assert got == {1: ("NORMALIZED", 1), 2: ("NORMALIZED", 1), 3: ("PUNCT", 1), 4: (None, None), 5: ("EXACT", 1)}
 
 
+def test_many_quotes_go_in_blocks(spark, monkeypatch):
+    books = spark.createDataFrame([(1, "alpha beta gamma. delta epsilon zeta eta theta iota kappa"), (2, None)], "doc_id int, text string")
+    texts = ["beta gamma", "BETA, GAMMA!", "delta; epsilon", "absent", "none here", "theta", "Iota. Kappa", "delta epsilon zeta eta theta iota kappa"]
+    quotes = spark.createDataFrame(list(enumerate(texts)), "item_id int, quote string")
+    elided = spark.createDataFrame(list(enumerate(["alpha beta gamma ... delta epsilon", "beta gamma. delta ... zeta eta theta", "theta iota kappa ... alpha beta gamma", "epsilon zeta eta"])), "item_id int, quote string")
+    rows = lambda: (sorted(V.ladder(quotes, books).collect()), sorted(V.elided(elided, books).collect()))
+    want = rows()
+    assert len(want[0]) == 6 and len(want[1]) == 3
+    monkeypatch.setattr(V, "BROADCAST_ROWS", 2)
+    assert rows() == want
+
+
 def test_locate_and_mismatch(spark):
     books = spark.createDataFrame([(1, "ab\ncd\n\nx")], "doc_id int, text string")
     seg = V.line_segments(books)
