@@ -13,7 +13,9 @@ Distinct lines alone are compared. A band's members are linked through its two e
 line first; members still in different components are then compared with each other, so no link between
 components is lost.
 
-Defined results: lines of under MIN_CHARS code points stay and link with nothing, empty ones too; a null
+Defined results: lines of under MIN_CHARS code points link with nothing but their exact copies, and with
+those where they have ``exact_from`` code points or more (1 in the query and the pipeline; by default they
+stay); empty lines stay; a null
 text stays null; a text that loses every line becomes empty, its row stays; rows alike in id and text get
 the same answer; a null id orders last; an empty table gives an empty result; other columns are kept.
 """
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import Scratch, components, key_filter, pass_filter, table, with_maybe
 
 SHINGLE, MIN_CHARS, MIN_SIMILARITY = 12, 20, 0.8
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 10, 4
 #: Places of shingles in a stretch of a line that is cut at once.
 BLOCK = 64
 
@@ -57,10 +59,10 @@ def shingle(s, k: int = SHINGLE):
     return F.xxhash64(F.substring(F.concat(s["w"], F.lit(" "), s["x"]), 1, k))
 
 
-def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (id, row, pos, line, lid, chk): the lines that can link; lid and chk are 128 bits of hash."""
+def lines_of(docs: DataFrame, key: str, text: str, least: int = MIN_CHARS) -> DataFrame:
+    """Rows (id, row, pos, line, lid, chk): the lines of ``least`` code points or more; lid and chk are 128 bits of hash."""
     cut = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return cut.where(F.length("line") >= MIN_CHARS).withColumn("lid", F.xxhash64("line")).withColumn("chk", F.xxhash64(F.lit(7), F.col("line")))
+    return cut.where(F.length("line") >= least).withColumn("lid", F.xxhash64("line")).withColumn("chk", F.xxhash64(F.lit(7), F.col("line")))
 
 
 def with_blocks(lines: DataFrame, line: str = "line", k: int = SHINGLE) -> DataFrame:
@@ -101,7 +103,7 @@ def alike(a: str, b: str, similarity: float):
     return common >= F.lit(similarity) * (F.size(a) + F.size(b) - common)
 
 
-def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY, whole: bool = False) -> DataFrame:
+def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY, whole: bool = False, exact_from: int = MIN_CHARS) -> DataFrame:
     """Rows (lid, chk, component) of the lines that recur or are linked."""
     sigs = scratch.cut(signatures(lines_of(docs, key, text), whole=whole))
     keyed = sigs.select("lid", "n", F.explode("keys").alias("key"))
@@ -128,15 +130,19 @@ def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, simi
     if not more.isEmpty():
         linked = scratch.cut(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch))
     of = sigs.select("lid", "chk", "n").join(linked, F.col("lid") == F.col("node"), "left")
-    return of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
+    found = of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
+    if exact_from >= MIN_CHARS:
+        return found
+    short = lines_of(docs, key, text, exact_from).where(F.length("line") < MIN_CHARS).groupBy("lid", "chk").count().where("count > 1")
+    return found.unionByName(short.select("lid", "chk", F.col("lid").alias("component")))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY, whole: bool = False, exact_from: int = MIN_CHARS) -> DataFrame:
     """docs with the text's repeated lines gone, and _n_lines, _removed (positions from 0)."""
     scratch = Scratch(docs.sparkSession)
-    comp = scratch.cut(line_components(docs, key, text, scratch, similarity, whole))
+    comp = scratch.cut(line_components(docs, key, text, scratch, similarity, whole, exact_from))
     scratch.tidy()
-    found = pass_filter(lines_of(docs, key, text).select("id", "row", "pos", "lid", "chk"), key_filter(comp, "lid"), "lid")
+    found = pass_filter(lines_of(docs, key, text, min(exact_from, MIN_CHARS)).select("id", "row", "pos", "lid", "chk"), key_filter(comp, "lid"), "lid")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")
     places = scratch.cut(found.join(comp, ["lid", "chk"]).select("component", "id", "row", "pos"))
     keep = places.groupBy("component").agg(F.min(at).alias("first"))
@@ -157,5 +163,5 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", simila
 
 
 def op10_line_dedup(spark, sf_dir):
-    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True, exact_from=1)
     return d.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -197,6 +197,13 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_short_lines_lose_exact_copies(spark):
+    texts = ["ab\n\nかな。\nonce", "かな。\nab\n\nAB", "ab"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: (r.text, sorted(r._removed)) for r in line_dedup.dedup_lines(df, whole=True, exact_from=1).collect()}
+    assert out == {0: (texts[0], []), 1: ("\nAB", [0, 1]), 2: ("", [0])}
+
+
 def test_line_dedup_compares_whole_lines(spark):
     link = "see https://example.com/"
     clean = [link + "page/one", link + "other?id=9", "あいうえおかきくけこさし" + "すせそたちつてとな", "あいうえおかきくけこさし" + "はひふへほまみむめも"]
