@@ -6,7 +6,7 @@ import atexit
 import sys
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -153,26 +153,115 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 #: log2 of a filter's bits: 2**24 bits are 2 MB, whatever the input; a fuller filter lets more rows pass, never fewer.
 FILTER_BITS = 24
-_CHUNK = 15  # log2 of the bits that bitmap_construct_agg holds in one row
 
 
-def key_filter(keys: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """A one-hash Bloom filter of 64-bit keys as at most 2**(bits - 15) rows (_f, _bits) of 4 KB: size-bounded, so it may be broadcast."""
-    bit = F.col(key).bitwiseAND(F.lit((1 << bits) - 1))
-    k = keys.select(F.shiftright(bit, _CHUNK).alias("_f"), bit.bitwiseAND(F.lit((1 << _CHUNK) - 1)).alias("_b")).distinct()
-    return k.groupBy("_f").agg(F.bitmap_construct_agg("_b").alias("_bits"))
+def _place(key: str):
+    """The number of a key's 64-bit word in a filter, and its bit there."""
+    bit = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    return F.shiftright(bit, 6), bit.bitwiseAND(F.lit(63)).cast("int")
+
+
+def key_filter(keys: DataFrame, key: str) -> DataFrame:
+    """A one-hash Bloom filter of 64-bit keys as at most 2**18 words (_f, _bits): size-bounded, so it may be broadcast."""
+    word, bit = _place(key)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    return keys.select(word.alias("_f"), one.alias("_b")).groupBy("_f").agg(F.bit_or("_b").alias("_bits"))
 
 
 def with_maybe(rows: DataFrame, flt: DataFrame, key: str, name: str = "_maybe") -> DataFrame:
     """rows with a boolean: whether the row's 64-bit key may be among the filter's keys (true for all that are, and few others)."""
-    bit = F.col(key).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    inside = bit.bitwiseAND(F.lit((1 << _CHUNK) - 1))
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(inside, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = F.coalesce(F.expr("_byte & shiftleft(1, _in_byte)") != 0, F.lit(False))
-    joined = rows.withColumn("_f2", F.shiftright(bit, _CHUNK)).join(F.broadcast(flt), F.col("_f2") == F.col("_f"), "left")
-    return joined.withColumn("_byte", byte).withColumn("_in_byte", inside.bitwiseAND(F.lit(7)).cast("int")).withColumn(name, hit).drop("_f", "_f2", "_bits", "_byte", "_in_byte")
+    word, bit = _place(key)
+    hit = F.coalesce(F.call_function("bit_get", F.col("_bits"), bit) == 1, F.lit(False))
+    return rows.withColumn("_f2", word).join(F.broadcast(flt), F.col("_f2") == F.col("_f"), "left").withColumn(name, hit).drop("_f", "_f2", "_bits")
 
 
 def pass_filter(rows: DataFrame, flt: DataFrame, key: str) -> DataFrame:
     """The rows whose key may be among the filter's keys."""
     return with_maybe(rows, flt, key).where("_maybe").drop("_maybe")
+
+
+#: Items of one key that a task compares with as many others, and rounds in which a key's items meet two of them first.
+KEY_BLOCK, PEELS = 512, 3
+
+
+def as_edges(linked_: DataFrame) -> DataFrame:
+    return linked_.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch: Scratch, payload: Callable[[DataFrame], DataFrame] | None = None, ready: Callable[[DataFrame, str], DataFrame] | None = None, block: int = KEY_BLOCK, peels: int = PEELS) -> DataFrame:
+    """Components (node, component) of items, of those that share a key and are ``near``; rows of keyed are (key long, item long), distinct.
+
+    ``near`` compares two items' payloads: rows (item, v) that ``payload`` makes of the wanted items, or the item itself; ``ready``
+    makes of a payload what ``near`` takes. A key's items meet its least and greatest item, unless one component holds both;
+    then these two have met all others and are done with. After ``peels`` such rounds the items of a key that are still in
+    different components meet each other, in blocks dealt over tasks, inside a join that returns links alone; so no link between
+    components is lost, and no list of pairs is made.
+    """
+    ready = ready or (lambda rows, column: rows)
+    ends = scratch.cut(keyed.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo < hi"))
+    held = scratch.cut(pass_filter(keyed, key_filter(ends, "key"), "key").join(ends.select("key"), "key", "left_semi").withColumn("c", F.col("item")))
+    scratch.drop(ends)
+    scratch.tidy()
+    body = payload(scratch.cut(held.select("item").distinct())) if payload else None
+
+    def with_value(rows: DataFrame, item: str, value: str) -> DataFrame:
+        if body is None:
+            return rows.withColumn(value, F.col(item))
+        return rows.join(body.select(F.col("item").alias("_item"), F.col("v").alias(value)), F.col(item) == F.col("_item")).drop("_item")
+
+    def joined(edges: DataFrame, known: DataFrame | None) -> DataFrame:
+        return scratch.cut(components(edges if known is None else as_edges(known).unionByName(edges), scratch))
+
+    known = None
+    for _ in range(peels):
+        # tables of their own, so that adaptive execution can split a hot key's rows in the joins
+        one = F.struct("item", "c")
+        ends = scratch.cut(held.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").drop("c0", "c1"))
+        members = scratch.cut(held.join(ends, "key"))
+        pairs = members.select("item", "c", F.explode(F.array("lo", "hi")).alias("end")).where("c <> end.c").select(F.greatest("item", "end.item").alias("a"), F.least("item", "end.item").alias("b")).distinct()
+        both = ready(ready(with_value(with_value(pairs, "a", "va"), "b", "vb"), "va"), "vb")
+        found = scratch.cut(both.where(near("va", "vb")).select("a", "b"))
+        known = joined(found, known)
+        inner = members.where("n > 3 and item <> lo.item and item <> hi.item").select("key", "item")
+        last, held = held, scratch.cut(inner.join(known, F.col("item") == F.col("node"), "left").select("key", "item", F.coalesce("component", "item").alias("c")))
+        for used in (last, ends, members, found):
+            scratch.drop(used)
+        if held.isEmpty():
+            return known
+    n = F.ceil(F.count("*") / block).cast("int")
+    mixed = scratch.cut(held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), n.alias("nb")).where("c0 < c1").select("key", "nb"))
+    if mixed.isEmpty():
+        return known
+    dealt = held.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("item"), F.col("nb")).cast("int"))
+    open_ = scratch.cut(with_value(dealt, "item", "v").select("key", "c", "at", "nb", "v"))
+    scratch.tidy()
+    # blocks i and j of a key are a task: rows of block i meet those of block j
+    sides = ready(open_, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "c", "at", "v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    left = sides.select("key", "i", "j", F.col("c").alias("a"), F.col("v").alias("va"), F.col("at").alias("ia"))
+    right = sides.select(F.col("key").alias("key2"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("c").alias("b"), F.col("v").alias("vb"), F.col("at").alias("ib"))
+    same = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
+    once = (F.col("i") == F.col("j")) | (F.col("ia") != F.col("ib"))
+    more = scratch.cut(left.join(right, same & once & (F.col("a") < F.col("b")) & near("va", "vb")).select("a", "b").distinct())
+    scratch.drop(open_)
+    return known if more.isEmpty() else joined(more, known)
+
+
+class Sealed:
+    """A frame's columns under private names of their own, so that no column of the input can clash with an operator's."""
+
+    def __init__(self, docs: DataFrame):
+        self.names = docs.columns
+        self.rows = docs.toDF(*[f"__{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        return f"__{self.names.index(name)}"
+
+    def open(self, rows: DataFrame, **added: Column) -> DataFrame:
+        """The input's columns under their names, then the added ones; an added name that the input has gets underscores in front."""
+        out, names = [f"__{i}" for i in range(len(self.names))], list(self.names)
+        for name, c in added.items():
+            while name.lower() in {n.lower() for n in names}:
+                name = "_" + name
+            out.append(c.alias(name))
+            names.append(name)
+        return rows.select(*out).toDF(*names)

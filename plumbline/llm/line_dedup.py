@@ -1,36 +1,31 @@
 """Fuzzy line dedup by MinHash, in DataFrame operations only.
 
-A line is compared by its set of character shingles, lower-cased: SHINGLE code points from every position
-of the whole line (``whole``, which the query and the pipeline take). Without ``whole``: from the start of
-each word (at spaces), the first SHINGLE code points of it and the next word, and from every position where
-a line has few spaces for its length; what follows the 12th code point of a word is then not compared. Signatures are the
-BANDS * ROWS minima of the shingles' hashes, each under another XOR constant; lines that share a band
-are candidates, and a candidate pair counts when the exact Jaccard similarity of the two sets is
-MIN_SIMILARITY or more. Linked lines form components by star rounds; of each component one line stays in
-the whole corpus, the first by (doc_id, text hash, line number), and the others go.
-
-Distinct lines alone are compared. A band's members are linked through its two ends and its most frequent
-line first; members still in different components are then compared with each other, so no link between
-components is lost.
-
-Defined results: lines of under MIN_CHARS code points link with nothing but their exact copies, and with
-those where they have ``exact_from`` code points or more (1 in the query and the pipeline; by default they
-stay); empty lines stay; a null
-text stays null; a text that loses every line becomes empty, its row stays; rows alike in id and text get
-the same answer; a null id orders last; an empty table gives an empty result; other columns are kept.
+A line is compared by its set of character shingles: SHINGLE code points of the lower-cased line from every
+position; a shorter line is one shingle. A line's signature is the least hash of its set under each of 16 XOR
+constants. A band's key is four minima: the 16 are the points of the affine plane of order four, its 20 lines
+are the bands, any two of which have one minimum in common at most. A pair at similarity exactly 0.8 shares a
+band with probability 0.995 (counted over all 2**16 cases), as ten bands with forty minima of their own would.
+Lines that share a band are candidates, and a candidate pair counts when the exact Jaccard similarity of the
+two sets is MIN_SIMILARITY or more. Linked lines form components by distributed star rounds; of each component
+one line stays in the whole corpus, the first by (doc_id, text hash, line number), and the others go.
+
+Distinct lines alone are compared, and of a band's members those that are not in one component yet.
+
+Defined results: empty lines stay; lines of any other length go where they repeat; a null text stays null; a
+text that loses every line becomes empty, its row stays; rows alike in id and text get the same answer; a null
+id orders last; an empty table gives an empty result; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, components, key_filter, pass_filter, table, with_maybe
+from plumbline.llm.common import Scratch, Sealed, key_filter, link_by_keys, pass_filter, table, with_maybe
 
-SHINGLE, MIN_CHARS, MIN_SIMILARITY = 12, 20, 0.8
-BANDS, ROWS = 10, 4
-#: Places of shingles in a stretch of a line that is cut at once.
-BLOCK = 64
+SHINGLE, MIN_SIMILARITY = 12, 0.8
+#: Order of the plane whose points are the minima and whose lines are the bands.
+ORDER = 4
 
 
 def _constants(n: int) -> list[int]:
@@ -45,123 +40,107 @@ def _constants(n: int) -> list[int]:
     return out
 
 
-def with_shingles(lines: DataFrame, line: str = "line", k: int = SHINGLE) -> DataFrame:
-    """lines with an array _sh of pairs of neighbouring words (w, x), from which shingle() cuts; single stretches where a line has few words."""
-    low = F.lower(line)
-    at_all = F.transform(F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1)), lambda s: F.struct(s.alias("w"), F.lit("").alias("x")))
-    few = F.size("_w") * 24 < F.length(line)
-    pairs = F.arrays_zip(F.col("_w").alias("w"), F.concat(F.slice("_w", F.lit(2), F.size("_w")), F.array(F.lit(""))).alias("x"))
-    return lines.withColumn("_w", F.split(low, " ")).withColumn("_sh", F.when(few, at_all).otherwise(pairs)).drop("_w")
+def plane() -> list[list[int]]:
+    """The 20 lines of the affine plane of order four: y = m * x + b over the field of four elements, and x = b."""
+    log, power = {1: 0, 2: 1, 3: 2}, [1, 2, 3]  # 2 generates the field's other elements
+    times = lambda a, b: power[(log[a] + log[b]) % 3] if a and b else 0
+    each = range(ORDER)
+    return [[ORDER * x + (times(m, x) ^ b) for x in each] for m in each for b in each] + [[ORDER * b + y for y in each] for b in each]
 
 
-def shingle(s, k: int = SHINGLE):
-    """The hash of the first k code points of a word and the next."""
-    return F.xxhash64(F.substring(F.concat(s["w"], F.lit(" "), s["x"]), 1, k))
+def coded(line: str) -> Column:
+    """A line lower-cased, four bytes a code point, so that any stretch is found at once."""
+    return F.encode(F.lower(line), "UTF-32")
 
 
-def lines_of(docs: DataFrame, key: str, text: str, least: int = MIN_CHARS) -> DataFrame:
-    """Rows (id, row, pos, line, lid, chk): the lines of ``least`` code points or more; lid and chk are 128 bits of hash."""
-    cut = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    return cut.where(F.length("line") >= least).withColumn("lid", F.xxhash64("line")).withColumn("chk", F.xxhash64(F.lit(7), F.col("line")))
+def places(code: Column, k: int = SHINGLE) -> Column:
+    """The bytes, from 1, at which the shingles of a coded line begin."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(code) - (4 * k - 1)).cast("int"), F.lit(4))
 
 
-def with_blocks(lines: DataFrame, line: str = "line", k: int = SHINGLE) -> DataFrame:
-    """lines with an array _bl of stretches of the line, lower-cased, that hold each k code points of it once. Cutting within a short stretch keeps the work linear in the line's length."""
-    return lines.withColumn("_bl", F.regexp_extract_all(F.lower(line), F.lit(rf"(?s)(?=(.{{{k},{BLOCK + k - 1}}})).{{1,{BLOCK}}}"), F.lit(1)))
+def shingle(code: Column, at: Column, k: int = SHINGLE) -> Column:
+    return F.xxhash64(F.substring(code, at, F.lit(4 * k)))
 
 
-def beginnings(block, k: int = SHINGLE):
-    """The places in a stretch, from 1, where a shingle begins."""
-    return F.sequence(F.lit(1), F.length(block) - (k - 1))
+def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (id, row, pos, line, lid, chk): the lines that are not empty; lid and chk are 128 bits of hash."""
+    cut = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("row"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+    return cut.where("line <> ''").withColumn("lid", F.xxhash64("line")).withColumn("chk", check("line"))
 
 
-def with_set(rows: DataFrame, line: str, name: str, whole: bool) -> DataFrame:
-    """rows with the set of the hashes of a line's shingles."""
-    if not whole:
-        return with_shingles(rows, line).withColumn(name, F.array_distinct(F.transform("_sh", lambda s: shingle(s)))).drop("_sh")
-    at = F.flatten(F.transform("_bl", lambda x: F.transform(beginnings(x), lambda p: F.xxhash64(F.substring(x, p, F.lit(SHINGLE))))))
-    return with_blocks(rows, line).withColumn(name, F.array_distinct(at)).drop("_bl")
+def check(line: str) -> Column:
+    return F.xxhash64(F.lit(7), F.col(line))
 
 
-def signatures(lines: DataFrame, bands: int = BANDS, rows: int = ROWS, whole: bool = False) -> DataFrame:
+def with_set(rows: DataFrame, line: str, k: int = SHINGLE) -> DataFrame:
+    """rows with the set of a line's shingles in the line's place."""
+    low = F.lower(line)
+    every = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    # explode() of one value keeps the optimiser from copying the value into each of its uses
+    return rows.withColumn(line, F.explode(F.array(F.array_distinct(F.when(F.length(low) < k, F.array(low)).otherwise(every)))))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
     """Rows (lid, chk, n, keys): a distinct line, its count and its bands' keys. The minima of a line's copies are combined before the one shuffle; no text is shuffled."""
-    if whole:
-        cut = with_blocks(lines.select("lid", "chk", "line")).select("lid", "chk", F.posexplode("_bl").alias("j", "x"))
-        each = cut.select("lid", "chk", "j", "x", F.explode(beginnings(F.col("x"))).alias("p"))
-        h = each.select("lid", "chk", F.when(F.col("j") == 0, F.col("p") - 1).otherwise(1).alias("i"), F.xxhash64(F.substring(F.col("x"), F.col("p"), F.lit(SHINGLE))).alias("h"))
-    else:
-        each = with_shingles(lines.select("lid", "chk", "line")).select("lid", "chk", F.posexplode("_sh").alias("i", "s"))
-        h = each.select("lid", "chk", "i", shingle(F.col("s")).alias("h"))
-    least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 32)).alias(f"m{i}") for i, c in enumerate(_constants(bands * rows))]
-    sig = h.groupBy("lid").agg(F.max("chk").alias("chk"), F.count_if(F.col("i") == 0).alias("n"), *least)
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    code = lines.select("lid", "chk", coded("line").alias("code"))
+    each = code.select("lid", "chk", "code", F.explode(places(F.col("code"))).alias("p"))
+    h = each.select("lid", "chk", "p", shingle(F.col("code"), F.col("p")).alias("h"))
+    least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 24)).alias(f"m{i}") for i, c in enumerate(_constants(ORDER * ORDER))]
+    sig = h.groupBy("lid").agg(F.max("chk").alias("chk"), F.count_if(F.col("p") == 1).alias("n"), *least)
+    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in band]) for b, band in enumerate(plane())])
     return sig.select("lid", "chk", "n", keys.alias("keys"))
 
 
-def alike(a: str, b: str, similarity: float):
+def alike(a: str, b: str, similarity: float) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common >= F.lit(similarity) * (F.size(a) + F.size(b) - common)
 
 
-def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY, whole: bool = False, exact_from: int = MIN_CHARS) -> DataFrame:
+def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Rows (lid, chk, component) of the lines that recur or are linked."""
-    sigs = scratch.cut(signatures(lines_of(docs, key, text), whole=whole))
-    keyed = sigs.select("lid", "n", F.explode("keys").alias("key"))
-    # a band's members meet its ends and its most frequent line, which is likely to be the one that the others vary
-    ends = keyed.groupBy("key").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi"), F.max_by("lid", "n").alias("mid")).where("lo < hi")
-    members = scratch.cut(keyed.select("key", "lid").join(ends, "key"))
-    scratch.tidy()
-    wanted = scratch.cut(members.select("lid").distinct())
-    texts = pass_filter(lines_of(docs, key, text).select("lid", "line"), key_filter(wanted, "lid"), "lid").groupBy("lid", "line").count().join(wanted, "lid", "left_semi")
-    lines = scratch.cut(texts.select("lid", "line"))  # a line is several times smaller than its set, so sets are made where they are compared
-    star = members.select("lid", F.explode(F.array("lo", "hi", "mid")).alias("end")).where("lid <> end").select(F.greatest("lid", "end").alias("a"), F.least("lid", "end").alias("b")).distinct()
-    both = star.join(lines.select(F.col("lid").alias("a"), F.col("line").alias("la")), "a").join(lines.select(F.col("lid").alias("b"), F.col("line").alias("lb")), "b")
-    both = with_set(with_set(both, "la", "ha", whole), "lb", "hb", whole)
-    first = scratch.cut(components(both.where(alike("ha", "hb", similarity)).select("a", "b"), scratch))
+    sigs = scratch.cut(signatures(lines_of(docs, key, text)))
     scratch.tidy()
-    # members of a band that are in different components still: compared with each other, within the join, which yields links alone
-    held = members.select("key", "lid").join(first, F.col("lid") == F.col("node"), "left").select("key", "lid", F.coalesce("component", "lid").alias("c"))
-    mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = scratch.cut(held.join(mixed, "key", "left_semi").join(lines, "lid").select("key", "c", "line"))
-    open_ = with_set(open_.repartition("key"), "line", "hs", whole)
-    left, right = open_.select("key", F.col("c").alias("a"), F.col("hs").alias("ha")), open_.select(F.col("key").alias("key2"), F.col("c").alias("b"), F.col("hs").alias("hb"))
-    more = scratch.cut(left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & alike("ha", "hb", similarity)).select("a", "b").distinct())
-    linked = first
-    if not more.isEmpty():
-        linked = scratch.cut(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch))
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """The wanted lines. A line is several times smaller than its set, so sets are made where they are compared."""
+        some = scratch.cut(sigs.select("lid", "chk").join(wanted, F.col("lid") == F.col("item"), "left_semi"))
+        held = pass_filter(lines_of(docs, key, text).select("lid", "chk", "line"), key_filter(some, "lid"), "lid").dropDuplicates(["lid", "chk"])
+        return scratch.cut(held.join(some, ["lid", "chk"], "left_semi").select(F.col("lid").alias("item"), F.col("line").alias("v")))
+
+    linked = link_by_keys(sigs.select(F.explode("keys").alias("key"), F.col("lid").alias("item")), lambda a, b: alike(a, b, similarity), scratch, texts, with_set)
     of = sigs.select("lid", "chk", "n").join(linked, F.col("lid") == F.col("node"), "left")
-    found = of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
-    if exact_from >= MIN_CHARS:
-        return found
-    short = lines_of(docs, key, text, exact_from).where(F.length("line") < MIN_CHARS).groupBy("lid", "chk").count().where("count > 1")
-    return found.unionByName(short.select("lid", "chk", F.col("lid").alias("component")))
+    return of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY, whole: bool = False, exact_from: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = MIN_SIMILARITY) -> DataFrame:
     """docs with the text's repeated lines gone, and _n_lines, _removed (positions from 0)."""
-    scratch = Scratch(docs.sparkSession)
-    comp = scratch.cut(line_components(docs, key, text, scratch, similarity, whole, exact_from))
+    scratch, sealed = Scratch(docs.sparkSession), Sealed(docs)
+    rows, key, text = sealed.rows, sealed[key], sealed[text]
+    comp = scratch.cut(line_components(rows, key, text, scratch, similarity))
     scratch.tidy()
-    found = pass_filter(lines_of(docs, key, text, min(exact_from, MIN_CHARS)).select("id", "row", "pos", "lid", "chk"), key_filter(comp, "lid"), "lid")
+    found = pass_filter(lines_of(rows, key, text).select("id", "row", "pos", "lid", "chk"), key_filter(comp, "lid"), "lid")
     at = F.struct(F.col("id").isNull().alias("none"), "id", "row", "pos")
-    places = scratch.cut(found.join(comp, ["lid", "chk"]).select("component", "id", "row", "pos"))
-    keep = places.groupBy("component").agg(F.min(at).alias("first"))
-    gone = places.join(keep, "component").where(~at.eqNullSafe(F.col("first")))
+    spots = scratch.cut(found.join(comp, ["lid", "chk"]).select("component", "id", "row", "pos"))
+    # the kept places are taken out by their own place, which no group shares, and not by the component, which a third of the lines may share
+    first = spots.groupBy("component").agg(F.min(at).alias("first")).select(F.coalesce("first.id", F.lit(0)).alias("id0"), "first.none", F.col("first.row").alias("row0"), F.col("first.pos").alias("pos0"))
+    mine = (F.coalesce("id", F.lit(0)) == F.col("id0")) & (F.col("id").isNull() == F.col("none")) & (F.col("row") == F.col("row0")) & (F.col("pos") == F.col("pos0"))
+    gone = spots.join(first, mine, "left_anti")
     removed = scratch.cut(gone.groupBy("id", "row").agg(F.collect_set("pos").alias("_gone")))
+    scratch.drop(spots)
     scratch.tidy()
     # texts that lose nothing stay where they are; the filter lets few of them through to the join
-    flagged = with_maybe(docs.withColumn("_row", F.xxhash64(text)), key_filter(removed, "row"), "_row")
-    split = F.split(text, "\n", -1)
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(split))
-    same = flagged.where("not _maybe").select(*docs.columns, n_lines.alias("_n_lines"), F.array().cast("array<int>").alias("_removed"))
+    flagged = with_maybe(rows.withColumn("_row", F.xxhash64(text)), key_filter(removed, "row"), "_row")
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.split(text, "\n", -1)))
+    none = F.array().cast("array<int>")
+    same = flagged.where("not _maybe").select(*rows.columns, n_lines.alias("_n"), none.alias("_out"))
     met = flagged.where("_maybe").join(removed.withColumnsRenamed({"id": "_gone_id", "row": "_gone_row"}), F.col(key).cast("long").eqNullSafe(F.col("_gone_id")) & (F.col("_row") == F.col("_gone_row")), "left")
-    met = met.withColumn("_lines", split).withColumn("_n_lines", n_lines).withColumn("_removed", F.coalesce("_gone", F.array().cast("array<int>")))
-    kept = F.array_except(F.sequence(F.lit(0), F.col("_n_lines") - 1), F.col("_removed"))
+    met = met.withColumn("_lines", F.split(text, "\n", -1)).withColumn("_n", n_lines).withColumn("_out", F.coalesce("_gone", none))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_out"))
     new = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    met = met.withColumn(text, F.when(F.size("_removed") == 0, F.col(text)).otherwise(new)).select(*docs.columns, "_n_lines", "_removed")
-    return same.unionByName(met)
+    met = met.withColumn(text, F.when(F.size("_out") == 0, F.col(text)).otherwise(new)).select(*rows.columns, "_n", "_out")
+    return sealed.open(same.unionByName(met), _n_lines=F.col("_n"), _removed=F.col("_out"))
 
 
 def op10_line_dedup(spark, sf_dir):
-    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True, exact_from=1)
+    d = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.col("_n_lines").cast("long").alias("n_lines"), F.size("_removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

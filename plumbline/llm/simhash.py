@@ -1,7 +1,8 @@
 """SimHash near-dedup: 64-bit fingerprints, pigeonhole blocks, Hamming verification.
 
-A fingerprint is cut in d + 3 blocks; d differing bits touch d blocks at most, so two fingerprints at
-distance d or less agree on some choice of three whole blocks. Each choice is a join key. Distinct fingerprints alone are joined,
+A fingerprint is cut in d + w blocks; d differing bits touch d blocks at most, so two fingerprints at
+distance d or less agree on some choice of w whole blocks. Each choice is a join key; w follows from the
+number of fingerprints, so that keys stay selective, and changes no result. Distinct fingerprints alone are joined,
 so copies cost nothing, and a key's members are linked through its ends first; only members that are
 still in different components are compared with each other. No link between components is lost.
 
@@ -15,13 +16,15 @@ least that; candidates share one of BANDS keys of ROWS minima. A text without wo
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, components, ship, table
+from plumbline.llm.common import Scratch, as_edges, components, link_by_keys, ship, table
 from plumbline.llm.line_dedup import _constants, alike
 
 SHINGLE, DISTANCE, XX_SEED = 3, 3, 42
@@ -122,36 +125,40 @@ def sets_of(texts: DataFrame, shingle: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, prints: DataFrame, key: str, text: str, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """Links (a, b) of fingerprints whose texts' shingle sets are alike. Distinct sets alone are compared, a key's members with its ends first."""
+    """Links (a, b) of fingerprints whose texts' shingle sets are alike. Distinct sets alone are compared."""
     some = prints.where(F.size("keys") > 0)
     of = scratch.cut(some.groupBy("sid").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys")))
-    keyed = of.select("sid", F.explode("keys").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi")
-    members = scratch.cut(keyed.join(ends, "key"))
-    # ids may repeat or be null: a text of a wanted id says itself which set it has
-    wanted = some.join(members.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min(F.struct(F.col(key).isNull(), key))[key].alias("_id")).select("_id").distinct()
-    texts = docs.join(wanted, F.col(key).cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    sets = scratch.cut(sets_of(texts.select(F.col(text).alias("text")), shingle).dropDuplicates(["sid"]))
-    star = members.select("sid", F.explode(F.array("lo", "hi")).alias("end")).where("sid <> end").select(F.greatest("sid", "end").alias("a"), F.least("sid", "end").alias("b")).distinct()
-    both = star.join(sets.select(F.col("sid").alias("a"), F.col("hs").alias("ha")), "a").join(sets.select(F.col("sid").alias("b"), F.col("hs").alias("hb")), "b")
-    first = scratch.cut(components(both.where(alike("ha", "hb", similarity)).select("a", "b"), scratch))
-    held = members.select("key", "sid").join(first, F.col("sid") == F.col("node"), "left").select("key", "sid", F.coalesce("component", "sid").alias("c"))
-    mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = scratch.cut(held.join(mixed, "key", "left_semi").join(sets, "sid").select("key", "c", "hs"))
-    left, right = open_.select("key", F.col("c").alias("a"), F.col("hs").alias("ha")), open_.select(F.col("key").alias("key2"), F.col("c").alias("b"), F.col("hs").alias("hb"))
-    more = left.join(right, (F.col("key") == F.col("key2")) & (F.col("a") < F.col("b")) & alike("ha", "hb", similarity)).select("a", "b").distinct()
-    pairs = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
-    named = pairs.join(of.select(F.col("sid").alias("a"), F.col("fp").alias("fa")), "a").join(of.select(F.col("sid").alias("b"), F.col("fp").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+
+    def sets(wanted: DataFrame) -> DataFrame:
+        # ids may repeat or be null: a text of a wanted id says itself which set it has
+        ids = some.join(wanted, F.col("sid") == F.col("item"), "left_semi").groupBy("sid").agg(F.min(F.struct(F.col(key).isNull(), key))[key].alias("_id")).select("_id").distinct()
+        texts = docs.join(ids, F.col(key).cast("long").eqNullSafe(F.col("_id")), "left_semi")
+        return scratch.cut(sets_of(texts.select(F.col(text).alias("text")), shingle).dropDuplicates(["sid"]).select(F.col("sid").alias("item"), F.col("hs").alias("v")))
+
+    linked = link_by_keys(of.select(F.explode("keys").alias("key"), F.col("sid").alias("item")), lambda a, b: alike(a, b, similarity), scratch, sets)
+    named = as_edges(linked).join(of.select(F.col("sid").alias("a"), F.col("fp").alias("fa")), "a").join(of.select(F.col("sid").alias("b"), F.col("fp").alias("fb")), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
     alike_sets = some.select("sid", F.col("fp").alias("a")).join(of.select("sid", F.col("fp").alias("b")), "sid").select("a", "b")
     return named.unionByName(alike_sets).where("a <> b").distinct()
 
 
+def whole_blocks(n: int, distance: int) -> int:
+    """How many whole blocks make a key: the fewest, from three, with which a fingerprint of n meets at most one other by chance.
+
+    Any number is exact; longer keys are more, and keep chance meetings from growing with the square of n.
+    """
+    w = 3
+    while n * comb(distance + w, w) > 1 << (64 * w // (distance + w)) and w < 12:
+        w += 1
+    return w
+
+
 def block_keys(distance: int = DISTANCE, whole: int = 3):
     """An array of keys of column fp, one for each choice of ``whole`` blocks out of distance + whole."""
     n = distance + whole
     cuts = [64 * i // n for i in range(n + 1)]
     masks = [sum(1 << b for i in chosen for b in range(cuts[i], cuts[i + 1])) for chosen in combinations(range(n), whole)]
-    return F.array(*[F.xxhash64(F.lit(j), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))) for j, m in enumerate(masks)])
+    each = F.from_json(F.lit(json.dumps([[j, m - (1 << 64) if m >> 63 else m] for j, m in enumerate(masks)])), "array<array<long>>")
+    return F.transform(each, lambda m: F.xxhash64(m[0], F.col("fp").bitwiseAND(m[1])))
 
 
 def near(a, b, distance: int = DISTANCE):
@@ -160,35 +167,27 @@ def near(a, b, distance: int = DISTANCE):
 
 def link(fps: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
     """Components (node, component) of distinct fingerprints (fp) at distance or less; those without a link are left out."""
-    keyed = fps.select("fp", F.explode(block_keys(distance)).alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    members = scratch.cut(keyed.join(ends, "key"))
-    star = members.select("fp", F.explode(F.array("lo", "hi")).alias("end")).where(F.col("fp") != F.col("end")).distinct()
-    first = scratch.cut(components(star.where(near("fp", "end", distance)).select(F.col("fp").alias("a"), F.col("end").alias("b")), scratch))
-    held = members.select("key", "fp").join(first, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("component", "fp").alias("c"))
-    mixed = held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    open_ = scratch.cut(held.join(mixed, "key", "left_semi"))
-    left, right = open_.select("key", F.col("fp").alias("a"), F.col("c").alias("ca")), open_.select("key", F.col("fp").alias("b"), F.col("c").alias("cb"))
-    more = scratch.cut(left.join(right, "key").where((F.col("ca") < F.col("cb")) & near("a", "b", distance)).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    if more.isEmpty():
-        return first
-    return components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+    keys = block_keys(distance, whole_blocks(fps.count(), distance))
+    return link_by_keys(fps.select(F.explode(keys).alias("key"), F.col("fp").alias("item")), lambda a, b: near(a, b, distance), scratch)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
     """Rows (key, fp, component_id) for each row of docs."""
-    scratch = Scratch(docs.sparkSession)
+    scratch, name = Scratch(docs.sparkSession), key
+    docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    key, text = "id", "text"
     prints = scratch.cut(fingerprints(docs, key, text, shingle, similarity is not None))
     ids = scratch.cut(prints.groupBy("fp").agg(F.min(key).alias("id")))
     linked = scratch.cut(link(ids.select("fp"), distance, scratch))
     if similarity is not None:
         more = similar(docs, prints, key, text, shingle, similarity, scratch)
-        linked = scratch.cut(components(linked.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more), scratch))
+        linked = scratch.cut(components(as_edges(linked).unionByName(more), scratch))
     named = linked.join(ids, linked.node == ids.fp)
     least = named.groupBy("component").agg(F.min("id").alias("least"))
     of = linked.join(least, "component").select(F.col("node").alias("fp"), "least")
-    final = ids.join(of, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
-    return prints.join(final, "fp").select(key, "fp", "component_id")
+    # a table of its own, so that adaptive execution can split the rows of a hot fingerprint in the join
+    final = scratch.cut(ids.join(of, "fp", "left").select("fp", F.coalesce("least", "id").alias("component_id")))
+    return prints.join(final, "fp").select(F.col(key).alias(name), "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir):

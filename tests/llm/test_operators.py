@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from plumbline.llm import embed_dedup, license_scan, line_dedup, lsm_dedup, mixing, queries, simhash, sp_sampling, substring_dedup, toxicity, url_rules
-from plumbline.llm.common import Scratch, components, global_rank, key_filter, lookup_join, pass_filter
+from plumbline.llm.common import Scratch, components, global_rank, key_filter, link_by_keys, lookup_join, pass_filter
 from tests.conftest import SF
 
 random.seed(7)
@@ -159,10 +159,7 @@ def test_pipeline_near_copies(spark):
 
 def line_set(line):
     low = line.lower()
-    w = low.split(" ")
-    if len(w) * 24 < len(line):
-        return {(s + " ")[:12] for s in re.findall(r"(?s)(?=(.{12}))", low)}
-    return {(a + " " + b)[:12] for a, b in zip(w, [*w[1:], ""])}
+    return {low[i : i + 12] for i in range(max(1, len(low) - 11))}
 
 
 def test_line_dedup(spark, empty):
@@ -178,7 +175,7 @@ def test_line_dedup(spark, empty):
         docs.append((i, "\n".join([*lines, "short", "", words(30)])))
     docs += [(90, None), (91, ""), (92, "x" * 400), (93, "y" + "x" * 400)]
     for i, t in docs:
-        occ += [(i, p, x) for p, x in enumerate((t or "").split("\n")) if len(x) >= 20]
+        occ += [(i, p, x) for p, x in enumerate((t or "").split("\n")) if x]
     uniq = sorted({x for *_, x in occ})
     sets = [line_set(x) for x in uniq]
     edges = [(a, b) for a in range(len(uniq)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
@@ -197,11 +194,11 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
-def test_short_lines_lose_exact_copies(spark):
+def test_short_lines(spark):
     texts = ["ab\n\nかな。\nonce", "かな。\nab\n\nAB", "ab"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r.doc_id: (r.text, sorted(r._removed)) for r in line_dedup.dedup_lines(df, whole=True, exact_from=1).collect()}
-    assert out == {0: (texts[0], []), 1: ("\nAB", [0, 1]), 2: ("", [0])}
+    out = {r.doc_id: (r.text, sorted(r._removed)) for r in line_dedup.dedup_lines(df).collect()}
+    assert out == {0: (texts[0], []), 1: ("", [0, 1, 3]), 2: ("", [0])}
 
 
 def test_line_dedup_compares_whole_lines(spark):
@@ -210,12 +207,31 @@ def test_line_dedup_compares_whole_lines(spark):
     base = words(80)
     near = [base, base[:150] + "q" + base[150:], base[:-2], "".join(random.choice("abcdefgh") for _ in range(300))]
     near.append(near[3][:140] + "Z" + near[3][141:])
-    lines = clean + near
-    sets = [{x.lower()[i : i + 12] for i in range(len(x) - 11)} for x in lines]
+    dense = " ".join("abcdefghijkl"[i % 12] * (20 + i % 5) for i in range(12))
+    lines = clean + near + [dense, dense + "x" * 14, "short one line", "short one linE", "short two line"]
+    sets = [line_set(x) for x in lines]
     comp = union_find(len(lines), [(a, b) for a in range(len(lines)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
     df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
-    gone = {r.doc_id for r in line_dedup.dedup_lines(df, whole=True).collect() if r._removed}
-    assert gone == {i for i, c in enumerate(comp) if c != i} == {5, 6, 8}
+    gone = {r.doc_id for r in line_dedup.dedup_lines(df).collect() if r._removed}
+    assert gone == {i for i, c in enumerate(comp) if c != i} == {5, 6, 8, 10, 12}
+
+
+def test_line_dedup_keeps_clashing_columns(spark):
+    names = ["_n_lines", "_removed", "_lines", "_row", "_maybe", "_f", "_gone", "__0", "id", "line"]
+    df = spark.createDataFrame([(1, "a b c\nd", *names), (2, "a b c", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == [*df.columns, "__n_lines", "__removed"]
+    assert sorted((str(r.doc_id), r.text, *r[2:12], r["__removed"]) for r in out.collect()) == sorted([("1", "a b c\nd", *names, []), ("2", "", *names, [0]), ("None", None, *names, [])], key=str)
+
+
+def test_hot_keys_lose_no_link(spark):
+    """Items of one key, met in the end in blocks: numbers link with those one or two away."""
+    n = 60
+    keyed = spark.createDataFrame([(7, i * 3 if i % 2 else i * 3 + 1) for i in range(n)] + [(8, 500), (8, 501)], "key long, item long")
+    got = {r.node: r.component for r in link_by_keys(keyed, lambda a, b: F.abs(F.col(a) - F.col(b)) <= 2, Scratch(spark), block=7, peels=1).collect()}
+    items = sorted(r.item for r in keyed.collect())
+    comp = union_find(len(items), [(i, j) for i in range(len(items)) for j in range(i) if items[i] - items[j] <= 2])
+    assert got == {items[i]: items[c] for i, c in enumerate(comp) if comp.count(c) > 1} and len(got) > n
 
 
 def test_license_scan(spark, docs, empty):
