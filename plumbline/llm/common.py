@@ -181,23 +181,23 @@ def pass_filter(rows: DataFrame, flt: DataFrame, key: str) -> DataFrame:
 
 
 #: Items of one key that a task compares with as many others, and rounds in which a key's items meet two of them first.
-KEY_BLOCK, PEELS = 512, 3
+KEY_BLOCK, PEELS = 512, 2
 
 
 def as_edges(linked_: DataFrame) -> DataFrame:
     return linked_.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch: Scratch, payload: Callable[[DataFrame], DataFrame] | None = None, ready: Callable[[DataFrame, str], DataFrame] | None = None, block: int = KEY_BLOCK, peels: int = PEELS) -> DataFrame:
+def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch: Scratch, payload: Callable[[DataFrame], DataFrame] | None = None, exact: Callable[[DataFrame], DataFrame] | None = None, block: int = KEY_BLOCK, peels: int = PEELS) -> DataFrame:
     """Components (node, component) of items, of those that share a key and are ``near``; rows of keyed are (key long, item long), distinct.
 
-    ``near`` compares two items' payloads: rows (item, v) that ``payload`` makes of the wanted items, or the item itself; ``ready``
-    makes of a payload what ``near`` takes. A key's items meet its least and greatest item, unless one component holds both;
-    then these two have met all others and are done with. After ``peels`` such rounds the items of a key that are still in
-    different components meet each other, in blocks dealt over tasks, inside a join that returns links alone; so no link between
-    components is lost, and no list of pairs is made.
+    ``near`` compares two items' payloads: rows (item, v) that ``payload`` makes of the wanted items, or the items themselves.
+    ``exact`` then picks the links from rows (a, b) of items that are near, where being near is not yet a link.
+    A key's items meet its least and greatest item, unless one component holds both; then these two have met all others and
+    are done with. After ``peels`` such rounds the items of a key that are still in different components meet each other, in
+    blocks dealt over tasks, inside a join that returns near ones alone; so no link between components is lost, and no list of
+    pairs is made.
     """
-    ready = ready or (lambda rows, column: rows)
     ends = scratch.cut(keyed.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo < hi"))
     held = scratch.cut(pass_filter(keyed, key_filter(ends, "key"), "key").join(ends.select("key"), "key", "left_semi").withColumn("c", F.col("item")))
     scratch.drop(ends)
@@ -210,6 +210,8 @@ def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch:
         return rows.join(body.select(F.col("item").alias("_item"), F.col("v").alias(value)), F.col(item) == F.col("_item")).drop("_item")
 
     def joined(edges: DataFrame, known: DataFrame | None) -> DataFrame:
+        if exact:
+            edges = exact(scratch.cut(edges))
         return scratch.cut(components(edges if known is None else as_edges(known).unionByName(edges), scratch))
 
     known = None
@@ -218,13 +220,12 @@ def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch:
         one = F.struct("item", "c")
         ends = scratch.cut(held.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 < c1").drop("c0", "c1"))
         members = scratch.cut(held.join(ends, "key"))
+        scratch.drop(held)
         pairs = members.select("item", "c", F.explode(F.array("lo", "hi")).alias("end")).where("c <> end.c").select(F.greatest("item", "end.item").alias("a"), F.least("item", "end.item").alias("b")).distinct()
-        both = ready(ready(with_value(with_value(pairs, "a", "va"), "b", "vb"), "va"), "vb")
-        found = scratch.cut(both.where(near("va", "vb")).select("a", "b"))
-        known = joined(found, known)
+        known = joined(with_value(with_value(pairs, "a", "va"), "b", "vb").where(near("va", "vb")).select("a", "b"), known)
         inner = members.where("n > 3 and item <> lo.item and item <> hi.item").select("key", "item")
-        last, held = held, scratch.cut(inner.join(known, F.col("item") == F.col("node"), "left").select("key", "item", F.coalesce("component", "item").alias("c")))
-        for used in (last, ends, members, found):
+        held = scratch.cut(inner.join(known, F.col("item") == F.col("node"), "left").select("key", "item", F.coalesce("component", "item").alias("c")))
+        for used in (ends, members):
             scratch.drop(used)
         if held.isEmpty():
             return known
@@ -233,15 +234,14 @@ def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch:
     if mixed.isEmpty():
         return known
     dealt = held.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("item"), F.col("nb")).cast("int"))
-    open_ = scratch.cut(with_value(dealt, "item", "v").select("key", "c", "at", "nb", "v"))
-    scratch.tidy()
+    open_ = scratch.cut(with_value(dealt, "item", "v").select("key", "item", "c", "at", "nb", "v"))
     # blocks i and j of a key are a task: rows of block i meet those of block j
-    sides = ready(open_, "v").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "c", "at", "v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-    left = sides.select("key", "i", "j", F.col("c").alias("a"), F.col("v").alias("va"), F.col("at").alias("ia"))
-    right = sides.select(F.col("key").alias("key2"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("c").alias("b"), F.col("v").alias("vb"), F.col("at").alias("ib"))
+    sides = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "item", "c", "at", "v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    left = sides.select("key", "i", "j", F.col("item").alias("a"), F.col("c").alias("ca"), F.col("v").alias("va"), F.col("at").alias("ia"))
+    right = sides.select(F.col("key").alias("key2"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("item").alias("b"), F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("at").alias("ib"))
     same = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
     once = (F.col("i") == F.col("j")) | (F.col("ia") != F.col("ib"))
-    more = scratch.cut(left.join(right, same & once & (F.col("a") < F.col("b")) & near("va", "vb")).select("a", "b").distinct())
+    more = scratch.cut(left.join(right, same & once & (F.col("ca") < F.col("cb")) & near("va", "vb")).select("a", "b").distinct())
     scratch.drop(open_)
     return known if more.isEmpty() else joined(more, known)
 

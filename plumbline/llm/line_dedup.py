@@ -5,8 +5,8 @@ position; a shorter line is one shingle. A line's signature is the least hash of
 constants. A band's key is four minima: the 16 are the points of the affine plane of order four, its 20 lines
 are the bands, any two of which have one minimum in common at most. A pair at similarity exactly 0.8 shares a
 band with probability 0.995 (counted over all 2**16 cases), as ten bands with forty minima of their own would.
-Lines that share a band are candidates, and a candidate pair counts when the exact Jaccard similarity of the
-two sets is MIN_SIMILARITY or more. Linked lines form components by distributed star rounds; of each component
+Lines that share a band are candidates; of these, pairs agree in AGREE of MORE other minima, or are far below the
+threshold and left out; a pair then counts when the exact Jaccard similarity of the two sets is MIN_SIMILARITY or more. Linked lines form components by distributed star rounds; of each component
 one line stays in the whole corpus, the first by (doc_id, text hash, line number), and the others go.
 
 Distinct lines alone are compared, and of a band's members those that are not in one component yet.
@@ -26,6 +26,9 @@ from plumbline.llm.common import Scratch, Sealed, key_filter, link_by_keys, pass
 SHINGLE, MIN_SIMILARITY = 12, 0.8
 #: Order of the plane whose points are the minima and whose lines are the bands.
 ORDER = 4
+#: Minima of a candidate's second signature, and how many of a pair's have to agree before the sets are compared: at similarity
+#: 0.8 fewer do with probability 0.0004.
+MORE, AGREE = 96, 64
 
 
 def _constants(n: int) -> list[int]:
@@ -80,13 +83,21 @@ def with_set(rows: DataFrame, line: str, k: int = SHINGLE) -> DataFrame:
     return rows.withColumn(line, F.explode(F.array(F.array_distinct(F.when(F.length(low) < k, F.array(low)).otherwise(every)))))
 
 
+def hashed(lines: DataFrame, *keep: str) -> DataFrame:
+    """Rows (*keep, p, h): the hash h of the shingle at each place p of the lines."""
+    code = lines.select(*keep, coded("line").alias("code"))
+    each = code.select(*keep, "code", F.explode(places(F.col("code"))).alias("p"))
+    return each.select(*keep, "p", shingle(F.col("code"), F.col("p")).alias("h"))
+
+
+def least(n: int, skip: int, drop: int) -> list[Column]:
+    """The least of h under n XOR constants, less its lowest bits."""
+    return [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), drop)).alias(f"m{i}") for i, c in enumerate(_constants(skip + n)[skip:])]
+
+
 def signatures(lines: DataFrame) -> DataFrame:
     """Rows (lid, chk, n, keys): a distinct line, its count and its bands' keys. The minima of a line's copies are combined before the one shuffle; no text is shuffled."""
-    code = lines.select("lid", "chk", coded("line").alias("code"))
-    each = code.select("lid", "chk", "code", F.explode(places(F.col("code"))).alias("p"))
-    h = each.select("lid", "chk", "p", shingle(F.col("code"), F.col("p")).alias("h"))
-    least = [F.min(F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(c)), 24)).alias(f"m{i}") for i, c in enumerate(_constants(ORDER * ORDER))]
-    sig = h.groupBy("lid").agg(F.max("chk").alias("chk"), F.count_if(F.col("p") == 1).alias("n"), *least)
+    sig = hashed(lines, "lid", "chk").groupBy("lid").agg(F.max("chk").alias("chk"), F.count_if(F.col("p") == 1).alias("n"), *least(ORDER * ORDER, 0, 24))
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{i}") for i in band]) for b, band in enumerate(plane())])
     return sig.select("lid", "chk", "n", keys.alias("keys"))
 
@@ -100,14 +111,26 @@ def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, simi
     """Rows (lid, chk, component) of the lines that recur or are linked."""
     sigs = scratch.cut(signatures(lines_of(docs, key, text)))
     scratch.tidy()
+    lines: list[DataFrame] = []
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        """The wanted lines. A line is several times smaller than its set, so sets are made where they are compared."""
+    def second(wanted: DataFrame) -> DataFrame:
+        """The wanted lines' second signatures; the lines themselves are kept aside."""
         some = scratch.cut(sigs.select("lid", "chk").join(wanted, F.col("lid") == F.col("item"), "left_semi"))
         held = pass_filter(lines_of(docs, key, text).select("lid", "chk", "line"), key_filter(some, "lid"), "lid").dropDuplicates(["lid", "chk"])
-        return scratch.cut(held.join(some, ["lid", "chk"], "left_semi").select(F.col("lid").alias("item"), F.col("line").alias("v")))
+        lines.append(scratch.cut(held.join(some, ["lid", "chk"], "left_semi").select("lid", "line")))
+        minima = hashed(lines[0], "lid").groupBy("lid").agg(*least(MORE, ORDER * ORDER, 33))
+        return scratch.cut(minima.select(F.col("lid").alias("item"), F.array(*[F.col(f"m{i}").cast("int") for i in range(MORE)]).alias("v")))
+
+    def agree(a: str, b: str) -> Column:
+        return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """A line is several times smaller than its set, so sets are made where they are compared."""
+        a, b = (lines[0].select(F.col("lid").alias(n), F.col("line").alias(f"v{n}")) for n in "ab")
+        both = with_set(with_set(pairs.join(a, "a").join(b, "b"), "va"), "vb")
+        return scratch.cut(both.where(alike("va", "vb", similarity)).select("a", "b"))
 
-    linked = link_by_keys(sigs.select(F.explode("keys").alias("key"), F.col("lid").alias("item")), lambda a, b: alike(a, b, similarity), scratch, texts, with_set)
+    linked = link_by_keys(sigs.select(F.explode("keys").alias("key"), F.col("lid").alias("item")), agree, scratch, second, exact)
     of = sigs.select("lid", "chk", "n").join(linked, F.col("lid") == F.col("node"), "left")
     return of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
 
