@@ -1,22 +1,25 @@
 """SentencePiece encoding and decoding, with several distinct sampled segmentations of each text.
 
-The text, with its spaces as the piece mark, is cut in units: a mark and at most UNIT code points that are
-not white space. A unit's lattice holds every vocabulary piece inside it (bytes for a code point without
-one); its NBEST best segmentations, tempered by ALPHA, are its choices, as in the library's own n-best
-sampling. A text's segmentation is a choice for each unit.
-
-Sampling is Gumbel top-k without replacement by best-first search. A node is a prefix of choices; its
-perturbed score, drawn top-down given its parent's, is exactly the greatest among the segmentations below
-it, which makes it the bound of an A-star search. The greatest child has its parent's score, so a popped
-node is followed to its end in one vectorised pass, and the others on the way wait in the queue. The first
-k ends are the k distinct samples; with the k+1st score as threshold t, a sample of log-probability p is in
-the result with probability 1 - exp(-exp(p - t)), its inclusion score. Draws are seeded by the row's key.
+The text, with its spaces as the piece mark, has a lattice: an edge for each vocabulary piece at each place,
+and for the bytes of a code point without a piece. Sampling is over all its paths; a path's probability is
+proportional to the product of its pieces' weights to the power ALPHA. The lattice falls into units, cut
+between neighbours that stand beside each other in no piece, so no path crosses a cut. Backward log-sums
+over a unit's lattice, kept for units met again, give each edge's probability given its start.
+
+Sampling is Gumbel top-k without replacement by A-star search. A node is a prefix of edges; its perturbed
+score, drawn top-down given its parent's, is exactly the greatest among the paths below it, and so is the
+search's bound. The greatest child has its parent's score, so a popped node is followed to its end, for
+many texts at once, and the other edges on its way wait in the text's queue. The first k ends are the k
+distinct samples; with the k+1st score as threshold t, a path of log-probability p is in the result with
+probability 1 - exp(-exp(p - t)), its inclusion score. Each draw is a hash of the row's key, the sample, and
+the place in the lattice, so results depend on neither batches nor tasks.
 
 The BPE vocabulary has ranks instead of probabilities; a piece of rank r weighs 1 / (r + OFFSET).
 
 Defined results: a null text gives no rows; an empty text one sample without pieces; a text with fewer
 segmentations than k gives them all, with inclusion 1; rows of one key and text give equal samples; very
-long texts are read whole; an empty table gives none. decode() returns exactly the text.
+long texts are read whole; an empty table gives none; other columns are left out. decode() returns exactly
+the text.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +35,14 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import ship, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SAMPLES, NBEST, ALPHA, UNIT, OFFSET, SEED = 2, 4, 0.5, 15, 10, "sp-1"
-MARK, SENTINEL = "▁", "\ud800"
+SAMPLES, ALPHA, OFFSET, SEED = 2, 0.5, 10, "sp-2"
 #: A lone surrogate, which no valid text has, stands for a mark that is in the text itself.
-UNITS = re.compile(MARK + r"?[^\s" + MARK + "]{1," + str(UNIT) + "}|.", re.S)
-#: Units remembered by a task before it starts anew.
-REMEMBERED = 300_000
+MARK, SENTINEL = "▁", "\ud800"
+#: Slots of units that a task remembers before it starts anew, and texts that are walked together.
+REMEMBERED, TOGETHER = 1 << 21, 96
+#: Code points below this have a table of which may be neighbours within a piece.
+NEAR = 0x250
+GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 
 
 def pieces_of(model: str = MODEL) -> list[str]:
@@ -47,181 +53,337 @@ def pieces_of(model: str = MODEL) -> list[str]:
     return [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
 
 
+def exponentials(key, number):
+    """Standard exponential draws, a hash of key and number each (SplitMix64)."""
+    import numpy as np
+
+    x = key + number * np.uint64(GOLDEN)
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(MIX1)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(MIX2)
+    x ^= x >> np.uint64(31)
+    u = (x >> np.uint64(11)).astype(np.float64)
+    u += 0.5
+    u *= 2.0**-53
+    np.log(u, out=u)
+    return np.negative(u, out=u)
+
+
+def inner(starts, counts):
+    """0 .. count - 1 for each count, in a row, and starts repeated as often."""
+    import numpy as np
+
+    ends = np.cumsum(counts)
+    n = np.arange(int(ends[-1]) if len(ends) else 0)
+    n -= np.repeat(ends - counts, counts)
+    return n, np.repeat(starts, counts)
+
+
 class Lattice:
-    """Units' n-best segmentations: log-probabilities (unit, choice) and piece ids in one flat array."""
+    """Units' lattices in flat arrays. A unit of n code points has n + 1 slots; a slot's edges stand in a row."""
 
-    def __init__(self, pieces: list[str], nbest: int = NBEST, alpha: float = ALPHA):
+    def __init__(self, pieces: list[str], alpha: float = ALPHA):
         import numpy as np
 
-        self.k, self.alpha, self.size = nbest, alpha, len(pieces)
+        self.alpha, self.size = alpha, len(pieces)
         self.byte0 = pieces.index("<0x00>")
         words = {p: i for i, p in enumerate(pieces) if not re.fullmatch(r"<.*>", p)}
         starts = dict.fromkeys((p[:n] for p in words for n in range(1, len(p))), -1)
         hashed = sorted((self._hash(p), i) for p, i in (starts | words).items())  # pieces, and beginnings of pieces as -1
         self.keys = np.array([h for h, _ in hashed], np.uint64)
         self.ids = np.array([i for _, i in hashed], np.int64)
-        self.weight = np.array([-np.log(max(i - self.byte0 - 255, 0) + OFFSET) for i in range(len(pieces))])
-        self.byte_weight = -np.log(len(pieces))
+        rank = np.maximum(np.arange(len(pieces)) - self.byte0 - 255, 0)
+        self.weight = -np.log(rank + OFFSET) * alpha
+        self.byte_weight = -np.log(len(pieces)) * alpha
+        beside = {(ord(a), ord(b)) for p in words for a, b in zip(p, p[1:])}
+        self.beside = np.array(sorted(a << 21 | b for a, b in beside), np.uint64)
+        self.low = np.zeros((NEAR, NEAR), bool)
+        for a, b in beside:
+            if a < NEAR and b < NEAR:
+                self.low[a, b] = True
+        self.mark_after, self.mark_before = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+        for a, b in beside:
+            if b == ord(MARK) and a < 1 << 16:
+                self.mark_after[a] = True
+            if a == ord(MARK) and b < 1 << 16:
+                self.mark_before[b] = True
         self.forget()
 
     @staticmethod
     def _hash(piece: str) -> int:
         h = 0
         for ch in piece:
-            h = (h * 0x9E3779B97F4A7C15 + ord(ch) + 1) & 0xFFFFFFFFFFFFFFFF
+            h = (h * GOLDEN + ord(ch) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
     def forget(self) -> None:
         import numpy as np
 
         self.at: dict[str, int] = {}
-        self.logp = self.inverse = np.zeros((0, self.k))
-        self.start = np.zeros((0, self.k), np.int64)
-        self.count = np.zeros((0, self.k), np.int64)
-        self.flat = np.zeros(0, np.int64)
+        self.room: dict = {}
+        self.base = np.zeros(0, np.int64)  # a unit's first slot
+        self.stop = np.zeros(0, np.int64)  # and its last, which has no edges
+        self.first = np.zeros(1, np.int64)  # a slot's first edge; one more at the end
+        self.logq = self.inverse = np.zeros(0)
+        self.piece = np.zeros(0, np.int32)
+        self.step = np.zeros(0, np.int32)
+
+    def _grow(self, name: str, at: int, values) -> None:
+        """Writes values at a place of an array and lets it end there; the room behind it doubles where it runs out."""
+        import numpy as np
 
-    def add(self, units: list[str]) -> None:
-        """Finds the n best segmentations of new units, all units of a length at once."""
+        room = self.room.get(name)
+        if room is None or len(room) < at + len(values):
+            new = np.empty(max(2 * (at + len(values)), 1 << 12), getattr(self, name).dtype)
+            new[:at] = getattr(self, name)[:at]
+            self.room[name] = room = new
+        room[at : at + len(values)] = values
+        setattr(self, name, room[: at + len(values)])
+
+    def prepared(self, text: str) -> str:
+        return (MARK + text.replace(MARK, SENTINEL).replace(" ", MARK)) if text else ""
+
+    def units(self, text: str) -> list[str]:
+        """The prepared text, cut between code points that are neighbours in no piece."""
         import numpy as np
 
-        if len(self.at) + len(units) > REMEMBERED:
-            self.forget()
-        by: dict[int, list[str]] = {}
-        for u in units:
-            by.setdefault(len(u), []).append(u)
-        logps, starts, counts, flats, base = [self.logp], [self.start], [self.count], [self.flat], len(self.flat)
-        for n, us in sorted(by.items()):
-            for u in us:
-                self.at[u] = len(self.at)
-            lp, st, ct, fl = self._solve(us, n)
-            logps.append(lp)
-            starts.append(st + base)
-            counts.append(ct)
-            flats.append(fl)
-            base += len(fl)
-        self.logp, self.start, self.count, self.flat = np.concatenate(logps), np.concatenate(starts), np.concatenate(counts), np.concatenate(flats)
-        self.inverse = np.exp(-self.logp)
-
-    def _solve(self, us: list[str], n: int):
+        t = self.prepared(text)
+        if len(t) < 2:
+            return [t] if t else []
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        a, b = c[:-1], c[1:]
+        joined = np.zeros(len(a), bool)
+        small = (a < NEAR) & (b < NEAR)
+        joined[small] = self.low[a[small], b[small]]
+        mark = ord(MARK)
+        before, after = (a == mark) & (b < 1 << 16), (b == mark) & (a < 1 << 16)
+        joined[before] = self.mark_before[b[before]]
+        joined[after] = self.mark_after[a[after]]
+        rest = np.flatnonzero(~(small | before | after))
+        if len(rest):
+            pair = (a[rest] << 21 | b[rest]).astype(np.uint64)
+            joined[rest] = self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] == pair
+        cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(t)]
+        return [t[s:e] for s, e in zip(cuts, cuts[1:])]
+
+    def rows(self, texts: list[list[str]]) -> list:
+        """The numbers of the units of each text; new units are solved first."""
         import numpy as np
 
-        m, k = len(us), self.k
-        code = np.frombuffer("".join(us).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).astype(np.uint64)
-        best = np.full((n + 1, m, k), -np.inf)
-        best[n, :, 0] = 0
-        back = np.zeros((n, m, k), np.int64)  # the next step's id, length and rank, 32 + 8 + 8 bits
-        for i in range(n - 1, -1, -1):
-            live, h = np.arange(m), np.zeros(m, np.uint64)
-            for length in range(1, n - i + 1):
-                h = h * np.uint64(0x9E3779B97F4A7C15) + code[live, i + length - 1] + np.uint64(1)
-                j = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                begun = self.keys[j] == h
-                pid = np.where(begun, self.ids[j], -1)
-                w = self.weight[pid]
-                if length == 1:  # bytes where the vocabulary lacks the code point
-                    c = code[:, i].astype(np.int64)
-                    wide = np.where(c == ord(SENTINEL), 3, 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
-                    w = np.where(pid >= 0, w, wide * self.byte_weight)
-                    pid = np.where(pid >= 0, pid, np.where(wide == 1, self.byte0 + c, self.size + c))
-                some = pid >= 0
-                if some.any():
-                    r = live[some]
-                    cand = w[some, None] + best[i + length, r]
-                    new = (pid[some, None] << 16) + ((length << 8) + np.arange(k))
-                    if length == 1:
-                        best[i, r], back[i, r] = cand, new
-                    else:
-                        both = np.concatenate([best[i, r], cand], axis=1)
-                        order = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                        best[i, r] = np.take_along_axis(both, order, axis=1)
-                        back[i, r] = np.take_along_axis(np.concatenate([back[i, r], new], axis=1), order, axis=1)
-                live, h = live[begun], h[begun]
-                if not len(live):
-                    break
-        s = best[0] * self.alpha
-        top = s[:, :1]
-        logp = s - top - np.log(np.exp(s - top).sum(axis=1, keepdims=True))
-        flat, count = [], np.zeros((m, k), np.int64)
-        for r in range(k):
-            ok = np.flatnonzero(np.isfinite(logp[:, r]))
-            out, pos, rk = np.full((m, n), -1, np.int64), np.zeros(m, np.int64), np.full(m, r, np.int64)
-            live, at = ok, 0
-            while len(live):
-                p, q = pos[live], rk[live]
-                b = back[p, live, q]
-                out[live, at] = b >> 16
-                pos[live], rk[live] = p + (b >> 8 & 255), b & 255
-                at += 1
-                live = live[pos[live] < n]
-            count[:, r] = (out >= 0).sum(axis=1)
-            flat.append(out)
-        flat_ = np.stack(flat, axis=1)  # unit, choice, place
-        ends = np.cumsum(count.reshape(-1))
-        return logp, (ends - count.reshape(-1)).reshape(m, k), count, flat_[flat_ >= 0]
+        new = [u for u in dict.fromkeys(chain.from_iterable(texts)) if u not in self.at]
+        if new:
+            if len(self.first) + sum(map(len, new)) > REMEMBERED:
+                self.forget()
+                new = list(dict.fromkeys(chain.from_iterable(texts)))
+            self.add(new)
+        return [np.fromiter(map(self.at.__getitem__, us), np.int64, len(us)) for us in texts]
 
-    def units(self, text: str) -> list[str]:
-        return UNITS.findall((MARK + text.replace(MARK, SENTINEL).replace(" ", MARK)) if text else "")
+    def add(self, units: list[str]) -> None:
+        import numpy as np
 
-    def ids_of(self, rows, choice):
-        """The piece ids of a choice for each unit; a code point without a piece becomes its bytes."""
+        for u in units:
+            self.at[u] = len(self.at)
+        n = np.fromiter(map(len, units), np.int64, len(units))
+        code = np.frombuffer("".join(u + "\0" for u in units).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        stop = np.cumsum(n + 1) - 1
+        left = np.repeat(stop, n + 1) - np.arange(len(code))  # code points up to the unit's end
+        slots, ids, lengths = [], [], []
+        live, h = np.flatnonzero(left), np.zeros(int((left > 0).sum()), np.uint64)
+        length = 1
+        while len(live):
+            h = h * np.uint64(GOLDEN) + code[live + length - 1] + np.uint64(1)
+            j = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            begun = self.keys[j] == h
+            pid = np.where(begun, self.ids[j], -1)
+            if length == 1:  # bytes where the vocabulary lacks the code point
+                pid = np.where(pid >= 0, pid, self.size + code[live].astype(np.int64))
+            some = pid >= 0
+            slots.append(live[some])
+            ids.append(pid[some])
+            lengths.append(np.full(int(some.sum()), length))
+            begun &= left[live] > length
+            live, h = live[begun], h[begun]
+            length += 1
+        slot, pid, step = np.concatenate(slots), np.concatenate(ids), np.concatenate(lengths)
+        order = np.argsort(slot, kind="stable")
+        slot, pid, step = slot[order], pid[order], step[order]
+        c = np.maximum(pid - self.size, 0)
+        wide = np.where(c == ord(SENTINEL), 3, 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        w = np.where(pid < self.size, self.weight[np.minimum(pid, self.size - 1)], wide * self.byte_weight)
+        first = np.searchsorted(slot, np.arange(len(code) + 1))
+        back = np.zeros(len(code))  # log of the summed weights of the paths from a slot to the unit's end
+        by = np.argsort(left, kind="stable")
+        edge = np.searchsorted(left[by], np.arange(1, int(left.max()) + 2))
+        for lo, hi in zip(edge.tolist(), edge[1:].tolist()):
+            s = by[lo:hi]
+            count = first[s + 1] - first[s]
+            i, e = inner(first[s], count)
+            e += i
+            v = w[e] + back[slot[e] + step[e]]
+            at = np.cumsum(count) - count
+            top = np.maximum.reduceat(v, at)
+            back[s] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), at))
+        q = w + back[slot + step] - back[slot]
+        slots0, edges0 = len(self.first) - 1, len(self.logq)
+        self._grow("base", len(self.base), stop - n + slots0)
+        self._grow("stop", len(self.stop), stop + slots0)
+        self._grow("first", slots0, first + edges0)
+        for name, values in (("logq", q), ("inverse", np.exp(-q)), ("piece", pid), ("step", step)):
+            self._grow(name, edges0, values)
+
+    def walk(self, slot, stop, key):
+        """Follows each (slot, stop) to its end by drawn edges.
+
+        Returns (counts, edges, degrees, draws): steps of each walk; the steps' edges in a row; and the edges that each step
+        had, with each one's draw beyond the taken one's (0 for it).
+        """
         import numpy as np
 
-        n = self.count[rows, choice]
-        total = int(n.sum())
-        if not total:
-            return np.zeros(0, np.int64)
-        ends = np.cumsum(n)
-        ids = self.flat[np.arange(total) + np.repeat(self.start[rows, choice] - (ends - n), n)]
-        if (ids >= self.size).any():
-            out: list[int] = []
-            for i in ids.tolist():
-                if i < self.size:
-                    out.append(i)
-                else:
-                    ch = chr(i - self.size)
-                    out += [self.byte0 + b for b in (MARK if ch == SENTINEL else ch).encode("utf-8", "surrogatepass")]
-            return np.array(out, np.int64)
-        return ids
-
-    def sample(self, rows, k: int, seed: int):
-        """At most k distinct (choices, log-probability, inclusion), from the greatest perturbed score down."""
+        who, t, steps = np.arange(len(slot)), 0, np.zeros(len(slot), np.int64)
+        out = []
+        live = slot < stop
+        who, at, stop, key = who[live], slot[live], stop[live], key[live]
+        while len(who):
+            start = self.first[at]
+            degree = self.first[at + 1] - start
+            i, e = inner(start, degree)
+            e += i
+            i += (t << 8) + 1
+            draw = exponentials(np.repeat(key, degree), i.astype(np.uint64))
+            draw *= self.inverse[e]
+            begin = np.cumsum(degree) - degree
+            least = np.minimum.reduceat(draw, begin)
+            draw -= np.repeat(least, degree)
+            place = np.flatnonzero(draw == 0)
+            if len(place) != len(who):  # equal draws: the first of a step counts
+                owner = np.repeat(np.arange(len(who)), degree)[place]
+                place = place[np.unique(owner, return_index=True)[1]]
+            took = e[place]
+            out.append((who, t, took, degree, e, draw))
+            steps[who] += 1
+            at = at + self.step[took]
+            live = at < stop
+            who, at, stop, key = who[live], at[live], stop[live], key[live]
+            t += 1
+        offset = np.cumsum(steps) - steps
+        edges, degrees = np.zeros(int(steps.sum()), np.int64), np.zeros(int(steps.sum()), np.int64)
+        for w, t, took, degree, _, _ in out:
+            edges[offset[w] + t], degrees[offset[w] + t] = took, degree
+        begin = np.cumsum(degrees) - degrees
+        all_edges, draws = np.zeros(int(degrees.sum()), np.int64), np.zeros(int(degrees.sum()))
+        for w, t, _, degree, e, draw in out:
+            i, b = inner(begin[offset[w] + t], degree)
+            b += i
+            all_edges[b], draws[b] = e, draw
+        return steps, edges, degrees, all_edges, draws
+
+    def sample(self, texts: list, k: int, seeds: list[int]) -> list[list[tuple]]:
+        """For each text (unit numbers) at most k distinct (edges, log-probability, inclusion), from the greatest perturbed score down."""
         import numpy as np
 
-        rng = np.random.Generator(np.random.PCG64(seed))
-        n = len(rows)
-        logp, inverse = self.logp[rows], self.inverse[rows]
+        n = len(texts)
+        seed = np.array(seeds, np.uint64)
         # A Gumbel score at log-probability l is l - log E, E exponential: with a = E / p the greatest child has the least a,
         # and given the parent's score g, a sibling's is -log(exp(-g) + exp(-head) * (a - least)), head the prefix's log-probability.
-        queue = [(float(np.log(rng.standard_exponential())), 0, 0, -1, None, 0.0)]  # -score, order, unit, choice there, choices before, their log-probability
-        got, pushed = [], 1
-        while queue and len(got) < k:
-            minus, _, j, c, before, phi = heapq.heappop(queue)
-            choices = np.zeros(n, np.int64) if before is None else before.copy()
-            if c >= 0:
-                phi += float(logp[j, c])
-                choices[j] = c
-                j += 1
-            if j < n:
-                a = (rng.standard_exponential((n - j, self.k)) + 1e-300) * inverse[j:]
-                pick = a.argmin(axis=1)
-                each = np.arange(n - j)
-                choices[j:] = pick
-                took = logp[j:][each, pick]
-                head = phi + np.concatenate([[0.0], np.cumsum(took)[:-1]])
-                a -= a[each, pick][:, None]
-                a[each, pick] = np.inf
-                with np.errstate(divide="ignore"):
-                    late = (np.log(a) - head[:, None]).reshape(-1)
-                need = k - len(got) + 1  # no more than these can still be popped, the threshold included
-                best = np.argpartition(late, need - 1)[:need] if len(late) > need else np.arange(len(late))
-                for f in sorted(best.tolist(), key=lambda f: (late[f], f)):
-                    if late[f] < np.inf:
-                        heapq.heappush(queue, (float(np.logaddexp(minus, late[f])), pushed, j + f // self.k, f % self.k, choices, float(head[f // self.k])))
-                        pushed += 1
-                phi = float(head[-1] + took[-1])
-            got.append((choices, phi))
-        limit = -queue[0][0] if queue else None
-        return [(c, p, 1.0 if limit is None else float(-np.expm1(-np.exp(p - limit)))) for c, p in got]
+        root = np.log(exponentials(seed, np.zeros(n, np.uint64)))
+        got: list[list] = [[] for _ in range(n)]
+        queues: list[list] = [[] for _ in range(n)]
+        # what is followed now: (text, -score, edges before, their log-probability, unit and slot to go on from)
+        now = [(d, float(root[d]), np.zeros(0, np.int64), 0.0, 0, -1) for d in range(n)]
+        for r in range(k):
+            starts, stops, keys, counts = [], [], [], []
+            for d, _, _, _, u, slot in now:
+                rest = texts[d][u:]
+                start = self.base[rest]
+                if slot >= 0:
+                    start[0] = slot
+                starts.append(start)
+                stops.append(self.stop[rest])
+                keys.append(np.arange(u, u + len(rest), dtype=np.uint64) * np.uint64(MIX1) + np.uint64((int(seed[d]) + (r + 1) * MIX2) % (1 << 64)))
+                counts.append(len(rest))
+            steps, edges, degrees, every, draws = self.walk(np.concatenate(starts), np.concatenate(stops), exponential_key(np.concatenate(keys)))
+            ends = np.cumsum(counts)
+            step_end = np.concatenate([[0], np.cumsum(steps)])[np.concatenate([[0], ends])]
+            edge_end = np.concatenate([[0], np.cumsum(degrees)])
+            took = self.logq[edges]
+            run = np.cumsum(took)
+            before = run - took
+            owner = np.repeat(np.arange(len(edges)), degrees)
+            with np.errstate(divide="ignore"):
+                late = np.log(draws)
+            late[draws == 0] = np.inf
+            at = 0
+            for j, (d, minus, prefix, phi, u, _) in enumerate(now):
+                s, e = int(step_end[j]), int(step_end[j + 1])
+                shift = phi - (float(before[s]) if e > s else 0.0)
+                own = np.concatenate([prefix, edges[s:e]])
+                got[d].append((own, phi + (float(run[e - 1]) - float(before[s]) if e > s else 0.0)))
+                lo, hi = int(edge_end[s]), int(edge_end[e])
+                if hi > lo:
+                    value = late[lo:hi] - before[owner[lo:hi]]
+                    need = k - r  # no more than these can still be popped, the threshold included
+                    best = np.argpartition(value, need - 1)[:need] if hi - lo > need else np.arange(hi - lo)
+                    walks = steps[at : at + counts[j]]
+                    for i in best.tolist():
+                        if value[i] < np.inf:
+                            step = int(owner[lo + i])
+                            unit = u + int(np.searchsorted(np.cumsum(walks), step - s, side="right"))
+                            head = float(before[step]) + shift
+                            heapq.heappush(queues[d], (float(np.logaddexp(minus, value[i] - shift)), r, lo + i, own[: len(prefix) + step - s], head, int(every[lo + i]), unit))
+                at += counts[j]
+            now = []
+            if r + 1 < k:
+                for d in range(n):
+                    if len(got[d]) == r + 1 and queues[d]:
+                        minus, _, _, before_, head, edge, unit = heapq.heappop(queues[d])
+                        slot = int(np.searchsorted(self.first, edge, side="right")) - 1 + int(self.step[edge])
+                        now.append((d, minus, np.append(before_, edge), head + float(self.logq[edge]), unit, slot))
+            if not now:
+                break
+        out = []
+        for d in range(n):
+            limit = -queues[d][0][0] if queues[d] else None
+            out.append([(e, p, 1.0 if limit is None else float(-np.expm1(-np.exp(p - limit)))) for e, p in got[d]])
+        return out
+
+    def ids_of(self, paths: list):
+        """The piece ids of the paths' edges in a row, and the number of ids of each path. A code point without a piece becomes its bytes."""
+        import numpy as np
+
+        ids = self.piece[np.concatenate(paths)]
+        count = np.fromiter(map(len, paths), np.int64, len(paths))
+        odd = np.flatnonzero(ids >= self.size)
+        if not len(odd):
+            return ids, count
+        c = ids[odd] - self.size
+        c[c == ord(SENTINEL)] = ord(MARK)
+        wide = 1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)
+        i, c2 = inner(c, wide)
+        w = np.repeat(wide, wide)
+        bits = c2 >> (6 * (w - 1 - i))
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[w]
+        byte = np.where(w == 1, c2, np.where(i == 0, lead | bits, 0x80 | bits & 0x3F))
+        size = np.ones(len(ids), np.int64)
+        size[odd] = wide
+        ends = np.cumsum(size)
+        out = np.empty(int(ends[-1]), np.int32)
+        plain = np.ones(len(ids), bool)
+        plain[odd] = False
+        out[ends[plain] - 1] = ids[plain]
+        out[np.repeat(ends[odd] - wide, wide) + i] = self.byte0 + byte
+        edge_ends = np.cumsum(count)
+        upto = np.concatenate([[0], ends])
+        return out, upto[edge_ends] - upto[edge_ends - count]
+
+
+def exponential_key(x):
+    """Keys of walks, mixed so that neighbouring units' draws have nothing in common."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(MIX1)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(MIX2)
+    return x ^ (x >> np.uint64(31))
 
 
 def decode_ids(ids, pieces: list[str], byte0: int) -> str:
@@ -231,7 +393,7 @@ def decode_ids(ids, pieces: list[str], byte0: int) -> str:
     return out.decode("utf-8", "surrogatepass")[1:]
 
 
-def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, nbest: int = NBEST, alpha: float = ALPHA, seed: str = SEED, model: str = MODEL) -> DataFrame:
+def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, alpha: float = ALPHA, seed: str = SEED, model: str = MODEL) -> DataFrame:
     """Rows (key, sample from 0, ids, logp, inclusion)."""
     ship(__name__)
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(model))
@@ -241,31 +403,23 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        lattice = Lattice(pieces.value, nbest, alpha)
+        lattice = Lattice(pieces.value, alpha)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, TOGETHER):
+                part = b.slice(at, TOGETHER)
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-                cut = [None if t is None else lattice.units(t) for t in texts]
-                new = [u for u in dict.fromkeys(u for us in cut if us for u in us) if u not in lattice.at]
-                if new:
-                    if len(lattice.at) + len(new) > REMEMBERED:
-                        new = list(dict.fromkeys(u for us in cut if us for u in us))
-                    lattice.add(new)
-                rows: list = []
-                for r, us in enumerate(cut):
-                    if us is None:
-                        continue
-                    units = np.array([lattice.at[u] for u in us], np.int64)
-                    for s, (choice, p, q) in enumerate(lattice.sample(units, samples, xxh64_intdigest(f"{seed}:{keys[r]}".encode()))):
-                        rows.append((r, s, lattice.ids_of(units, choice).astype(np.int32), p, q))
-                if rows:
-                    r, s, ids, p, q = zip(*rows)
-                    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(s, pa.int32()), lists, pa.array(p), pa.array(q)], [key, "sample", "ids", "logp", "inclusion"])
-
-    return docs.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"{key} long, sample int, ids array<int>, logp double, inclusion double")
+                some = [i for i, t in enumerate(texts) if t is not None]
+                if not some:
+                    continue
+                units = lattice.rows([lattice.units(texts[i]) for i in some])
+                got = lattice.sample(units, samples, [xxh64_intdigest(f"{seed}:{keys[i]}".encode()) for i in some])
+                r, s, edges, p, q = zip(*[(i, s, e, p, q) for i, each in zip(some, got) for s, (e, p, q) in enumerate(each)])
+                ids, n = lattice.ids_of(edges)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(s, pa.int32()), lists, pa.array(p), pa.array(q)], ["key", "sample", "ids", "logp", "inclusion"])
+
+    narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    return narrow.mapInArrow(run, "key long, sample int, ids array<int>, logp double, inclusion double").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, ids: str = "ids", model: str = MODEL, name: str = "decoded") -> DataFrame:
