@@ -11,10 +11,14 @@ repetitive text entries are few. All windows of LENGTH bytes at one anchor hold
 they share, so an entry whose core occurs once is done with.
 
 Order. A corpus suffix cut at LENGTH bytes is a suffix of an entry and belongs to all its places. The
-suffixes of entries that share a core are put in order of their keys (core, left part, right part) and
-met there with equal ones; an entry with several places repeats as a whole. Only whether neighbours in
-that order agree over LENGTH bytes matters here, so keys are fingerprints of the parts, 64 bits beside the
-core's 64, and not the parts themselves.
+suffixes of entries that share a core are put in order of (core, key) and met there with equal ones; an
+entry with several places repeats as a whole. Only whether neighbours in that order agree over LENGTH
+bytes matters here, so keys are fingerprints of the stretches, not the stretches themselves.
+
+Cores, contexts and keys are polynomial hashes modulo 2**64 from one pass of prefix sums over a text, and
+equality is by them: two stretches count as equal when the 64 bits of the core and the 64 of the context or
+key agree. With 10**12 entries (100 TB), each met with some ten others of its core, a wrong meeting anywhere
+has a probability of about 10**-6.
 
 No step holds a group: counts are combined before shuffles, and hot cores spread over their windows.
 
@@ -30,15 +34,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, key_filter, ship, table
+from plumbline.llm.common import Scratch, key_filter, pass_filter, ship, table, with_maybe
 
 LENGTH = 400
 WINDOW = 16
 #: The largest spread for which the anchor and its neighbourhood lie inside every stretch.
 SPREAD = (LENGTH - WINDOW) // 4
-CHUNK = 1 << 20
-#: log2 of the bits of a filter handed to the tasks: 8 MB.
-BITS = 26
+#: Bytes that are hashed at once: many short texts, or a part of a long one.
+CHUNK = 1 << 19
 BASE, FINAL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _powers: dict = {}
 
@@ -55,18 +58,30 @@ def powers(n: int):
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def rolling(b, window: int = WINDOW):
-    """A mixed hash of each ``window`` bytes of a uint8 array."""
+def prefix_sums(b):
+    """Sums of (byte + 1) * BASE**i over the bytes before each place."""
+    import numpy as np
+
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers(max(len(b) + 1, 1 << 16))[0][: len(b)], out=sums[1:])
+    return sums
+
+
+def mixed(h):
     import numpy as np
 
-    n = len(b)
-    up, down = powers(max(n, 1 << 16))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    h = (sums[window:] - sums[:-window]) * down[: n - window + 1]
     h ^= h >> np.uint64(32)
     h *= np.uint64(FINAL)
-    return h ^ (h >> np.uint64(32))
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def stretch_hash(sums, start, end):
+    """A hash of the bytes from start to end, for arrays of both; lengths count."""
+    import numpy as np
+
+    h = (sums[end] - sums[start]) * powers(max(len(sums), 1 << 16))[1][start]
+    return mixed(h + (end - start).astype(np.uint64) * np.uint64(FINAL))
 
 
 def slide(h, width: int, f):
@@ -79,62 +94,55 @@ def slide(h, width: int, f):
     return f(cur[:n], cur[width - k : width - k + n]) if k < width else cur
 
 
-def triggers(data: bytes, window: int = WINDOW, spread: int = SPREAD):
-    """Positions whose hash is the least of some ``spread`` hashes in a row. Long texts go by chunks, with what each needs of its neighbours."""
+def triggers(b, sums, ends, window: int = WINDOW, spread: int = SPREAD):
+    """Positions, in the texts that lie in b one after another up to ``ends``, whose hash is the least of some ``spread`` hashes in a row of the text."""
     import numpy as np
 
-    b = np.frombuffer(data, np.uint8)
     n = len(b) - window + 1  # hashes
     if n < spread:
         return np.zeros(0, np.int64)
-    out = []
-    for at in range(0, n, CHUNK):
-        lo, hi = max(0, at - spread + 1), min(n, at + CHUNK + spread - 1)
-        h = rolling(b[lo : hi + window - 1], window)
-        if len(h) < spread:
-            lo = max(0, hi - 2 * spread)
-            h = rolling(b[lo : hi + window - 1], window)
-        edge = np.zeros(spread - 1, np.uint64)
-        top = slide(np.concatenate([edge, slide(h, spread, np.minimum), edge]), spread, np.maximum)
-        own = slice(at - lo, min(at + CHUNK, n) - lo)
-        out.append(np.flatnonzero(top[own] == h[own]) + at)
-    return np.concatenate(out)
-
-
-def anchors(data: bytes, length: int = LENGTH, spread: int = SPREAD):
-    """Arrays (anchor, first start, last start): each start has as anchor the first trigger at least ``spread`` after it."""
+    h = (sums[window:] - sums[:-window]) * powers(max(len(b) + 1, 1 << 16))[1][:n]
+    h = (mixed(h) >> np.uint64(32)).astype(np.uint32)
+    across = np.zeros(n, bool)
+    for e in ends:
+        across[max(0, e - window + 1) : e] = True  # hashes that run into the next text; a row with one of them has no least hash
+    h[across] = 0
+    edge = np.zeros(spread - 1, np.uint32)
+    top = slide(np.concatenate([edge, slide(h, spread, np.minimum), edge]), spread, np.maximum)
+    return np.flatnonzero((top == h) & ~across)
+
+
+def anchors(b, starts, ends, length: int = LENGTH, spread: int = SPREAD):
+    """Arrays (text, anchor, first start, last start, core, context) of the texts that lie in b: each start has as anchor the first trigger at least ``spread`` after it."""
     import numpy as np
 
-    if len(data) < length:
-        return (np.zeros(0, np.int64),) * 3
-    c = triggers(data, spread=spread)
-    before = np.concatenate([[-spread - 1], c[:-1]]) if len(c) else c
-    lo, hi = np.maximum(before - spread + 1, 0), np.minimum(c - spread, len(data) - length)
+    sums = prefix_sums(b)
+    c = triggers(b, sums, ends, spread=spread)
+    of = np.searchsorted(ends, c, side="right")
+    begin, end = starts[of], ends[of]
+    before = np.concatenate([[-(1 << 40)], c[:-1]]) if len(c) else c
+    lo, hi = np.maximum(before - spread + 1, begin), np.minimum(c - spread, end - length)
     ok = lo <= hi
-    return c[ok], lo[ok], hi[ok]
-
-
-def core_of(data: bytes, c: int, length: int = LENGTH, spread: int = SPREAD) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(data[c - spread : c + length - 2 * spread + 1])
-
-
-def _bitmap(keys: DataFrame, key: str):
-    """The filter of the keys as bytes: of one size, whatever the number of keys."""
-    import numpy as np
-
-    out = np.zeros(1 << (BITS - 3), np.uint8)
-    for r in key_filter(keys, key, BITS).toLocalIterator():
-        out[r._f * 4096 : (r._f + 1) * 4096] = np.frombuffer(bytes(r._bits), np.uint8)
-    return out
+    of, c, lo, hi = of[ok], c[ok], lo[ok], hi[ok]
+    core = stretch_hash(sums, c - spread, c + length - 2 * spread + 1)
+    # the context's place about the anchor counts
+    context = mixed(stretch_hash(sums, lo, hi + length) + (c - lo).astype(np.uint64) * np.uint64(BASE))
+    begin = starts[of]
+    return of, c - begin, lo - begin, hi - begin, core, context
 
 
-def _hit(bits, keys):
+def long_anchors(b, length: int = LENGTH, spread: int = SPREAD, chunk: int = CHUNK):
+    """The same for one long text, by parts with what each needs of its neighbours."""
     import numpy as np
 
-    k = keys & np.uint64((1 << BITS) - 1)
-    return (bits[(k >> np.uint64(3)).astype(np.int64)] >> (k & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    out = []
+    for at in range(0, len(b), chunk):
+        lo, hi = max(0, at - 2 * length), min(len(b), at + chunk + 2 * length)
+        _, c, s, e, core, context = anchors(b[lo:hi], np.zeros(1, np.int64), np.array([hi - lo]), length, spread)
+        own = (c + lo >= at) & (c + lo < at + chunk)
+        out.append([c[own] + lo, s[own] + lo, e[own] + lo, core[own], context[own]])
+    c, s, e, core, context = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    return np.zeros(len(c), np.int64), c, s, e, core, context
 
 
 #: Texts handled at once: what a worker holds follows from them, not from Arrow's batches.
@@ -147,97 +155,98 @@ def _parts(batches: Iterator) -> Iterator:
             yield b.slice(at, ROWS)
 
 
-def _bodies(batch, column: int):
-    for t in batch.column(column):
-        v = t.as_py()
-        yield b"" if v is None else v.encode("utf-8", "surrogatepass")
+def _bodies(batch, column: int) -> list[bytes]:
+    return [b"" if v is None else v.encode("utf-8", "surrogatepass") for v in batch.column(column).to_pylist()]
+
+
+def _heaps(bodies: list[bytes], length: int) -> Iterator:
+    """Lists of row numbers whose texts are hashed together: short ones up to CHUNK bytes, a long one alone. Texts under ``length`` have no stretch."""
+    heap, size = [], 0
+    for i, d in enumerate(bodies):
+        if len(d) < length:
+            continue
+        if size + len(d) > CHUNK and heap:
+            yield heap
+            heap, size = [], 0
+        heap.append(i)
+        size += len(d)
+    if heap:
+        yield heap
 
 
 def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
     """Rows (id, th, lo, hi) of docs (id, th, text): the starts lo to hi have a stretch that also starts elsewhere."""
-    sc, spread = docs.sparkSession.sparkContext, (length - WINDOW) // 4
+    spread = (length - WINDOW) // 4
 
-    def cores(batches: Iterator) -> Iterator:
+    def places(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        for b in _parts(batches):
-            got = [core_of(d, c, length, spread) for d in _bodies(b, 2) for c in anchors(d, length, spread)[0].tolist()]
-            core, n = np.unique(np.array(got, np.uint64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), pa.array(n.astype(np.int64))], ["core", "n"])
-
-    again = scratch.cut(docs.mapInArrow(cores, "core long, n long").groupBy("core").agg(F.sum("n").alias("n")).where("n > 1").select("core"), ROWS)
+        for part in _parts(batches):
+            bodies = _bodies(part, 2)
+            for heap in _heaps(bodies, length):
+                b = np.frombuffer(b"".join([bodies[i] for i in heap]), np.uint8)
+                if len(heap) == 1 and len(b) > CHUNK:
+                    of, c, lo, hi, core, context = long_anchors(b, length, spread)
+                else:
+                    ends = np.cumsum([len(bodies[i]) for i in heap])
+                    starts = np.concatenate([[0], ends[:-1]])
+                    of, c, lo, hi, core, context = anchors(b, starts, ends, length, spread)
+                own = part.take(pa.array(np.array(heap)[of]))
+                ints = [pa.array(x.astype(np.int32)) for x in (c, lo, hi)]
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *ints, pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], ["id", "th", "c", "lo", "hi", "core", "ctx"])
+
+    every = scratch.cut(docs.mapInArrow(places, "id long, th long, c int, lo int, hi int, core long, ctx long"), ROWS)
+    again = scratch.cut(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     if again.isEmpty():
         return docs.sparkSession.createDataFrame([], "id long, th long, lo int, hi int")
     scratch.tidy()
-    some = sc.broadcast(_bitmap(again, "core"))
-    scratch.drop(again)
-
-    def entries(batches: Iterator, bits, keyed) -> Iterator:
-        """For each anchor whose core may recur: (row, anchor, lo, hi, core, context, data)."""
-        import numpy as np
-        from xxhash import xxh64_intdigest
-
-        for b in _parts(batches):
-            for row, d in enumerate(_bodies(b, 2)):
-                c, lo, hi = anchors(d, length, spread)
-                core = np.array([core_of(d, x, length, spread) for x in c.tolist()], np.uint64)
-                ok = _hit(bits, core) if len(core) else np.zeros(0, bool)
-                for x, s, e, k in zip(c[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), core[ok].tolist()):
-                    keyed(b, row, x, s, e, k, xxh64_intdigest(d[s : e + length], x - s), d)
-            yield b
-
-    def signed(values):
-        import numpy as np
-        import pyarrow as pa
-
-        return pa.array(np.array(values, np.uint64).view(np.int64))
-
-    def places(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        rows: list = []
-        keep = lambda b, row, x, s, e, k, ctx, d: rows.append((row, x, s, e, k, ctx))
-        for b in entries(batches, some.value, keep):
-            for at in range(0, len(rows), 50_000):
-                r, x, s, e, k, ctx = zip(*rows[at : at + 50_000])
-                own = b.take(pa.array(r, pa.int64()))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(x, pa.int32()), pa.array(s, pa.int32()), pa.array(e, pa.int32()), signed(k), signed(ctx)], ["id", "th", "c", "lo", "hi", "core", "ctx"])
-            rows.clear()
-
-    found = scratch.cut(docs.mapInArrow(places, "id long, th long, c int, lo int, hi int, core long, ctx long"), ROWS)
-    dictionary = scratch.cut(found.groupBy("core", "ctx").agg(F.count("*").alias("n")))
+    found = scratch.cut(pass_filter(every, key_filter(again, "core"), "core").join(again, "core", "left_semi"))
+    for used in (every, again):
+        scratch.drop(used)
+    # the dictionary, with one place of each entry
+    dictionary = scratch.cut(found.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "c", "lo", "hi")).alias("at")))
     several = dictionary.groupBy("core").agg(F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c0 <> c1").select("core")
-    mixed = scratch.cut(dictionary.join(several, "core", "left_semi").select("core", "ctx"))
+    entry = F.struct("core", "ctx", "at.c", "at.lo", "at.hi")
+    asked = scratch.cut(dictionary.join(several, "core", "left_semi").groupBy(F.col("at.id").alias("id"), F.col("at.th").alias("th")).agg(F.collect_list(entry).alias("asked")))
     scratch.tidy()
-    wanted = sc.broadcast(_bitmap(mixed, "ctx"))
+    shown = pass_filter(docs, key_filter(asked, "th"), "th").groupBy("id", "th").agg(F.first("text").alias("text"))
+    texts = shown.join(asked.withColumnsRenamed({"id": "id2", "th": "th2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("text", "asked")
 
-    def parts(batches: Iterator) -> Iterator:
+    def keys(batches: Iterator) -> Iterator:
+        """Each entry's suffixes: a key of LENGTH bytes for each start, from the last one back."""
         import numpy as np
         import pyarrow as pa
 
-        rows: dict = {}
-
-        def keep(b, row, x, s, e, k, ctx, d):
-            if (k, ctx) not in rows and _hit(wanted.value, np.array([ctx], np.uint64))[0]:
-                rows[k, ctx] = (x - spread - e, d[s : x - spread], d[x + length - 2 * spread + 1 : e + length])
-
-        for _ in entries(batches, some.value, keep):
-            (k, ctx), (a, left, right) = zip(*rows) if rows else ((), ()), zip(*rows.values()) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([signed(list(k)), signed(list(ctx)), pa.array(a, pa.int32()), pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["core", "ctx", "a0", "left", "right"])
-            rows.clear()
-
-    of = docs.mapInArrow(parts, "core long, ctx long, a0 int, left binary, right binary").distinct()
-    of = scratch.cut(of.join(mixed, ["core", "ctx"], "left_semi"), ROWS)
-    # suffix a of an entry starts a bytes before the core and ends spread - 1 - a bytes after it
-    a = F.explode(F.sequence(F.col("a0"), F.length("left"))).alias("a")
-    key = F.xxhash64("core", "a", F.substring(F.col("left"), F.length("left") - F.col("a") + 1, F.col("a")), F.substring(F.col("right"), F.lit(1), F.lit(spread - 1) - F.col("a")))
-    suffixes = of.select("core", "ctx", "left", "right", a).select("core", key.alias("key"), "ctx", "a")
-    equal = suffixes.groupBy("core", "key").agg(F.count("*").alias("m")).where("m > 1").select("core", "key")
-    partly = scratch.cut(suffixes.join(equal, ["core", "key"], "left_semi").groupBy("core", "ctx").agg(F.sort_array(F.collect_set("a")).alias("at")))
+        for part in _parts(batches):
+            for d, asked_ in zip(_bodies(part, 0), part.column(1)):
+                e = asked_.values.flatten()
+                core, ctx, c, lo, hi = e[0], e[1], *(x.to_numpy().astype(np.int64) for x in e[2:])
+                n = hi - lo + 1
+                ends = np.cumsum(n)
+                back = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+                at = np.repeat(hi, n) - back
+                b = np.frombuffer(d, np.uint8)
+                key = np.empty(len(at), np.uint64)
+                for s in range(0, max(1, len(b) - length + 1), CHUNK):  # a long text by parts
+                    own = (at >= s) & (at < s + CHUNK) if len(b) > CHUNK else slice(None)
+                    sums = prefix_sums(b[s : s + CHUNK + length])
+                    key[own] = stretch_hash(sums, at[own] - s, at[own] - s + length)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(key.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([core, ctx, pa.array((c - spread - hi).astype(np.int32)), lists], ["core", "ctx", "a0", "keys"])
+
+    of = scratch.cut(texts.mapInArrow(keys, "core long, ctx long, a0 int, keys array<long>"), ROWS)
+    scratch.drop(asked)
+    suffixes = of.select("core", "ctx", "a0", F.posexplode("keys").alias("a", "key")).select("core", "key", "ctx", (F.col("a0") + F.col("a")).alias("a"))
+    equal = scratch.cut(suffixes.groupBy("core", "key").agg(F.count("*").alias("m")).where("m > 1").select("core", "key"))
+    met = pass_filter(suffixes, key_filter(equal, "key"), "key").join(equal, ["core", "key"], "left_semi")
+    partly = scratch.cut(met.groupBy("core", "ctx").agg(F.sort_array(F.collect_set("a")).alias("at")))
+    for used in (of, equal):
+        scratch.drop(used)
     scratch.tidy()
     decided = dictionary.where("n > 1").select("core", "ctx", F.lit(None).cast("array<int>").alias("at"))
-    decided = decided.unionByName(partly.join(dictionary.where("n = 1").select("core", "ctx"), ["core", "ctx"], "left_semi"))
+    # a table of its own, so that adaptive execution can split an entry's many places in the join
+    decided = scratch.cut(decided.unionByName(partly.join(dictionary.where("n = 1").select("core", "ctx"), ["core", "ctx"], "left_semi")))
     whole = F.array(F.struct("lo", "hi"))
     each = F.transform("at", lambda a: F.struct((F.col("c") - spread - a).alias("lo"), (F.col("c") - spread - a).alias("hi")))
     hits = found.join(decided, ["core", "ctx"]).select("id", "th", F.explode(F.when(F.col("at").isNull(), whole).otherwise(each)).alias("s"))
@@ -263,7 +272,12 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
     hits = scratch.cut(repeated_places(narrow, scratch, length).groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
     scratch.tidy()
-    both = narrow.join(hits.withColumnsRenamed({"id": "id2", "th": "th2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("id", "text", "lo", "hi")
+    # texts that lose nothing stay where they are; the filter lets few of them through to the join
+    flagged = with_maybe(narrow, key_filter(hits, "th"), "th")
+    none = F.lit(None).cast("array<int>")
+    same = flagged.where("not _maybe or _maybe is null").select("id", "text", none.alias("lo"), none.alias("hi"))
+    met = flagged.where("_maybe").join(hits.withColumnsRenamed({"id": "id2", "th": "th2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
+    both = same.unionByName(met.select("id", "text", "lo", "hi"))
     out_type = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 
     def cut(batches: Iterator) -> Iterator:

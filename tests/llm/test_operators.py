@@ -326,11 +326,11 @@ def test_substrings(spark, empty):
     assert substring_dedup.dedup_substrings(empty).count() == 0
 
 
-def test_trigger_chunks(monkeypatch):
-    data = bytes(random.choice(b"abcdefgh") for _ in range(5000))
-    whole = substring_dedup.triggers(data).tolist()
-    monkeypatch.setattr(substring_dedup, "CHUNK", 700)
-    assert substring_dedup.triggers(data).tolist() == whole
+def test_long_texts_by_parts():
+    data = np.frombuffer(bytes(random.choice(b"abcdefgh") for _ in range(9000)) + b"ab" * 800, np.uint8)
+    whole = substring_dedup.anchors(data, np.zeros(1, np.int64), np.array([len(data)]))
+    parts = substring_dedup.long_anchors(data, chunk=700)
+    assert all((a == b).all() for a, b in zip(whole, parts)) and len(whole[0]) > 50
 
 
 @pytest.mark.parametrize("cell", [2000, 20])
@@ -365,18 +365,57 @@ def test_sampling(spark, docs, empty):
     assert sp_sampling.encode_samples(empty).count() == 0
 
 
-def test_sampling_is_unbiased():
-    lattice = sp_sampling.Lattice(sp_sampling.pieces_of())
-    lattice.add(["▁onhathere", "▁the", "▁ofonha"])
-    rows = np.array([lattice.at[u] for u in ("▁onhathere", "▁the", "▁ofonha")])
-    first, weighed, n = Counter(), Counter(), 4000
-    for s in range(n):
-        for i, (c, p, q) in enumerate(lattice.sample(rows, 2, s)):
-            first[tuple(c)] += i == 0
-            weighed[tuple(c)] += np.exp(p) / q
-    top = max(first, key=first.get)
-    p = np.exp(sum(lattice.logp[r, c] for r, c in zip(rows, top)))
-    assert abs(first[top] / n - p) < 0.03 and abs(weighed[top] / n - p) < 0.03
+PIECES = sp_sampling.pieces_of()
+
+
+def segmentations(t, lattice):
+    """Every way to write a prepared text in pieces, as (ids, log of its weight)."""
+    at = {p: i for i, p in enumerate(PIECES) if not re.fullmatch("<.*>", p)}
+    if not t:
+        return [((), 0.0)]
+    out = []
+    for n in range(1, len(t) + 1):
+        i = at.get(t[:n])
+        if i is None and n > 1:
+            continue
+        ids = (i,) if i is not None else tuple(lattice.byte0 + x for x in t[0].encode())
+        w = lattice.weight[i] if i is not None else len(ids) * lattice.byte_weight
+        out += [(ids + more, w + v) for more, v in segmentations(t[n:], lattice)]
+    return out
+
+
+@pytest.mark.parametrize("text", ["the cat", "zqx é", "ab  c", "_inform", "ofonha\nthe"])
+def test_sampling_covers_the_whole_lattice(text):
+    lattice = sp_sampling.Lattice(PIECES)
+    units = lattice.units(text)
+    assert "".join(units) == lattice.prepared(text)
+    every = segmentations(lattice.prepared(text), lattice)
+    total = np.logaddexp.reduce([w for _, w in every])
+    p = {ids: np.exp(w - total) for ids, w in every}
+    rows, n = lattice.rows([units])[0], 4000
+    first, weighed = Counter(), Counter()
+    for got in lattice.sample([rows] * n, 3, list(range(n))):
+        paths = [tuple(lattice.ids_of([e])[0].tolist()) for e, _, _ in got]
+        assert len(set(paths)) == len(paths) == min(3, len(p))
+        first[paths[0]] += 1
+        for ids, (_, logp, inclusion) in zip(paths, got):
+            assert abs(logp - np.log(p[ids])) < 1e-9
+            weighed[ids] += np.exp(logp) / inclusion
+    for ids in sorted(p, key=p.get)[-4:]:
+        assert abs(first[ids] / n - p[ids]) < 0.03 and abs(weighed[ids] / n - p[ids]) < 0.03
+    whole = lattice.sample([rows], len(p) + 3, [5])[0]
+    assert {tuple(lattice.ids_of([e])[0].tolist()) for e, _, _ in whole} == set(p) and {q for *_, q in whole} == {1.0}
+
+
+def test_sampling_does_not_depend_on_neighbours():
+    texts = [words(30), "", "a", words(200), "▁ ▁▁  x", "y" * 3000]
+    each = []
+    for group in ([0, 1, 2, 3, 4, 5], [5, 3], [4, 2, 1, 0]):
+        lattice = sp_sampling.Lattice(PIECES)
+        got = lattice.sample(lattice.rows([lattice.units(texts[i]) for i in group]), 3, [i + 1 for i in group])
+        each.append({i: [(lattice.ids_of([e])[0].tolist(), round(p, 6), round(q, 9)) for e, p, q in g] for i, g in zip(group, got)})
+    assert all(each[0][i] == v for other in each[1:] for i, v in other.items())
+    assert sp_sampling.Lattice(PIECES).units("a   b") == ["▁a", "▁▁▁b"]  # pieces of several marks can be drawn
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
