@@ -8,11 +8,13 @@ over a unit's lattice, kept for units met again, give each edge's probability gi
 
 Sampling is Gumbel top-k without replacement by A-star search. A node is a prefix of edges; its perturbed
 score, drawn top-down given its parent's, is exactly the greatest among the paths below it, and so is the
-search's bound. The greatest child has its parent's score, so a popped node is followed to its end, for
-many texts at once, and the other edges on its way wait in the text's queue. The first k ends are the k
-distinct samples; with the k+1st score as threshold t, a path of log-probability p is in the result with
-probability 1 - exp(-exp(p - t)), its inclusion score. Each draw is a hash of the row's key, the sample, and
-the place in the lattice, so results depend on neither batches nor tasks.
+search's bound. The greatest child has its parent's score; which edge that is follows the edges' probabilities,
+and the others' scores are drawn given it. So a popped node is followed to its end, for many texts at once, and
+the other edges on its way wait in the text's queue. The first k ends are the k distinct samples; with the k+1st
+score as threshold t, a path of log-probability p is in the result with probability 1 - exp(-exp(p - t)), its
+inclusion score. An edge beyond a prefix of log-probability under -FAR would be among the first with probability
+10**-21, less than a draw can tell from 0, and waits only where there are few others. Each draw is a hash of the
+row's key, the sample, and the place in the lattice, so results depend on neither batches nor tasks.
 
 The BPE vocabulary has ranks instead of probabilities; a piece of rank r weighs 1 / (r + OFFSET).
 
@@ -39,7 +41,7 @@ SAMPLES, ALPHA, OFFSET, SEED = 2, 0.5, 10, "sp-2"
 #: A lone surrogate, which no valid text has, stands for a mark that is in the text itself.
 MARK, SENTINEL = "▁", "\ud800"
 #: Slots of units that a task remembers before it starts anew, and texts that are walked together.
-REMEMBERED, TOGETHER = 1 << 21, 96
+REMEMBERED, TOGETHER, FAR = 1 << 21, 64, 50.0
 #: Code points below this have a table of which may be neighbours within a piece.
 NEAR = 0x250
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -53,8 +55,8 @@ def pieces_of(model: str = MODEL) -> list[str]:
     return [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
 
 
-def exponentials(key, number):
-    """Standard exponential draws, a hash of key and number each (SplitMix64)."""
+def uniforms(key, number):
+    """Draws from (0, 1), a hash of key and number each (SplitMix64)."""
     import numpy as np
 
     x = key + number * np.uint64(GOLDEN)
@@ -63,11 +65,11 @@ def exponentials(key, number):
     x ^= x >> np.uint64(27)
     x *= np.uint64(MIX2)
     x ^= x >> np.uint64(31)
-    u = (x >> np.uint64(11)).astype(np.float64)
+    x >>= np.uint64(11)
+    u = x.astype(np.float64)
     u += 0.5
     u *= 2.0**-53
-    np.log(u, out=u)
-    return np.negative(u, out=u)
+    return u
 
 
 def inner(starts, counts):
@@ -98,16 +100,12 @@ class Lattice:
         self.byte_weight = -np.log(len(pieces)) * alpha
         beside = {(ord(a), ord(b)) for p in words for a, b in zip(p, p[1:])}
         self.beside = np.array(sorted(a << 21 | b for a, b in beside), np.uint64)
-        self.low = np.zeros((NEAR, NEAR), bool)
+        low = np.zeros((NEAR, NEAR), bool)  # the mark has row 0, and what is not below NEAR the last one, which is looked up one by one
         for a, b in beside:
-            if a < NEAR and b < NEAR:
-                self.low[a, b] = True
-        self.mark_after, self.mark_before = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
-        for a, b in beside:
-            if b == ord(MARK) and a < 1 << 16:
-                self.mark_after[a] = True
-            if a == ord(MARK) and b < 1 << 16:
-                self.mark_before[b] = True
+            a, b = (0 if c == ord(MARK) else c for c in (a, b))
+            if a < NEAR - 1 and b < NEAR - 1:
+                low[a, b] = True
+        self.low = low.ravel()
         self.forget()
 
     @staticmethod
@@ -125,7 +123,7 @@ class Lattice:
         self.base = np.zeros(0, np.int64)  # a unit's first slot
         self.stop = np.zeros(0, np.int64)  # and its last, which has no edges
         self.first = np.zeros(1, np.int64)  # a slot's first edge; one more at the end
-        self.logq = self.inverse = np.zeros(0)
+        self.logq = self.upto = np.zeros(0)  # an edge's log-probability given its slot; the summed probabilities of the slot's edges up to it
         self.piece = np.zeros(0, np.int32)
         self.step = np.zeros(0, np.int32)
 
@@ -151,18 +149,15 @@ class Lattice:
         t = self.prepared(text)
         if len(t) < 2:
             return [t] if t else []
-        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        a, b = c[:-1], c[1:]
-        joined = np.zeros(len(a), bool)
-        small = (a < NEAR) & (b < NEAR)
-        joined[small] = self.low[a[small], b[small]]
-        mark = ord(MARK)
-        before, after = (a == mark) & (b < 1 << 16), (b == mark) & (a < 1 << 16)
-        joined[before] = self.mark_before[b[before]]
-        joined[after] = self.mark_after[a[after]]
-        rest = np.flatnonzero(~(small | before | after))
+        c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.minimum(c, NEAR - 1)
+        row[c == 0] = NEAR - 1
+        row[c == ord(MARK)] = 0
+        joined = self.low[row[:-1] * np.uint32(NEAR) + row[1:]]
+        other = row == NEAR - 1
+        rest = np.flatnonzero(other[:-1] | other[1:])
         if len(rest):
-            pair = (a[rest] << 21 | b[rest]).astype(np.uint64)
+            pair = c[rest].astype(np.uint64) << np.uint64(21) | c[rest + 1]
             joined[rest] = self.beside[np.minimum(np.searchsorted(self.beside, pair), len(self.beside) - 1)] == pair
         cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(t)]
         return [t[s:e] for s, e in zip(cuts, cuts[1:])]
@@ -171,13 +166,16 @@ class Lattice:
         """The numbers of the units of each text; new units are solved first."""
         import numpy as np
 
-        new = [u for u in dict.fromkeys(chain.from_iterable(texts)) if u not in self.at]
+        got = [list(map(self.at.get, us)) for us in texts]
+        new = dict.fromkeys(u for us, g in zip(texts, got) if None in g for u, i in zip(us, g) if i is None)
         if new:
             if len(self.first) + sum(map(len, new)) > REMEMBERED:
                 self.forget()
-                new = list(dict.fromkeys(chain.from_iterable(texts)))
-            self.add(new)
-        return [np.fromiter(map(self.at.__getitem__, us), np.int64, len(us)) for us in texts]
+                new = dict.fromkeys(chain.from_iterable(texts))
+                got = [[None]] * len(texts)
+            self.add(list(new))
+            got = [list(map(self.at.__getitem__, us)) if None in g else g for us, g in zip(texts, got)]
+        return [np.array(g, np.int64) for g in got]
 
     def add(self, units: list[str]) -> None:
         import numpy as np
@@ -205,7 +203,7 @@ class Lattice:
             begun &= left[live] > length
             live, h = live[begun], h[begun]
             length += 1
-        slot, pid, step = np.concatenate(slots), np.concatenate(ids), np.concatenate(lengths)
+        slot, pid, step = (np.concatenate(x[::-1]) for x in (slots, ids, lengths))  # longest pieces first, which are likely ones
         order = np.argsort(slot, kind="stable")
         slot, pid, step = slot[order], pid[order], step[order]
         c = np.maximum(pid - self.size, 0)
@@ -225,58 +223,42 @@ class Lattice:
             top = np.maximum.reduceat(v, at)
             back[s] = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, count)), at))
         q = w + back[slot + step] - back[slot]
+        upto = np.cumsum(np.exp(q))
+        upto -= np.concatenate([[0.0], upto])[first[slot]]
+        upto[first[1:][left > 0] - 1] = 2.0  # a slot's last edge takes what rounding leaves
         slots0, edges0 = len(self.first) - 1, len(self.logq)
         self._grow("base", len(self.base), stop - n + slots0)
         self._grow("stop", len(self.stop), stop + slots0)
         self._grow("first", slots0, first + edges0)
-        for name, values in (("logq", q), ("inverse", np.exp(-q)), ("piece", pid), ("step", step)):
+        for name, values in (("logq", q), ("upto", upto), ("piece", pid), ("step", step)):
             self._grow(name, edges0, values)
 
     def walk(self, slot, stop, key):
-        """Follows each (slot, stop) to its end by drawn edges.
-
-        Returns (counts, edges, degrees, draws): steps of each walk; the steps' edges in a row; and the edges that each step
-        had, with each one's draw beyond the taken one's (0 for it).
-        """
+        """Follows each (slot, stop) to its end by drawn edges: the number of steps of each walk, and all steps' slots and edges in a row."""
         import numpy as np
 
-        who, t, steps = np.arange(len(slot)), 0, np.zeros(len(slot), np.int64)
-        out = []
-        live = slot < stop
-        who, at, stop, key = who[live], slot[live], stop[live], key[live]
+        steps, t, out = np.zeros(len(slot), np.int64), 0, []
+        who = np.flatnonzero(slot < stop)
+        at, end, key = slot[who], stop[who], key[who]
         while len(who):
-            start = self.first[at]
-            degree = self.first[at + 1] - start
-            i, e = inner(start, degree)
-            e += i
-            i += (t << 8) + 1
-            draw = exponentials(np.repeat(key, degree), i.astype(np.uint64))
-            draw *= self.inverse[e]
-            begin = np.cumsum(degree) - degree
-            least = np.minimum.reduceat(draw, begin)
-            draw -= np.repeat(least, degree)
-            place = np.flatnonzero(draw == 0)
-            if len(place) != len(who):  # equal draws: the first of a step counts
-                owner = np.repeat(np.arange(len(who)), degree)[place]
-                place = place[np.unique(owner, return_index=True)[1]]
-            took = e[place]
-            out.append((who, t, took, degree, e, draw))
+            u = uniforms(key, np.array([t << 8], np.uint64))
+            edge = self.first[at]
+            more = np.flatnonzero(self.upto[edge] <= u)
+            while len(more):
+                edge[more] += 1
+                more = more[self.upto[edge[more]] <= u[more]]
+            out.append((who, at, edge))
             steps[who] += 1
-            at = at + self.step[took]
-            live = at < stop
-            who, at, stop, key = who[live], at[live], stop[live], key[live]
+            at = at + self.step[edge]
+            live = at < end
+            who, at, end, key = who[live], at[live], end[live], key[live]
             t += 1
         offset = np.cumsum(steps) - steps
-        edges, degrees = np.zeros(int(steps.sum()), np.int64), np.zeros(int(steps.sum()), np.int64)
-        for w, t, took, degree, _, _ in out:
-            edges[offset[w] + t], degrees[offset[w] + t] = took, degree
-        begin = np.cumsum(degrees) - degrees
-        all_edges, draws = np.zeros(int(degrees.sum()), np.int64), np.zeros(int(degrees.sum()))
-        for w, t, _, degree, e, draw in out:
-            i, b = inner(begin[offset[w] + t], degree)
-            b += i
-            all_edges[b], draws[b] = e, draw
-        return steps, edges, degrees, all_edges, draws
+        slots, edges = np.zeros(int(steps.sum()), np.int64), np.zeros(int(steps.sum()), np.int64)
+        for t, (w, a, e) in enumerate(out):
+            place = offset[w] + t
+            slots[place], edges[place] = a, e
+        return steps, slots, edges
 
     def sample(self, texts: list, k: int, seeds: list[int]) -> list[list[tuple]]:
         """For each text (unit numbers) at most k distinct (edges, log-probability, inclusion), from the greatest perturbed score down."""
@@ -284,15 +266,15 @@ class Lattice:
 
         n = len(texts)
         seed = np.array(seeds, np.uint64)
-        # A Gumbel score at log-probability l is l - log E, E exponential: with a = E / p the greatest child has the least a,
-        # and given the parent's score g, a sibling's is -log(exp(-g) + exp(-head) * (a - least)), head the prefix's log-probability.
-        root = np.log(exponentials(seed, np.zeros(n, np.uint64)))
+        # A Gumbel score at log-probability l is l - log E, E exponential. Given that the greatest child has its parent's score g,
+        # a sibling's is -log(exp(-g) + exp(-head) * E / q), head the prefix's log-probability and q the sibling's given the prefix.
+        root = np.log(-np.log(uniforms(seed, np.ones(1, np.uint64))))
         got: list[list] = [[] for _ in range(n)]
         queues: list[list] = [[] for _ in range(n)]
         # what is followed now: (text, -score, edges before, their log-probability, unit and slot to go on from)
         now = [(d, float(root[d]), np.zeros(0, np.int64), 0.0, 0, -1) for d in range(n)]
         for r in range(k):
-            starts, stops, keys, counts = [], [], [], []
+            starts, stops, units, counts = [], [], [], []
             for d, _, _, _, u, slot in now:
                 rest = texts[d][u:]
                 start = self.base[rest]
@@ -300,45 +282,57 @@ class Lattice:
                     start[0] = slot
                 starts.append(start)
                 stops.append(self.stop[rest])
-                keys.append(np.arange(u, u + len(rest), dtype=np.uint64) * np.uint64(MIX1) + np.uint64((int(seed[d]) + (r + 1) * MIX2) % (1 << 64)))
+                units.append(np.arange(u, u + len(rest)))
                 counts.append(len(rest))
-            steps, edges, degrees, every, draws = self.walk(np.concatenate(starts), np.concatenate(stops), exponential_key(np.concatenate(keys)))
-            ends = np.cumsum(counts)
-            step_end = np.concatenate([[0], np.cumsum(steps)])[np.concatenate([[0], ends])]
-            edge_end = np.concatenate([[0], np.cumsum(degrees)])
+            unit = np.concatenate(units)
+            salt = np.repeat(np.array([(int(seed[d]) + (r + 1) * MIX2) % (1 << 64) for d, *_ in now], np.uint64), counts)
+            key = spread(unit.astype(np.uint64) * np.uint64(MIX1) + salt)
+            steps, slots, edges = self.walk(np.concatenate(starts), np.concatenate(stops), key)
+            step_start = np.cumsum(steps) - steps
+            step_end = np.concatenate([[0], np.cumsum(steps)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
             took = self.logq[edges]
             run = np.cumsum(took)
             before = run - took
-            owner = np.repeat(np.arange(len(edges)), degrees)
-            with np.errstate(divide="ignore"):
-                late = np.log(draws)
-            late[draws == 0] = np.inf
-            at = 0
-            for j, (d, minus, prefix, phi, u, _) in enumerate(now):
-                s, e = int(step_end[j]), int(step_end[j + 1])
+            need = k - r  # no more than these can still be popped, the threshold included
+            spans = []
+            for j, (d, _, prefix, phi, _, _) in enumerate(now):
+                s, e = step_end[j], step_end[j + 1]
                 shift = phi - (float(before[s]) if e > s else 0.0)
-                own = np.concatenate([prefix, edges[s:e]])
-                got[d].append((own, phi + (float(run[e - 1]) - float(before[s]) if e > s else 0.0)))
-                lo, hi = int(edge_end[s]), int(edge_end[e])
-                if hi > lo:
-                    value = late[lo:hi] - before[owner[lo:hi]]
-                    need = k - r  # no more than these can still be popped, the threshold included
-                    best = np.argpartition(value, need - 1)[:need] if hi - lo > need else np.arange(hi - lo)
-                    walks = steps[at : at + counts[j]]
-                    for i in best.tolist():
-                        if value[i] < np.inf:
-                            step = int(owner[lo + i])
-                            unit = u + int(np.searchsorted(np.cumsum(walks), step - s, side="right"))
-                            head = float(before[step]) + shift
-                            heapq.heappush(queues[d], (float(np.logaddexp(minus, value[i] - shift)), r, lo + i, own[: len(prefix) + step - s], head, int(every[lo + i]), unit))
-                at += counts[j]
+                got[d].append((np.concatenate([prefix, edges[s:e]]) if len(prefix) else edges[s:e], shift + float(run[e - 1]) if e > s else phi))
+                upto = s + int(np.searchsorted(-before[s:e], FAR + shift, side="right"))
+                if upto < e and int((self.first[slots[s:upto] + 1] - self.first[slots[s:upto]] - 1).sum()) < 16 * need:
+                    upto = e
+                spans.append((s, upto, shift))
+            near = np.concatenate([np.arange(s, e) for s, e, _ in spans])
+            first = self.first[slots[near]]
+            degree = self.first[slots[near] + 1] - first
+            i, edge = inner(first, degree)
+            edge += i
+            own = np.repeat(near, degree)
+            other = edge != edges[own]
+            i, edge, own = i[other], edge[other], own[other]
+            walk = np.searchsorted(step_start, own, side="right") - 1
+            # an empty walk has the start of the next one: the last walk that starts there has the step
+            number = ((own - step_start[walk]) << 8) + i + 1
+            late = np.log(-np.log(uniforms(key[walk], number.astype(np.uint64)))) - self.logq[edge] - before[own]
+            cut = np.searchsorted(own, [s for s, _, _ in spans] + [spans[-1][1]] if spans else [0]).tolist()
+            for j, (d, minus, prefix, _, _, _) in enumerate(now):
+                s, upto, shift = spans[j]
+                lo, hi = cut[j], int(np.searchsorted(own, upto))
+                if hi <= lo:
+                    continue
+                value = late[lo:hi]
+                best = np.argpartition(value, need - 1)[:need] if hi - lo > need else np.arange(hi - lo)
+                for x in best.tolist():
+                    step = int(own[lo + x])
+                    heapq.heappush(queues[d], (float(np.logaddexp(minus, value[x] - shift)), r, lo + x, prefix, edges[s:step], float(before[step]) + shift, int(edge[lo + x]), int(unit[walk[lo + x]])))
             now = []
             if r + 1 < k:
                 for d in range(n):
                     if len(got[d]) == r + 1 and queues[d]:
-                        minus, _, _, before_, head, edge, unit = heapq.heappop(queues[d])
-                        slot = int(np.searchsorted(self.first, edge, side="right")) - 1 + int(self.step[edge])
-                        now.append((d, minus, np.append(before_, edge), head + float(self.logq[edge]), unit, slot))
+                        minus, _, _, prefix, way, head, e, u = heapq.heappop(queues[d])
+                        slot = int(np.searchsorted(self.first, e, side="right")) - 1 + int(self.step[e])
+                        now.append((d, minus, np.concatenate([prefix, way, [e]]), head + float(self.logq[e]), u, slot))
             if not now:
                 break
         out = []
@@ -377,7 +371,7 @@ class Lattice:
         return out, upto[edge_ends] - upto[edge_ends - count]
 
 
-def exponential_key(x):
+def spread(x):
     """Keys of walks, mixed so that neighbouring units' draws have nothing in common."""
     import numpy as np
 
