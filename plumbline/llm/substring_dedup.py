@@ -20,6 +20,11 @@ equality is by them: two stretches count as equal when the 64 bits of the core a
 key agree. With 10**12 entries (100 TB), each met with some ten others of its core, a wrong meeting anywhere
 has a probability of about 10**-6.
 
+Passages. Beside the bytes, a text's words between white space are parsed in the same way: of the hashes of
+STRETCH words in a row those are taken that are least among some ROW in a row, so each passage of PASSAGE words
+or more that recurs has one that recurs, whatever its length in bytes. What a text shares with another is counted
+and not removed.
+
 No step holds a group: counts are combined before shuffles, and hot cores spread over their windows.
 
 Defined results: a null text counts as empty; texts under LENGTH bytes keep all; rows alike in id and
@@ -40,6 +45,9 @@ LENGTH = 400
 WINDOW = 16
 #: The largest spread for which the anchor and its neighbourhood lie inside every stretch.
 SPREAD = (LENGTH - WINDOW) // 4
+#: Words of the passages that are told of: all of PASSAGE words; none shares fewer than STRETCH.
+PASSAGE, STRETCH = 51, 40
+ROW = PASSAGE - STRETCH + 1
 #: Bytes that are hashed at once: many short texts, or a part of a long one.
 CHUNK = 1 << 19
 BASE, FINAL = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -94,22 +102,62 @@ def slide(h, width: int, f):
     return f(cur[:n], cur[width - k : width - k + n]) if k < width else cur
 
 
-def triggers(b, sums, ends, window: int = WINDOW, spread: int = SPREAD):
-    """Positions, in the texts that lie in b one after another up to ``ends``, whose hash is the least of some ``spread`` hashes in a row of the text."""
+def least_of_rows(h, ends, width: int, spread: int):
+    """Places whose hash is the least of some ``spread`` hashes in a row that lie in one text; a hash covers ``width`` places, texts lie one after another up to ``ends``."""
     import numpy as np
 
-    n = len(b) - window + 1  # hashes
+    n = len(h)
     if n < spread:
         return np.zeros(0, np.int64)
-    h = (sums[window:] - sums[:-window]) * powers(max(len(b) + 1, 1 << 16))[1][:n]
-    h = (mixed(h) >> np.uint64(32)).astype(np.uint32)
-    across = np.zeros(n, bool)
-    for e in ends:
-        across[max(0, e - window + 1) : e] = True  # hashes that run into the next text; a row with one of them has no least hash
-    h[across] = 0
+    small = (h >> np.uint64(32)).astype(np.uint32)
+    across = np.zeros(n + 1, np.int32)  # hashes that run into the next text; a row with one of them has no least hash
+    np.add.at(across, np.clip(ends - width + 1, 0, n), 1)
+    np.add.at(across, np.clip(ends, 0, n), -1)
+    across = np.cumsum(across[:-1]) > 0
+    small[across] = 0
     edge = np.zeros(spread - 1, np.uint32)
-    top = slide(np.concatenate([edge, slide(h, spread, np.minimum), edge]), spread, np.maximum)
-    return np.flatnonzero((top == h) & ~across)
+    top = slide(np.concatenate([edge, slide(small, spread, np.minimum), edge]), spread, np.maximum)
+    return np.flatnonzero((top == small) & ~across)
+
+
+def triggers(b, sums, ends, window: int = WINDOW, spread: int = SPREAD):
+    """Positions, in the texts that lie in b one after another up to ``ends``, whose hash is the least of some ``spread`` hashes in a row of the text."""
+    h = (sums[window:] - sums[:-window]) * powers(max(len(b) + 1, 1 << 16))[1][: max(len(b) - window + 1, 0)]
+    return least_of_rows(mixed(h), ends, window, spread)
+
+
+def word_hashes(b, starts, ends):
+    """The hashes of the words of the texts that lie in b, and the number of words up to each text's end. Long texts are hashed by parts."""
+    import numpy as np
+
+    blank = np.ones(len(b) + 2, bool)
+    np.logical_or((b - np.uint8(9)) < 5, b == 32, out=blank[1:-1])
+    first, last = np.flatnonzero(blank[:-1] & ~blank[1:]), np.flatnonzero(~blank[:-1] & blank[1:])
+    cut = np.unique(ends[:-1])
+    cut = cut[~blank[cut] & ~blank[cut + 1]]  # one text's last word touches the next one's first
+    if len(cut):
+        first, last = np.sort(np.concatenate([first, cut])), np.sort(np.concatenate([last, cut]))
+    out = np.empty(len(first), np.uint64)
+    for at in range(0, len(b), CHUNK) if len(b) > CHUNK else [0]:
+        lo, hi = np.searchsorted(first, [at, at + CHUNK]) if len(b) > CHUNK else (0, len(first))
+        if hi > lo:
+            begin = int(first[lo])
+            out[lo:hi] = stretch_hash(prefix_sums(b[begin : last[hi - 1]]), first[lo:hi] - begin, last[lo:hi] - begin)
+    return out, np.searchsorted(first, ends)
+
+
+def passages(words, ends, stretch: int = STRETCH, row: int = ROW):
+    """Arrays (text, hash): the stretches of words that are taken, of the texts whose words end at ``ends``."""
+    import numpy as np
+
+    up, down = powers(max(len(words) + 1, 1 << 16))
+    if len(words) < stretch:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    h = mixed((sums[stretch:] - sums[:-stretch]) * down[: len(words) - stretch + 1])
+    at = least_of_rows(h, ends, stretch, row)
+    return np.searchsorted(ends, at, side="right"), h[at]
 
 
 def anchors(b, starts, ends, length: int = LENGTH, spread: int = SPREAD):
@@ -159,11 +207,11 @@ def _bodies(batch, column: int) -> list[bytes]:
     return [b"" if v is None else v.encode("utf-8", "surrogatepass") for v in batch.column(column).to_pylist()]
 
 
-def _heaps(bodies: list[bytes], length: int) -> Iterator:
-    """Lists of row numbers whose texts are hashed together: short ones up to CHUNK bytes, a long one alone. Texts under ``length`` have no stretch."""
+def _heaps(bodies: list[bytes], least: int) -> Iterator:
+    """Lists of row numbers whose texts are hashed together: short ones up to CHUNK bytes, a long one alone. Texts under ``least`` bytes have neither stretch nor passage."""
     heap, size = [], 0
     for i, d in enumerate(bodies):
-        if len(d) < length:
+        if len(d) < least:
             continue
         if size + len(d) > CHUNK and heap:
             yield heap
@@ -175,7 +223,7 @@ def _heaps(bodies: list[bytes], length: int) -> Iterator:
 
 
 def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) -> DataFrame:
-    """Rows (id, th, lo, hi) of docs (id, th, text): the starts lo to hi have a stretch that also starts elsewhere."""
+    """Rows (id, th, lo, hi, shared) of docs (id, th, text): the starts lo to hi have a stretch that also starts elsewhere, or a passage is shared."""
     spread = (length - WINDOW) // 4
 
     def places(batches: Iterator) -> Iterator:
@@ -184,25 +232,32 @@ def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
 
         for part in _parts(batches):
             bodies = _bodies(part, 2)
-            for heap in _heaps(bodies, length):
+            for heap in _heaps(bodies, min(length, 2 * PASSAGE - 1)):
                 b = np.frombuffer(b"".join([bodies[i] for i in heap]), np.uint8)
-                if len(heap) == 1 and len(b) > CHUNK:
-                    of, c, lo, hi, core, context = long_anchors(b, length, spread)
-                else:
-                    ends = np.cumsum([len(bodies[i]) for i in heap])
-                    starts = np.concatenate([[0], ends[:-1]])
-                    of, c, lo, hi, core, context = anchors(b, starts, ends, length, spread)
-                own = part.take(pa.array(np.array(heap)[of]))
+                ends = np.cumsum([len(bodies[i]) for i in heap])
+                starts = np.concatenate([[0], ends[:-1]])
+                found = long_anchors(b, length, spread) if len(b) > CHUNK else anchors(b, starts, ends, length, spread)
+                of2, passage = passages(*word_hashes(b, starts, ends))
+                # a passage is a row without an anchor
+                none = np.full(len(of2), -1)
+                of, c, lo, hi, core, context = (np.concatenate(x) for x in zip(found, (of2, none, none, none, passage, passage)))
+                own = pa.array(np.array(heap)[of])
                 ints = [pa.array(x.astype(np.int32)) for x in (c, lo, hi)]
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), *ints, pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], ["id", "th", "c", "lo", "hi", "core", "ctx"])
-
-    every = scratch.cut(docs.mapInArrow(places, "id long, th long, c int, lo int, hi int, core long, ctx long"), ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), *ints, pa.array(core.view(np.int64)), pa.array(context.view(np.int64))], ["id", "th", "c", "lo", "hi", "core", "ctx"])
+
+    both = scratch.cut(docs.mapInArrow(places, "id long, th long, c int, lo int, hi int, core long, ctx long"), ROWS)
+    every, told = both.where("c >= 0"), both.where("c < 0").select("id", "th", "core")
+    place = F.struct(F.col("id").isNull(), "id", "th")
+    twice = scratch.cut(told.groupBy("core").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("core"))
+    shared = scratch.cut(pass_filter(told, key_filter(twice, "core"), "core").join(twice, "core", "left_semi").groupBy("id", "th").agg(F.count("*").alias("shared")))
+    nowhere = F.lit(None).cast("int")
+    shared = shared.select("id", "th", nowhere.alias("lo"), nowhere.alias("hi"), "shared")
     again = scratch.cut(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"))
     if again.isEmpty():
-        return docs.sparkSession.createDataFrame([], "id long, th long, lo int, hi int")
+        return shared
     scratch.tidy()
     found = scratch.cut(pass_filter(every, key_filter(again, "core"), "core").join(again, "core", "left_semi"))
-    for used in (every, again):
+    for used in (both, twice, again):
         scratch.drop(used)
     # the dictionary, with one place of each entry
     dictionary = scratch.cut(found.groupBy("core", "ctx").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th", "c", "lo", "hi")).alias("at")))
@@ -250,7 +305,7 @@ def repeated_places(docs: DataFrame, scratch: Scratch, length: int = LENGTH) ->
     whole = F.array(F.struct("lo", "hi"))
     each = F.transform("at", lambda a: F.struct((F.col("c") - spread - a).alias("lo"), (F.col("c") - spread - a).alias("hi")))
     hits = found.join(decided, ["core", "ctx"]).select("id", "th", F.explode(F.when(F.col("at").isNull(), whole).otherwise(each)).alias("s"))
-    return hits.select("id", "th", "s.lo", "s.hi")
+    return hits.select("id", "th", "s.lo", "s.hi", F.lit(0).cast("long").alias("shared")).unionByName(shared)
 
 
 def spans(data_len: int, lo, hi, length: int):
@@ -266,19 +321,19 @@ def spans(data_len: int, lo, hi, length: int):
 
 
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
-    """Rows (key, n_bytes, n_removed, n_spans, kept_sha256, spans array of (start, end)), and kept (binary) if asked for."""
+    """Rows (key, n_bytes, n_removed, n_spans, kept_sha256, n_shared, spans array of (start, end)), and kept (binary) if asked for; n_shared counts the passages that another text holds too."""
     ship(__name__)
     scratch = Scratch(docs.sparkSession)
     narrow = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(text).alias("th"), F.col(text).alias("text"))
-    hits = scratch.cut(repeated_places(narrow, scratch, length).groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")))
+    hits = scratch.cut(repeated_places(narrow, scratch, length).groupBy("id", "th").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"), F.sum("shared").alias("shared")))
     scratch.tidy()
     # texts that lose nothing stay where they are; the filter lets few of them through to the join
     flagged = with_maybe(narrow, key_filter(hits, "th"), "th")
     none = F.lit(None).cast("array<int>")
-    same = flagged.where("not _maybe or _maybe is null").select("id", "text", none.alias("lo"), none.alias("hi"))
+    same = flagged.where("not _maybe or _maybe is null").select("id", "text", none.alias("lo"), none.alias("hi"), F.lit(0).cast("long").alias("shared"))
     met = flagged.where("_maybe").join(hits.withColumnsRenamed({"id": "id2", "th": "th2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2")), "left")
-    both = same.unionByName(met.select("id", "text", "lo", "hi"))
-    out_type = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
+    both = same.unionByName(met.select("id", "text", "lo", "hi", F.coalesce("shared", F.lit(0)).alias("shared")))
+    out_type = f"{key} long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long, spans array<struct<start:long,end:long>>, kept binary"
 
     def cut(batches: Iterator) -> Iterator:
         import hashlib
@@ -291,7 +346,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
             size, gone, n, sha, sp, kept = [], [], [], [], [], []
             for d, lo, hi in zip(_bodies(b, 1), b.column(2), b.column(3)):
                 starts = ends = np.zeros(0, np.int64)
-                if lo.is_valid:
+                if lo.is_valid and len(lo):
                     starts, ends = spans(len(d), np.array(lo.as_py()), np.array(hi.as_py()), length)
                 rest = b"".join(d[s:e] for s, e in zip([0, *ends.tolist()], [*starts.tolist(), len(d)]))
                 size.append(len(d))
@@ -300,7 +355,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", l
                 sha.append(hashlib.sha256(rest).hexdigest())
                 sp.append([{"start": s, "end": e} for s, e in zip(starts.tolist(), ends.tolist())])
                 kept.append(rest if with_bytes else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(sp, kind), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string()), b.column(4), pa.array(sp, kind), pa.array(kept, pa.binary())], [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared", "spans", "kept"])
 
     out = both.mapInArrow(cut, out_type)
     return scratch.cut(out if with_bytes else out.drop("kept"), ROWS)
