@@ -1,13 +1,19 @@
 """Exact dedup by a log-structured merge index, in DataFrame operations only.
 
-Ingest: each task's memtable is flushed as one run, its rows sorted by digest, with a Parquet Bloom
-filter on the digest. Compaction merges the runs by digest and keeps one identifier and the number of
-rows. Probing: a fixed-size filter of the digests seen more than once picks the hits in the scan, and
-the hits' whole texts are compared byte by byte (grouping by digest *and* text) before any row goes.
+The index is a folder of runs. A memtable, dealt over ranges of the digest, is flushed as one run of level 0: a
+row (digest, id, n) for each digest, sorted in each range, with a filter of the run's digests beside it. When a
+level has FANOUT runs, compaction merges them into one run of the next level and keeps the smallest identifier
+(or the largest, if asked for) and the number of rows. Before a memtable is flushed, it is probed: each run's
+filter picks the digests that the run may hold, and only those meet the run's own.
+
+Digests that a probe finds, or that repeat within a memtable, are hits. A hit's texts are compared byte by byte:
+of the texts of one digest the least and the greatest must be the same. The identifier that stays and the
+group's size are the compacted index's.
 
 Defined results: a null text counts as empty; rows that are alike in id and text are counted each, and
 all of them have kept = true where their id is the one that stays; a null id never stays while its group
-has another; an empty table gives an empty result; the input's other columns play no part.
+has another; an empty table gives an empty result; the input's other columns play no part. Two texts of one
+digest end the run with an error: it must not guess.
 """
 
 from __future__ import annotations
@@ -17,60 +23,98 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import Scratch, key_filter, pass_filter, remove, scratch_dir, table
 
+MEMTABLES, FANOUT = 4, 2
+
 
 class MergeIndex:
-    """An index folder with levels of sorted runs: rows (digest binary, id, n)."""
+    """Levels of sorted runs with rows (digest binary, id, n); self.levels[i] are level i's run folders, oldest first."""
 
-    def __init__(self, spark: SparkSession, path: str, keep: str = "smallest"):
+    def __init__(self, spark: SparkSession, path: str, keep: str = "smallest", fanout: int = FANOUT):
         if keep not in ("smallest", "largest"):
             raise ValueError(f"keep must be smallest or largest, not {keep}")
-        self.spark, self.path, self.keep, self.runs = spark, path, keep, []
-
-    def _write(self, df: DataFrame, name: str) -> None:
-        run = f"{self.path}/{name}-{len(self.runs)}"
-        df.write.option("parquet.bloom.filter.enabled#digest", "true").option("parquet.bloom.filter.expected.ndv#digest", "1000000").parquet(run)
-        self.runs.append(run)
+        self.spark, self.path, self.keep, self.fanout = spark, path, keep, fanout
+        self.levels: list[list[str]] = [[]]
+        self.made = self.compactions = 0
+
+    def _write(self, rows: DataFrame, level: int) -> None:
+        run = f"{self.path}/level{level}-{self.made}"
+        self.made += 1
+        ranged = rows.repartition(F.substring("digest", 1, 2)).sortWithinPartitions("digest")
+        ranged.write.parquet(f"{run}/rows")
+        key_filter(self._read([run]).select(F.xxhash64("digest").alias("h")), "h").write.parquet(f"{run}/filter")
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+
+    def _read(self, runs: list[str]) -> DataFrame:
+        return self.spark.read.schema("digest binary, id long, n long").parquet(*[f"{r}/rows" for r in runs])
+
+    def _merge(self, rows: DataFrame) -> DataFrame:
+        pick = F.min("id") if self.keep == "smallest" else F.max("id")
+        return rows.groupBy("digest").agg(pick.alias("id"), F.sum("n").alias("n"))
 
-    def flush(self, rows: DataFrame) -> None:
-        """Memtables of rows (digest, id): one sorted run a task, no shuffle."""
-        self._write(rows.select("digest", "id", F.lit(1).cast("long").alias("n")).sortWithinPartitions("digest"), "level0")
+    @property
+    def runs(self) -> list[str]:
+        return [r for level in self.levels for r in level]
 
-    def read(self) -> DataFrame:
-        return self.spark.read.schema("digest binary, id long, n long").parquet(*self.runs)
+    def probe(self, digests: DataFrame) -> list[DataFrame]:
+        """For each run the rows of digests (digest, ...) that it holds; its filter goes before its digests."""
+        out = []
+        for run in self.runs:
+            flt = self.spark.read.schema("_f long, _bits long").parquet(f"{run}/filter")
+            maybe = pass_filter(digests.withColumn("_h", F.xxhash64("digest")), flt, "_h").drop("_h")
+            out.append(maybe.join(self._read([run]).select("digest"), "digest", "left_semi"))
+        return out
 
-    def merged(self) -> DataFrame:
-        pick = F.min("id") if self.keep == "smallest" else F.max("id")
-        return self.read().groupBy("digest").agg(pick.alias("id"), F.sum("n").alias("n"))
-
-    def compact(self) -> None:
-        """Merges all runs into one level, sorted by digest; the old runs go after the new one is whole."""
-        old = list(self.runs)
-        self._write(self.merged().sortWithinPartitions("digest"), "level1")
-        self.runs = self.runs[len(old):]
+    def flush(self, rows: DataFrame) -> None:
+        """Writes a memtable of rows (digest, id) as a run and compacts the levels that are full."""
+        self._write(self._merge(rows.select("digest", "id", F.lit(1).cast("long").alias("n"))), 0)
+        level = 0
+        while level < len(self.levels):
+            if len(self.levels[level]) >= self.fanout:
+                self.compact(level)
+            level += 1
+
+    def compact(self, level: int) -> None:
+        """Merges a level's runs into one run of the next level; the old runs go after the new one is whole."""
+        old, self.levels[level] = self.levels[level], []
+        self._write(self._merge(self._read(old)), level + 1)
+        self.compactions += 1
         for run in old:
             remove(self.spark, run)
 
+    def read(self) -> DataFrame:
+        """A row a digest; what lies in more than one run is merged."""
+        if not self.runs:
+            return self.spark.createDataFrame([], "digest binary, id long, n long")
+        return self._merge(self._read(self.runs)) if len(self.runs) > 1 else self._read(self.runs)
+
 
-def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest") -> DataFrame:
+def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "smallest", memtables: int = MEMTABLES) -> DataFrame:
     """One row a document: key, keep_id, group_size, kept, text_sha256."""
     spark = docs.sparkSession
-    scratch = Scratch(spark)
-    body = F.coalesce(F.col(text), F.lit(""))
-    digests = docs.select(F.col(key).cast("long").alias("id"), F.unhex(F.sha2(body, 256)).alias("digest"))
-    index = MergeIndex(spark, scratch_dir(spark), keep)
-    index.flush(digests)
-    rows = index.read().select("id", "digest")  # the flushed runs hold each document's digest: no text is hashed twice
-    index_rows = scratch.cut(index.merged().where("n > 1").withColumn("h", F.xxhash64("digest")))
-
-    # byte verification: only rows whose digest recurs are read again, and equal means equal text
-    hits = pass_filter(docs.select(F.col(key).cast("long").alias("id"), body.alias("body")).withColumn("h", F.xxhash64(F.unhex(F.sha2("body", 256)))), key_filter(index_rows, "h"), "h")
-    pick = F.min("id") if keep == "smallest" else F.max("id")
-    same = hits.groupBy("body").agg(pick.alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    checked = scratch.cut(same.select(F.unhex(F.sha2("body", 256)).alias("d"), "keep_id", "group_size", F.length("body").alias("chars")))
-    # two texts of one digest would be two rows of checked; then the digest can't tell them apart and the run must not guess
-    if checked.groupBy("d").count().where("count > 1").limit(1).count():
+    scratch, index = Scratch(spark), MergeIndex(spark, scratch_dir(spark), keep)
+    body = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    digest = F.unhex(F.sha2("body", 256))
+    rows = scratch.cut(body.select("id", digest.alias("digest")))
+    hits = None
+    for m in range(memtables):
+        memtable = rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(memtables)) == m)
+        found = [memtable.groupBy("digest").count().where("count > 1").select("digest"), *[p.select("digest") for p in index.probe(memtable)]]
+        for f in found:
+            hits = f if hits is None else hits.unionByName(f)
+        hits = scratch.cut(hits.distinct())
+        index.flush(memtable)
+    hits = hits.withColumn("h", F.xxhash64("digest"))
+
+    # byte verification: the texts of a hit are read again and compared; copies are combined before the shuffle
+    again = pass_filter(body.select(digest.alias("digest"), "body").withColumn("h", F.xxhash64("digest")), key_filter(hits, "h"), "h")
+    seen = again.join(hits.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b"))
+    if not seen.where("a <> b").limit(1).isEmpty():
         raise ValueError("two different texts share a SHA-256 digest")
-    out = rows.join(checked, rows.digest == checked.d, "left")
+    # a table of its own, so that adaptive execution can split the rows of a hot digest in the join
+    groups = scratch.cut(index.read().join(hits.select("digest"), "digest", "left_semi").select("digest", F.col("id").alias("keep_id"), F.col("n").alias("group_size")))
+    out = rows.join(groups, "digest", "left")
     keep_id = F.coalesce("keep_id", "id")
     return out.select(F.col("id").alias(key), keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("id").eqNullSafe(keep_id).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
