@@ -1,7 +1,8 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products, one representative a group.
 
 Vectors are compared within a label only. Equal vectors of a label are one class and are compared once.
-Centres are fitted on at most SAMPLE vectors; a label uses as many as it has classes for (CELL a cell, to
+Centres are fitted, for each of the LENGTHS most frequent lengths, on at most SAMPLE vectors and SAMPLE_BYTES;
+vectors of any other length have one cell a label, which changes no result. A label uses as many as it has classes for (CELL a cell, to
 the power of two below, MAX_CELLS at most). A class lies in the cell of its nearest centre, its home, and
 visits each earlier cell whose bisector with its home is nearer than the greatest distance that a linked
 pair can have; so every linked pair meets in the earlier of its two homes, and recall is 1 by construction.
@@ -26,6 +27,7 @@ from plumbline.llm.common import Scratch, components, ship, table
 
 MIN_COSINE = 0.98
 SAMPLE, CELL, MAX_CELLS, BLOCK, ROUNDS = 20_000, 2000, 1024, 1024, 8
+LENGTHS, SAMPLE_BYTES = 16, 1 << 25
 
 
 def spherical_kmeans(x, k: int, rounds: int = ROUNDS):
@@ -71,21 +73,19 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
     as_double = F.transform(F.col(vec), lambda x: x.cast("double"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), as_double.alias("v"), valid(vec, label).alias("ok"))
-    good = rows.where("ok").withColumn("h", F.xxhash64("label", F.size("v"), F.to_json("v")))
-    # h names a class: 64 bits could meet by chance, so the class is the hash and the vector itself
-    classes = good.groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.max("h").alias("h"))
-    classes = scratch.cut(classes.withColumn("node", F.struct(F.coalesce("least", F.lit(-(2**63))).alias("l"), "h")).withColumn("rid", F.xxhash64("label", "least", "h")))
-    dims = [r.d for r in classes.select(F.size("v").alias("d")).distinct().orderBy("d").limit(65).collect()]
-    if len(dims) > 64:
-        raise ValueError("vectors of more than 64 different lengths")
+    classes = rows.where("ok").groupBy("label", "v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    # rid names a class in all that follows: its number in the written table, so that no two classes can share one
+    classes = scratch.cut(classes.withColumn("rid", F.monotonically_increasing_id()))
+    dims = [r.d for r in classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS).collect()]
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     sizes = classes.groupBy(F.col("label").alias("l"), F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    want = F.least(F.lit(MAX_CELLS), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") / CELL)))).cast("int")))
+    want = F.when(~F.col("d").isin(dims), 1).otherwise(F.least(F.lit(MAX_CELLS), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(F.lit(1.0), F.col("n") / CELL)))).cast("int"))))
     sizes = sizes.withColumn("k", want)
     counts = sorted({r.k for r in sizes.select("k").distinct().collect()})  # powers of two: eleven at most
     centres = {}
     for d in dims:
-        got = classes.where(F.size("v") == d).orderBy(F.xxhash64("rid"), "rid").limit(SAMPLE).select("v").toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+        most = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))
+        got = classes.where(F.size("v") == d).orderBy(F.xxhash64("v"), "rid").limit(most).select("v").toArrow().column(0).combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
         unit = got / np.linalg.norm(got, axis=1, keepdims=True)
         for k in counts:
             centres[d, k] = spherical_kmeans(unit, min(k, len(unit)))
@@ -104,7 +104,8 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
                 at, home, cell = [], [], []
                 for d, k in sorted({(len(v), k) for v, k in zip(vs, ks)}):
                     idx = [i for i, v in enumerate(vs) if len(v) == d and ks[i] == k]
-                    hs, cs = cells_of(unit_rows(np.array([vs[i] for i in idx], np.float64)), centres[d, k], reach)
+                    fitted = centres.get((d, k))
+                    hs, cs = (np.zeros(len(idx), int), [np.zeros(1, int)] * len(idx)) if fitted is None else cells_of(unit_rows(np.array([vs[i] for i in idx], np.float64)), fitted, reach)
                     for i, h, c in zip(idx, hs.tolist(), cs):
                         at += [i] * len(c)
                         home += [h] * len(c)
@@ -136,38 +137,37 @@ def neighbours(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding",
         rid, copies = t.column("rid").to_numpy(), t.column("copies").to_numpy()
         x = unit_rows(t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d))
         a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        links, parent = np.zeros(len(rid), np.int64), np.arange(len(rid))
-
-        def root(n):
-            while parent[n] != n:
-                parent[n] = parent[parent[n]]
-                n = parent[n]
-            return n
-
-        ea, eb = [], []
+        links, lab = np.zeros(len(rid), np.int64), np.arange(len(rid))
+        ps, qs = [], []
         for s in range(0, len(a), 256):
             part = a[s : s + 256]
             hit = x[part] @ x[b].T >= cosine
             if i == j:
                 hit &= part[:, None] < b[None, :]
             p, q = np.nonzero(hit)
-            p, q = part[p], b[q]
-            np.add.at(links, p, copies[q])
-            np.add.at(links, q, copies[p])
-            for u, w in zip(p.tolist(), q.tolist()):
-                ru, rw = root(u), root(w)
-                if ru != rw:
-                    parent[ru] = rw
-                    ea.append(u)
-                    eb.append(w)
+            ps.append(part[p].astype(np.int32))
+            qs.append(b[q].astype(np.int32))
+            np.add.at(links, ps[-1], copies[qs[-1]])
+            np.add.at(links, qs[-1], copies[ps[-1]])
+        p, q = (np.concatenate(y) if y else np.zeros(0, np.int32) for y in (ps, qs))
+        while len(p):  # each row takes the least label it is linked to, and that label's own, until nothing changes
+            least = lab.copy()
+            np.minimum.at(least, p, lab[q])
+            np.minimum.at(least, q, lab[p])
+            least = least[least]
+            if (least == lab).all():
+                break
+            lab = least
+        ea = np.flatnonzero(lab != np.arange(len(lab)))
+        eb = lab[ea]
         some = np.flatnonzero(links)
         none_i, none_l = [None] * len(some), [None] * len(ea)
-        return pa.table({"rid": pa.array(np.concatenate([rid[some], rid[ea] if ea else rid[:0]])), "links": pa.array(links[some].tolist() + none_l, pa.int64()), "other": pa.array(none_i + [int(r) for r in (rid[eb] if eb else [])], pa.int64())})
+        return pa.table({"rid": pa.array(np.concatenate([rid[some], rid[ea]])), "links": pa.array(links[some].tolist() + none_l, pa.int64()), "other": pa.array(none_i + rid[eb].tolist(), pa.int64())})
 
     found = scratch.cut(work.groupBy("label", "d", "cell", "pair").applyInArrow(compare, "rid long, links long, other long"))
     linked = found.where("links is not null").groupBy("rid").agg(F.sum("links").alias("links"))
     comp = scratch.cut(components(found.where("other is not null").select(F.col("rid").alias("a"), F.col("other").alias("b")), scratch))
-    named = classes.select("rid", "label", "h", "least", "copies").join(linked, "rid", "left").join(comp, F.col("rid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rid"))
+    named = classes.select("rid", "least", "copies").join(linked, "rid", "left").join(comp, F.col("rid") == F.col("node"), "left").withColumn("c", F.coalesce("component", "rid"))
     named = scratch.cut(named.select("rid", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), "c"))
     least = named.groupBy("c").agg(F.min("least").alias("component_id"))
     per = named.join(least, "c").select("rid", "least", (F.col("links") + F.col("copies") - 1).alias("n_links"), "component_id")
