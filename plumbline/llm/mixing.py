@@ -7,7 +7,8 @@ hash's seed is chosen for each source among a fixed few, as the one whose copies
 Defined results: a null or empty text has size 0 and is emitted like any other document of its source
 (its copies carry no words); a null source is a source of its own, last in order; a source without
 words has rate 0; repeated rows with one id draw alike; an empty table gives an empty result. Columns
-of the input stay as they are; the added ones are named by ``prefix``.
+of the input stay as they are; the added ones are named by ``prefix``, with underscores in front where the
+input has such a column.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import Scratch, global_rank, lookup_join, table
+from plumbline.llm.common import Scratch, Sealed, global_rank, lookup_join, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order of their names, repeated.
@@ -71,29 +72,36 @@ def draws(key: str, seed: str):
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None, prefix: str = "mix_", weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """docs with <prefix>size, <prefix>source_size, <prefix>target and <prefix>copies (0 up to cap). ``size`` names a column that already has the words."""
-    scratch = Scratch(docs.sparkSession)
-    n, total, target, frac = f"{prefix}size", f"{prefix}source_size", f"{prefix}target", f"{prefix}frac"
-    sized = docs.withColumn(n, F.col(size) if size else word_count(F.col(text)))
-    narrow = sized.select(key, source, n) if size else scratch.cut(sized.select(key, source, n))
-    targets = scratch.cut(source_targets(narrow, source, n, scratch, weights, cap).withColumnsRenamed({"source_size": total, "target": target}))
-    rate = F.when(F.col(total) > 0, F.col(target) / F.col(total)).otherwise(0.0)
-    rated = targets.withColumn(f"{prefix}rate", rate).withColumn(frac, F.col(f"{prefix}rate") - F.floor(f"{prefix}rate"))
+    sealed, out = _mixed(docs, key, text, source, size, weights, cap, seed)
+    return sealed.open(out, **{f"{prefix}{c}": F.col(c) for c in ("size", "source_size", "target", "copies")})
+
+
+def _mixed(docs: DataFrame, key: str, text: str, source: str, size: str | None, weights, cap: int, seed: str) -> tuple[Sealed, DataFrame]:
+    """The sealed rows with size, source_size, target and copies."""
+    scratch, sealed = Scratch(docs.sparkSession), Sealed(docs)
+    key, source = sealed[key], sealed[source]
+    sized = sealed.rows.withColumn("size", F.col(sealed[size]) if size else word_count(F.col(sealed[text])))
+    narrow = sized.select(key, source, "size") if size else scratch.cut(sized.select(key, source, "size"))
+    targets = scratch.cut(source_targets(narrow, source, "size", scratch, weights, cap))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    rated = targets.withColumn("rate", rate).withColumn("frac", F.col("rate") - F.floor("rate"))
     # for each source, what each seed's extra copies would add; sums of integers, so reruns agree
     tried = lookup_join(narrow, rated, source).withColumn("_d", draws(key, seed))
-    sums = tried.groupBy(source).agg(F.first(target).alias("_t"), F.first(f"{prefix}rate").alias("_r"), F.first(total).alias("_n"), *[F.sum(F.when(F.get("_d", F.lit(j)) < F.col(frac), F.col(n)).otherwise(0)).alias(f"_s{j}") for j in range(SEEDS)])
+    extra = [F.sum(F.when(F.get("_d", F.lit(j)) < F.col("frac"), F.col("size")).otherwise(0)).alias(f"_s{j}") for j in range(SEEDS)]
+    sums = tried.groupBy(source).agg(F.first("target").alias("_t"), F.first("rate").alias("_r"), F.first("source_size").alias("_n"), *extra)
     off = F.array(*[F.struct(F.abs(F.floor("_r") * F.col("_n") + F.col(f"_s{j}") - F.col("_t")).alias("off"), F.lit(j).alias("j")) for j in range(SEEDS)])
-    seeds = sums.select(F.col(source).alias("_src"), F.array_min(off)["j"].alias(f"{prefix}seed"))
+    seeds = sums.select(F.col(source).alias("_src"), F.array_min(off)["j"].alias("seed"))
     best = rated.join(seeds, F.col(source).eqNullSafe(F.col("_src"))).drop("_src")
     out = lookup_join(sized, scratch.cut(best), source)
-    draw = F.get(draws(key, seed), F.col(f"{prefix}seed"))
-    return out.withColumn(f"{prefix}copies", F.floor(f"{prefix}rate") + F.when(draw < F.col(frac), 1).otherwise(0))
+    draw = F.get(draws(key, seed), F.col("seed"))
+    return sealed, out.withColumn("copies", F.floor("rate") + F.when(draw < F.col("frac"), 1).otherwise(0))
 
 
-def emit(mixed: DataFrame, prefix: str = "mix_") -> DataFrame:
-    """The mix itself: each row as often as its copies say, without the added columns."""
-    keep = [c for c in mixed.columns if not c.startswith(prefix)]
-    some = mixed.where(F.col(f"{prefix}copies") > 0)
-    return some.withColumn(f"{prefix}i", F.explode(F.sequence(F.lit(1).cast("long"), F.col(f"{prefix}copies").cast("long")))).select(*keep)
+def emit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: each row as often as its copies say, in the input's columns."""
+    sealed, out = _mixed(docs, key, text, source, None, weights, cap, seed)
+    some = out.where("copies > 0")
+    return sealed.open(some.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))))
 
 
 def op3_mixing_sources(spark, sf_dir):
