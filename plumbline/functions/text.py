@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,9 +39,16 @@ def _class(chars) -> str:
     return "[" + "".join(out) + "]"
 
 
+@cache
+def _changed(kind: str) -> str:
+    """A regex class of the characters beyond ASCII that a table changes."""
+    one, _, gone, longer = changes(kind)
+    return _class(c for c in (*one, *gone, *(a for a, _ in longer)) if c > "\x7f")
+
+
 def fold(c: Column) -> Column:
-    """Folds mangled punctuation and applies compatibility forms, character by character."""
-    return _mapped(c, "norm")
+    """Folds mangled punctuation and applies compatibility forms, character by character, in texts that hold a character to change."""
+    return F.when(c.rlike(r"[^\x00-\x7f]") & c.rlike(_changed("norm")), _mapped(c, "norm")).otherwise(c)
 
 
 def norm(c: Column) -> Column:
@@ -50,7 +58,13 @@ def norm(c: Column) -> Column:
 
 def alnum(c: Column) -> Column:
     """Letters and digits alone, lower-cased, without accents."""
-    return F.regexp_replace(_mapped(c, "alnum"), r"[^\p{L}\p{N}]", "")
+    wide = F.regexp_replace(_mapped(c, "alnum"), r"[^\p{L}\p{N}]", "")
+    return F.when(c.rlike(r"[^\x00-\x7f]"), wide).otherwise(F.regexp_replace(F.translate(c, UPPER, LOWER), "[^a-z0-9]", ""))
+
+
+def once(c: Column) -> Column:
+    """A value that the optimiser must not copy into each of its uses: to be taken with select() or withColumn()."""
+    return F.explode(F.array(c))
 
 
 def locate(needle: Column, text: Column, start: Column | int = 1) -> Column:
@@ -62,9 +76,13 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
+# Fixed value: the signs of which a run is taken as one.
+LEADER = r"((?U)[^\s\x1c-\x1fa-zA-Z0-9])\1{2,}"
+
+
 def leader_collapse(c: Column) -> Column:
     """A run of three or more of one sign that is no ASCII letter, digit or space becomes one sign."""
-    return F.regexp_replace(c, r"((?U)[^\s\x1c-\x1fa-zA-Z0-9])\1{2,}", "$1")
+    return F.regexp_replace(c, LEADER, "$1")
 
 
 def words(c: Column) -> Column:
@@ -83,9 +101,13 @@ def slugify(name: Column) -> Column:
     return F.when(slug == "", "book").otherwise(slug)
 
 
+# Fixed value: what counts as a token of a locator.
+LOCATOR = r"(?i)((?:ch|p|loc)\.?\s*[0-9ivxlc]+)"
+
+
 def locator_tokens(c: Column) -> Column:
     """The distinct tokens of a locator, such as ch3 and p87, in lower case. Not anchored: epic holds pic."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?i)((?:ch|p|loc)\.?\s*[0-9ivxlc]+)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(LOCATOR), F.lit(1))
     return F.array_distinct(F.transform(found, lambda t: F.regexp_replace(F.lower(t), r"^(ch|p|loc)\.?\s*", "$1")))
 
 
@@ -114,44 +136,61 @@ def search_parts(text: Column, parts: Column) -> Column:
     return F.aggregate(parts, start, step)
 
 
-def find_all(text: Column, needle: Column, limit: int) -> Column:
-    """Positions from 0 of overlapping occurrences, at most ``limit``: one step for each, none once they are used up."""
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("cursor"))
-
-    def step(acc, _):
-        at = F.when(acc["cursor"] >= 0, locate(needle, text, acc["cursor"] + 1) - 1).otherwise(-1)
-        return F.struct(F.when(at >= 0, F.concat(acc["at"], F.array(at))).otherwise(acc["at"]).alias("at"), F.when(at >= 0, at + 1).otherwise(-1).alias("cursor"))
-
-    return F.when((needle != "") & F.contains(text, needle), F.aggregate(F.sequence(F.lit(1), F.lit(limit)), start, step)["at"]).otherwise(F.array().cast("array<int>"))
+def find_all(text: Column, needle: str, limit: int) -> Column:
+    """Positions from 0 of overlapping occurrences of a literal, at most ``limit``: the text is split before each of them, in one pass."""
+    if not needle:
+        return F.array().cast("array<int>")
+    literal = "".join(c if c.isalnum() or c == " " else f"\\x{{{ord(c):x}}}" for c in needle)
+    parts = F.split(text, f"(?={literal})", limit + 2)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    # each part but the last ends where an occurrence starts; one at the very start makes no part
+    ends = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(p))).alias("out")))["out"]
+    found = F.when(F.startswith(text, F.lit(needle)), F.concat(F.array(F.lit(0)), ends)).otherwise(ends)
+    return F.when(F.contains(text, F.lit(needle)), F.slice(found, 1, limit)).otherwise(F.array().cast("array<int>"))
 
 
 def raw_offsets(text: Column, positions: Column, mode: str) -> Column:
-    """Offsets in the raw text of positions in its transformed text. An Arrow function: call it on rows with hits only."""
+    """Offsets in the raw text of positions in its transformed text. An Arrow function: call it once a text, on texts with hits only.
+
+    Runs of plain characters are mapped as a whole, and a text is read no further than its last position.
+    """
     import pandas as pd
 
+    plain = r"[0-9A-Za-z]+" if mode == "alnum" else r"[!-~]+"
     table = fold_table()
 
     def run(t, p):
         import re
         import unicodedata
+        from functools import cache
 
+        @cache
         def folded(ch):
             to = table.get(ch)
             return unicodedata.normalize("NFKC", ch) if to is None else to
 
-        out = []
+        @cache
+        def kept(ch):  # letters and digits that a character leaves
+            return sum(e.isalnum() for c in folded(ch) if c.isalnum() for e in unicodedata.normalize("NFKD", c.lower()))
+
+        token, out = re.compile(rf"({plain})|(?s:.)"), []
         for s, at in zip(t, p):
-            idx, space = [], False
-            for i, ch in enumerate(s):
-                for c in ch if ch.isascii() else folded(ch):
-                    if mode == "alnum":
-                        if c.isalnum():
-                            idx += [i] * sum(e.isalnum() for e in unicodedata.normalize("NFKD", c.lower()))
-                        continue
-                    now = re.match(r"\s", c) is not None
-                    if not (now and space):
-                        idx.append(i)
-                    space = now
+            last, idx, space = max(at, default=-1), [], False
+            for m in token.finditer(s):
+                if len(idx) > last:
+                    break
+                i = m.start()
+                if m[1]:
+                    idx.extend(range(i, m.end()))
+                    space = False
+                elif mode == "alnum":
+                    idx.extend([i] * kept(m[0]))
+                else:
+                    for c in folded(m[0]):
+                        now = re.match(r"\s", c) is not None
+                        if not (now and space):
+                            idx.append(i)
+                        space = now
             out.append([idx[x] for x in at])
         return pd.Series(out)
 

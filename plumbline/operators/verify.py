@@ -1,28 +1,56 @@
-"""Quotes looked up in texts: a ladder from strict to lenient, offsets, locators."""
+"""Quotes looked up in texts: a ladder from strict to lenient, offsets, locators, verification records."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 
-#: A side of at most this many rows is broadcast, after a count; a larger one is met by blocking, or in blocks of so many rows.
+#: So many quotes are broadcast, after a count; more meet the texts in a shuffle of sampled windows.
 BROADCAST_ROWS = 20_000
-GRAM = 5
+#: Code points of the windows by which quotes meet texts; one window in SAMPLED, by its hash, goes into a shuffle.
+WINDOW, SAMPLED = 16, 16
+LEVELS = ("EXACT", "NORMALIZED", "PUNCT")
+
+
+def with_windows(rows: DataFrame, text: str, k: int = WINDOW) -> DataFrame:
+    """rows once for each k code points of a text, with their hash _g. Four bytes a code point, so that any place is found at once."""
+    code = rows.withColumn("_u", T.once(F.encode(F.col(text), "UTF-32"))).where(F.octet_length("_u") >= 4 * k)
+    each = code.withColumn("_at", F.explode(F.sequence(F.lit(1), (F.octet_length("_u") - (4 * k - 1)).cast("int"), F.lit(4))))
+    return each.withColumn("_g", F.xxhash64(F.substring(F.col("_u"), F.col("_at"), F.lit(4 * k)))).drop("_u", "_at")
 
 
-def _grams(words):
-    """Hashes of each GRAM words in a row. The lambda sees its own argument alone, so the words are split once a text."""
-    rows = F.arrays_zip(*[F.slice(words, F.lit(i + 1), F.greatest(F.size(words) - GRAM + 1, F.lit(0))).alias(f"w{i}") for i in range(GRAM)])
-    return F.array_distinct(F.transform(rows, lambda r: F.xxhash64(*[r[f"w{i}"] for i in range(GRAM)])))
+def contained(quotes: DataFrame, books: DataFrame, quote: str, body: str, item: str, book: str, k: int = WINDOW) -> DataFrame:
+    """Pairs (quote row, book row) with the ``body`` containing the ``quote``, which is not empty.
+
+    A quote of k code points or more meets texts by the hash of a window in its middle, which any text that holds it has. Up to
+    BROADCAST_ROWS such quotes are broadcast and the texts stay where they are. More are met by those windows alone whose
+    hash falls in a sample, keys and hashes only, and the texts join in for the candidates. Shorter quotes, and of many
+    quotes those without a sampled window, are broadcast in blocks and looked up one by one.
+    """
+    long_, rest = quotes.where(F.length(quote) >= k), quotes.where(F.length(quote) < k)
+    holds = F.contains(body, F.col(quote))
+    if long_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        middle = F.substring(F.col(quote), (F.floor((F.length(quote) - k) / 2) + 1).cast("int"), F.lit(k))
+        keyed = long_.withColumn("_g", F.xxhash64(F.encode(middle, "UTF-32")))
+        # a text may hold the window more than once
+        met = with_windows(books, body, k).join(F.broadcast(keyed), "_g").drop("_g").where(holds).dropDuplicates([item, book])
+    else:
+        sample = F.pmod(F.col("_g"), F.lit(SAMPLED)) == 0
+        keyed = with_windows(long_.select(item, quote), quote, k).where(sample).groupBy(item).agg(F.min("_g").alias("_g"))
+        places = with_windows(books.select(book, body), body, k).where(sample).select(book, "_g").distinct()
+        pairs = places.join(keyed, "_g").select(item, book).distinct()
+        met = books.join(pairs, book).join(long_, item).where(holds)
+        rest = rest.unionByName(long_.join(keyed.select(item), item, "left_anti"))
+    for block in _blocks(rest):
+        met = met.unionByName(books.join(F.broadcast(block), holds).select(*met.columns))
+    return met
 
 
-def _blocks(rows: DataFrame, n: int | None = None) -> list[DataFrame]:
-    """rows in blocks of about half of BROADCAST_ROWS, dealt by hash; in one where they are few, in none where n, their greatest number, is 0."""
-    n = rows.count() if n is None else n
+def _blocks(rows: DataFrame) -> list[DataFrame]:
+    """rows in blocks of about half of BROADCAST_ROWS, dealt by hash; in one where they are few, in none where there are none."""
+    n = rows.count()
     if n <= BROADCAST_ROWS:
         return [rows] if n else []
     k = -(-2 * n // BROADCAST_ROWS)
@@ -30,65 +58,39 @@ def _blocks(rows: DataFrame, n: int | None = None) -> list[DataFrame]:
     return [rows.where(dealt == i) for i in range(k)]
 
 
-def candidates(quotes: DataFrame, books: DataFrame, quote: str = "q", body: str = "body") -> DataFrame:
-    """Pairs (quote row, book row) with ``body`` containing ``quote``, both normalised to single spaces.
-
-    A quote of seven words or more meets books by the hash of its words 2 to 6, which stand whole in any
-    text that holds it. Shorter quotes have no such gram: they are broadcast, in blocks where a count
-    finds many.
-    """
-    q = quotes.withColumn("_w", F.split(quote, " "))
-    long_ = q.where(F.size("_w") >= GRAM + 2).withColumn("_g", F.xxhash64(*[F.get("_w", F.lit(i + 1)) for i in range(GRAM)])).drop("_w")
-    short = q.where(F.size("_w") < GRAM + 2).drop("_w")
-    few = long_.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    grams = books.withColumn("_w", F.split(body, " ")).withColumn("_g", F.explode(_grams(F.col("_w")))).drop("_w")
-    met = grams.join(F.broadcast(long_) if few else long_, "_g").drop("_g").where(F.contains(body, F.col(quote)))
-    for block in _blocks(short):
-        met = met.unionByName(books.join(F.broadcast(block), F.contains(body, F.col(quote))))
-    return met
+def _parts(quote: Column, form) -> Column:
+    return F.transform(T.split_elisions(quote), lambda p: T.strip(form(p)))
 
 
 def ladder(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: str = "quote", book: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (item, book, level, found_at in the level's text): the strictest level at which each pair matches. Quotes without ellipses.
+    """Rows (item, book, level, found_at in the level's text, ends): the strictest level at which each pair matches.
 
-    EXACT: the normalised quote stands in the raw text. NORMALIZED: in the normalised text. PUNCT: by
-    letters and digits alone. Raw containment implies normalised containment, so one blocked join serves
-    both; the last rung has no words to block by, and only quotes without any match get that far.
+    EXACT: the normalised quote, or its parts between ellipses in order, stand in the raw text. NORMALIZED: in the normalised
+    text. PUNCT: by letters and digits alone. A match in the raw text is one in the normalised text too, so one join serves
+    both; only quotes without any match get to the last rung.
     """
-    q = quotes.select(item, F.col(quote).alias("_raw")).withColumn("q", T.strip(T.norm(F.col("_raw")))).where("q <> ''")
-    b = books.select(book, F.col(text).alias("_text")).where("_text is not null").withColumn("body", T.norm(F.col("_text")))
-    hit = candidates(q, b).withColumn("level", F.when(F.contains("_text", F.col("q")), "EXACT").otherwise("NORMALIZED"))
-    hit = hit.withColumn("found_at", F.when(F.col("level") == "EXACT", T.locate(F.col("q"), F.col("_text"))).otherwise(T.locate(F.col("q"), F.col("body"))) - 1)
-    hit = hit.select(item, book, "level", "found_at")
-    rest = q.join(hit.select(item).distinct(), item, "left_anti").withColumn("a", T.alnum(F.col("_raw"))).where("a <> ''")
-    al = b.withColumn("_alnum", T.alnum(F.col("_text")))
-    few = quotes.limit(BROADCAST_ROWS + 1).count()  # where all quotes fit, the rest needs no count
-    out = hit
-    for block in _blocks(rest.select(item, "a"), few if few <= BROADCAST_ROWS else None):
-        out = out.unionByName(al.join(F.broadcast(block), F.contains("_alnum", F.col("a"))).select(item, book, F.lit("PUNCT").alias("level"), (T.locate(F.col("a"), F.col("_alnum")) - 1).alias("found_at")))
-    return out
+    q = quotes.select(item, F.col(quote).alias("_raw")).withColumn("parts", T.once(_parts(F.col("_raw"), T.norm)))
+    b = books.select(book, F.col(text).alias("_text")).where("_text is not null").withColumn("body", T.once(T.norm(F.col("_text"))))
+    some = q.withColumn("q", F.get("parts", F.lit(0))).where("q <> ''").drop("_raw")
+    hit = contained(some, b, "q", "body", item, book, T.MIN_FRAGMENT)
+    levels = [F.struct(F.lit(n).alias("level"), T.search_parts(F.col(t), F.col("parts")).alias("s")) for n, t in (("EXACT", "_text"), ("NORMALIZED", "body"))]
+    hit = hit.withColumn("m", T.once(F.when(levels[0]["s"]["ok"], levels[0]).otherwise(levels[1]))).where("m.s.ok")
+    hit = hit.select(item, book, "m.level", F.col("m.s.first").alias("found_at"), F.col("m.s.cursor").alias("ends"))
+    last = q.join(hit.select(item).distinct(), item, "left_anti").select(item, T.once(_parts(F.col("_raw"), T.alnum)).alias("parts")).withColumn("q", F.get("parts", F.lit(0))).where("q <> ''")
+    bare = b.select(book, T.once(T.alnum(F.col("_text"))).alias("body"))
+    low = contained(last, bare, "q", "body", item, book, T.MIN_FRAGMENT).withColumn("s", T.once(T.search_parts(F.col("body"), F.col("parts")))).where("s.ok")
+    return hit.unionByName(low.select(item, book, F.lit("PUNCT").alias("level"), F.col("s.first").alias("found_at"), F.col("s.cursor").alias("ends")))
 
 
 def outcome(quotes: DataFrame, pairs: DataFrame, item: str = "item_id", book: str = "doc_id") -> DataFrame:
     """One row an item, failed ones too: status, best level, books at that level, the first book."""
-    names = ("EXACT", "NORMALIZED", "PUNCT")
-    on = {v: F.col("level") == v for v in names}
+    on = {v: F.col("level") == v for v in LEVELS}
     g = pairs.groupBy(item).agg(*[F.count_if(c).alias(f"n_{v}") for v, c in on.items()], *[F.min(F.when(c, F.col(book))).alias(f"b_{v}") for v, c in on.items()])
-    best = F.coalesce(*[F.when(F.col(f"n_{v}") > 0, F.struct(F.lit(v).alias("level"), F.col(f"n_{v}").alias("n"), F.col(f"b_{v}").alias("b"))) for v in names])
+    best = F.coalesce(*[F.when(F.col(f"n_{v}") > 0, F.struct(F.lit(v).alias("level"), F.col(f"n_{v}").alias("n"), F.col(f"b_{v}").alias("b"))) for v in LEVELS])
     at = quotes.select(item).join(g.select(item, best.alias("_x")), item, "left")
     return at.select(item, F.when(F.col("_x").isNull(), "FAIL").otherwise("PASS").alias("status"), F.col("_x.level").alias("level"), F.coalesce("_x.n", F.lit(0)).cast("long").alias("n_books"), F.col("_x.b").alias(book))
 
 
-def elided(quotes: DataFrame, books: DataFrame, item: str = "item_id", quote: str = "quote", book: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (item, book, found_at, ends) in normalised text of quotes with ellipses: parts in order, greedy."""
-    q = quotes.select(item, F.transform(T.split_elisions(F.col(quote)), lambda p: T.strip(T.norm(p))).alias("parts"))
-    b = books.select(book, T.norm(F.col(text)).alias("body"))
-    none = q.where("false")
-    met = [b.join(F.broadcast(block), F.contains("body", F.get("parts", F.lit(0)))) for block in _blocks(q) or [none]]
-    s = reduce(DataFrame.unionByName, met).withColumn("s", T.search_parts(F.col("body"), F.col("parts"))).where("s.ok")
-    return s.select(item, book, F.col("s.first").cast("long").alias("found_at"), F.col("s.cursor").cast("long").alias("ends"))
-
-
 def line_segments(books: DataFrame, book: str = "doc_id", text: str = "text", mark: str = "p.") -> DataFrame:
     """Segments of a text by its line ends, as pages are by form feeds: (book, pos from 1, label, start, end, body). Row-local: no window."""
     parts = F.split(text, "\n", -1)
@@ -103,14 +105,95 @@ def line_segments(books: DataFrame, book: str = "doc_id", text: str = "text", ma
     return s.select(book, pos.alias("pos"), F.concat(F.lit(mark), pos.cast("string")).alias("label"), F.col("z.span.start").cast("long").alias("start"), F.least("z.span.end", "total").cast("long").alias("end"), F.col("z.body").alias("body"))
 
 
-def locate(offsets: DataFrame, segments: DataFrame, book: str = "doc_id", offset: str = "found_at") -> DataFrame:
-    """offsets with the label of the first segment that holds each, null where none does: equal books, then the range."""
-    s = segments.select(F.col(book).alias("_b"), "pos", "label", "start", "end")
-    met = offsets.join(s, (F.col(book) == F.col("_b")) & (F.col("start") <= F.col(offset)) & (F.col(offset) < F.col("end")), "left")
-    return met.groupBy(*offsets.columns).agg(F.min_by("label", "pos").alias("label"))
+def locate(offsets: DataFrame, segments: DataFrame, book: str = "doc_id", offset: str = "found_at", *keep: str, label: str = "label") -> DataFrame:
+    """offsets with the label, and the columns to keep, of the first segment that holds each, null where none does: equal books, then the range."""
+    s = segments.select(F.col(book).alias("_b"), F.struct("pos", "label", *[k for k in keep if k != "pos"]).alias("_s"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    met = offsets.join(s, (F.col(book) == F.col("_b")) & (F.col("_start") <= F.col(offset)) & (F.col(offset) < F.col("_end")), "left")
+    first = met.groupBy(*offsets.columns).agg(F.min("_s").alias("_s"))
+    return first.select(*offsets.columns, F.col("_s.label").alias(label), *[F.col(f"_s.{k}").alias(k) for k in keep])
+
+
+def locator(offsets: DataFrame, pages: DataFrame | None, chapters: DataFrame | None, book: str = "doc_id", offset: str = "found_at", name: str = "locator") -> DataFrame:
+    """offsets with a locator such as ch3 / p.87, the chapter first; unknown where neither holds the offset."""
+    out, labels = offsets, []
+    for kind, segments in (("_chapter", chapters), ("_page", pages)):
+        if segments is not None:
+            out = locate(out, segments, book, offset, label=kind)
+            labels.append(kind)
+    text = F.concat_ws(" / ", *labels)
+    return out.withColumn(name, F.when(F.col(offset).isNull(), None).when(text == "", "unknown").otherwise(text)).drop(*labels)
 
 
-def mismatch(claimed: str, actual: str):
+def mismatch(claimed: str, actual: str) -> Column:
     """True where both locators have tokens and share none."""
     a, b = T.locator_tokens(F.col(claimed)), T.locator_tokens(F.col(actual))
     return (F.size(a) > 0) & (F.size(b) > 0) & ~F.arrays_overlap(a, b)
+
+
+# The issues of a verification record, as they are printed.
+NO_QUOTE = "quote not found in the extracted text"
+NO_IMAGE = "evidence image not found: %s"
+WRONG_PLACE = "locator says '%s' but the quote is at '%s'"
+BY_LETTERS = "matched only after stripping punctuation, so the quote's punctuation does not match the book verbatim"
+FROM_IMAGE = "evidence is a page image, not a quote. Weaker than a text note, and the brief must say so."
+
+
+def verify_notes(notes: DataFrame, books: DataFrame, pages: DataFrame | None, chapters: DataFrame | None, files: DataFrame, book: str = "slug", text: str = "text") -> DataFrame:
+    """A record for each note (book, id, quote, locator, kind, evidence) of a book: status, level, found_at, found_locator, issues, evidence_path.
+
+    A note is looked up in its own book, so books meet notes by key and each level is tried in the row, the strictest first.
+    ``files`` lists the paths that exist (book, path), from which a figure note's evidence is taken.
+    """
+    there = files.select(F.col(book).alias("_fb"), F.col("path").alias("evidence_path")).distinct()
+    figures = notes.where("kind = 'figure'").join(there, (F.col(book) == F.col("_fb")) & (F.col("evidence") == F.col("evidence_path")), "left").drop("_fb")
+    found = F.col("evidence_path").isNotNull()
+    figures = figures.select(
+        book, "id", F.when(found, "FIGURE").otherwise("FAIL").alias("status"), F.lit("IMAGE").alias("level"), F.lit(None).cast("long").alias("found_at"), F.col("locator").alias("found_locator"),
+        F.array(F.when(found, F.lit(FROM_IMAGE)).otherwise(F.format_string(NO_IMAGE, F.coalesce("evidence", F.lit(""))))).alias("issues"), "evidence_path",
+    )
+
+    q = notes.where("kind is null or kind <> 'figure'").join(books.select(book, F.col(text).alias("_text")), book, "left")
+    q = q.withColumn("_text", F.coalesce("_text", F.lit("")))
+    tries = [("EXACT", F.col("_text"), T.norm), ("NORMALIZED", T.norm(F.col("_text")), T.norm), ("PUNCT", T.alnum(F.col("_text")), T.alnum)]
+    levels = []
+    for name, body, form in tries:
+        # the text and the outcome go through lambdas by name, so that neither is computed anew for each of its uses
+        s = F.aggregate(F.array(body), F.struct(F.lit(False).alias("ok"), F.lit(-1).alias("first"), F.lit(0).alias("cursor")), lambda _, b, f=form: T.search_parts(b, _parts(F.col("quote"), f)))
+        levels.append(F.get(F.transform(F.array(s), lambda x, n=name: F.when(x["ok"], F.struct(F.lit(n).alias("level"), x["first"].alias("first")))), F.lit(0)))
+    match = F.coalesce(*levels)
+    q = q.withColumn("m", T.once(match))
+    at = F.array("m.first")
+    hit = q.where("m is not null")
+    moved = [hit.where(F.col("m.level") == "EXACT").withColumn("found_at", F.col("m.first"))]
+    moved += [hit.where(F.col("m.level") == n).withColumn("found_at", F.get(T.raw_offsets(F.col("_text"), at, mode), F.lit(0))) for n, mode in (("NORMALIZED", "norm"), ("PUNCT", "alnum"))]
+    all_ = [q.where("m is null").withColumn("found_at", F.lit(None).cast("int")), *moved]
+    cols = [book, "id", "locator", F.col("m.level").alias("level"), F.col("found_at").cast("long").alias("found_at")]
+    rows = all_[0].select(*cols)
+    for more in all_[1:]:
+        rows = rows.unionByName(more.select(*cols))
+    rows = locator(rows, pages, chapters, book, "found_at", "found_locator")
+    off = F.coalesce(mismatch("locator", "found_locator"), F.lit(False))
+    status = F.when(F.col("level").isNull(), "FAIL").when(off, "LOCATOR_MISMATCH").otherwise("PASS")
+    issues = F.array_compact(F.array(
+        F.when(F.col("level").isNull(), NO_QUOTE), F.when(off, F.format_string(WRONG_PLACE, "locator", "found_locator")), F.when(F.col("level") == "PUNCT", BY_LETTERS),
+    ))
+    rows = rows.select(book, "id", status.alias("status"), "level", "found_at", "found_locator", issues.alias("issues"), F.lit(None).cast("string").alias("evidence_path"))
+    return rows.unionByName(figures)
+
+
+def failing(records: DataFrame, strict: bool = False) -> DataFrame:
+    """The records that must be dropped; with ``strict`` wrong locators and matches by letters alone too."""
+    rule = F.col("status") == "FAIL"
+    if strict:
+        rule = rule | (F.col("status") == "LOCATOR_MISMATCH") | ((F.col("level") == "PUNCT") & (F.col("status") == "PASS"))
+    return records.where(rule)
+
+
+def report(records: DataFrame, book: str = "slug", strict: bool = False) -> DataFrame:
+    """A row a book: counts by status, counts of the three levels, must_drop (ids in order) and ok."""
+    levels = F.create_map(*[x for v in LEVELS for x in (F.lit(v), F.count_if(F.col("level") == v))])
+    counted = records.groupBy(book, "status").agg(F.count("*").alias("n")).groupBy(book).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("counts"))
+    drops = failing(records, strict).groupBy(book).agg(F.array_sort(F.collect_set("id")).alias("must_drop"))
+    out = records.groupBy(book).agg(F.count("*").alias("notes"), levels.alias("levels")).join(counted, book).join(drops, book, "left")
+    none = F.array().cast("array<string>")
+    return out.select(book, "notes", "counts", "levels", F.coalesce("must_drop", none).alias("must_drop"), F.col("must_drop").isNull().alias("ok"))

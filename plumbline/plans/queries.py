@@ -17,7 +17,7 @@ from plumbline.operators import quality as Q
 from plumbline.operators import search as S
 from plumbline.operators import status as ST
 from plumbline.operators import verify as V
-from plumbline.session import table
+from plumbline.session import dealt, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def books(spark, d) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return dealt(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def quotes(spark, d) -> DataFrame:
@@ -69,18 +69,16 @@ SELECT q.item_id, CASE WHEN m.doc_id IS NULL THEN 'FAIL' ELSE 'PASS' END AS stat
 FROM q LEFT JOIN m ON q.item_id = m.item_id LEFT JOIN documents d ON d.doc_id = m.doc_id
 """)
 def verify_quotes_exact(spark, d):
-    q = quotes(spark, d).withColumn("q", T.strip(T.norm(F.col("quote"))))
-    b = books(spark, d).withColumn("body", T.norm(F.col("text")))
-    hit = V.candidates(q.select("item_id", "q"), b).where(F.contains("text", F.col("q"))).withColumn("at", T.locate(F.col("q"), F.col("text")) - 1)
-    first = hit.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_books"), F.min_by("at", "doc_id").cast("long").alias("found_at"))
-    return q.select("item_id").join(first, "item_id", "left").select("item_id", F.when(F.col("doc_id").isNull(), "FAIL").otherwise("PASS").alias("status"), F.coalesce("n_books", F.lit(0)).cast("long").alias("n_books"), "doc_id", "found_at")
+    hit = exact_hits(spark, d)
+    first = hit.groupBy("item_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_books"), F.min_by("found_at", "doc_id").alias("found_at"))
+    return quotes(spark, d).select("item_id").join(first, "item_id", "left").select("item_id", F.when(F.col("doc_id").isNull(), "FAIL").otherwise("PASS").alias("status"), F.coalesce("n_books", F.lit(0)).cast("long").alias("n_books"), "doc_id", "found_at")
 
 
 #: Ways to disturb a quote, so that every rung of the ladder is reached: (name, Spark, SQL).
 VARIANTS = (
     ("plain", lambda c: c, "text"),
     ("upper", lambda c: F.translate(c, T.LOWER, T.UPPER), f"translate(text, '{T.LOWER}', '{T.UPPER}')"),
-    ("soft", lambda c: F.concat(F.substring(c, 1, 20), F.lit("­"), F.substring(c, 21, 100000)), "substr(text, 1, 20) || '­' || substr(text, 21)"),
+    ("soft", lambda c: F.concat(F.substring(c, 1, 20), F.lit("­"), F.substring(c, F.lit(21), F.length(c))), "substr(text, 1, 20) || '­' || substr(text, 21)"),
     ("bang", lambda c: F.replace(c, F.lit(" "), F.lit("! ")), "replace(text, ' ', '! ')"),
     ("absent", lambda c: F.reverse(c), "reverse(text)"),
 )
@@ -128,16 +126,22 @@ def verify_strict_drops(spark, d):
     return r.where("status = 'FAIL'").select("item_id").union(r.where("level = 'PUNCT' and status = 'PASS'").select("item_id")).distinct()
 
 
+_cut = "length(text) // 2"
+
+
 @query(f"""
-WITH q AS (SELECT item_id, trim({norm_sql("substr(text, 1, 40)")}) AS f1, trim({norm_sql("right(text, 30)")}) AS f2 FROM benchmark WHERE length(text) > 80),
+WITH q AS (SELECT item_id, trim({norm_sql(f"left(text, {_cut})")}) AS f1, trim({norm_sql(f"substr(text, {_cut} + 11)")}) AS f2 FROM benchmark),
 {_b},
-s AS (SELECT item_id, doc_id, strpos(body, f1) - 1 AS p1, strpos(body, f1) - 1 + length(f1) AS c1, f1, f2, body FROM q JOIN b ON strpos(body, f1) > 0),
-t AS (SELECT *, strpos(substr(body, c1 + 1), f2) AS r FROM s)
-SELECT item_id, doc_id, CAST(p1 AS BIGINT) AS found_at, CAST(c1 + r - 1 + length(f2) AS BIGINT) AS ends FROM t WHERE r > 0 AND r - 1 <= 3000 AND length(f1) >= 12 AND length(f2) >= 12
+s AS (SELECT item_id, doc_id, f1, f2, level, t, strpos(t, f1) - 1 AS p1, strpos(t, f1) - 1 + length(f1) AS c1 FROM q, (SELECT doc_id, 1 AS level, text AS t FROM b UNION ALL SELECT doc_id, 2, body FROM b) WHERE contains(t, f1)),
+t AS (SELECT *, strpos(substr(t, c1 + 1), f2) AS r FROM s),
+m AS (SELECT * FROM t WHERE r > 0 AND r - 1 <= 3000 AND length(f1) >= 12 AND length(f2) >= 12 QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY level) = 1)
+SELECT item_id, doc_id, CASE level WHEN 1 THEN 'EXACT' ELSE 'NORMALIZED' END AS level, CAST(p1 AS BIGINT) AS found_at, CAST(c1 + r - 1 + length(f2) AS BIGINT) AS ends FROM m
 """)
 def elision_match(spark, d):
-    q = quotes(spark, d).where(F.length("quote") > 80).select("item_id", F.concat(F.substring("quote", 1, 40), F.lit(" [...] "), F.right("quote", F.lit(30))).alias("quote"))
-    return V.elided(q, books(spark, d))
+    """Each quote with ten characters after its middle left out."""
+    half = F.floor(F.length("quote") / 2).cast("int")
+    q = quotes(spark, d).select("item_id", F.concat(F.substring(F.col("quote"), F.lit(1), half), F.lit(" [...] "), F.substring(F.col("quote"), half + 11, F.length("quote"))).alias("quote"))
+    return V.ladder(q, books(spark, d)).where("level <> 'PUNCT'").select("item_id", "doc_id", "level", F.col("found_at").cast("long"), F.col("ends").cast("long"))
 
 
 _hits = f"""
@@ -150,8 +154,8 @@ seg AS (SELECT doc_id, CAST(pos AS BIGINT) AS pos, 'p.' || CAST(pos AS VARCHAR)
 
 
 def exact_hits(spark, d):
-    q = quotes(spark, d).select("item_id", T.strip(T.norm(F.col("quote"))).alias("q"))
-    hit = V.candidates(q, books(spark, d).withColumn("body", T.norm(F.col("text")))).where(F.contains("text", F.col("q")))
+    q = quotes(spark, d).select("item_id", T.once(T.strip(T.norm(F.col("quote")))).alias("q"))
+    hit = V.contained(q, books(spark, d).where("text is not null"), "q", "text", "item_id", "doc_id")
     return hit.select("item_id", "doc_id", (T.locate(F.col("q"), F.col("text")) - 1).cast("long").alias("found_at"))
 
 
@@ -187,7 +191,8 @@ def locator_tokens(spark, d):
 
 @query(f"SELECT doc_id, md5({norm_sql('text')}) AS norm_md5, CAST(length({norm_sql('text')}) AS BIGINT) AS norm_chars FROM documents")
 def normalize_text(spark, d):
-    return books(spark, d).select("doc_id", F.md5(T.norm(F.col("text"))).alias("norm_md5"), F.length(T.norm(F.col("text"))).cast("long").alias("norm_chars"))
+    n = books(spark, d).select("doc_id", T.once(T.norm(F.col("text"))).alias("n"))
+    return n.select("doc_id", F.md5("n").alias("norm_md5"), F.length("n").cast("long").alias("norm_chars"))
 
 
 @query(f"SELECT doc_id, md5({alnum_sql('text')}) AS alnum_md5 FROM documents")
@@ -290,31 +295,52 @@ def study_sections(spark, d):
 
 # ---- search ----
 
-#: Positions of overlapping hits in mapped text are too slow in SQL on whole tables; tests compare with brute force.
 TERMS = ["license", "MIT License", "the the", "ándo", "aaa"]
+_terms = ", ".join(f"({i}, '{t}', {m}, '{w}')" for m, words in enumerate(S.needles(TERMS).values()) for i, (t, w) in enumerate(zip(TERMS, words)))
+#: Hits one after another, then each character of the texts with a hit and where it stands in the view, which leads back to the raw text.
+_search = f"""
+WITH RECURSIVE v AS (SELECT doc_id, 0 AS m, lower({norm_sql('text')}) AS view FROM documents UNION ALL SELECT doc_id, 1, {alnum_sql('text')} FROM documents),
+t(term_no, term, m, needle) AS (VALUES {_terms}),
+occ AS (
+  SELECT doc_id, v.m, term_no, term, needle, view, 0 AS nth, strpos(view, needle) AS spot FROM v JOIN t ON v.m = t.m AND contains(view, needle)
+  UNION ALL
+  SELECT doc_id, m, term_no, term, needle, view, nth + 1, spot + strpos(substr(view, spot + 1), needle) FROM occ WHERE nth + 1 < {S.LIMIT} AND contains(substr(view, spot + 1), needle)),
+x AS (SELECT doc_id, text, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE doc_id IN (SELECT doc_id FROM occ)),
+n AS (SELECT doc_id, i, CASE WHEN regexp_matches(c, '\\s') AND coalesce(regexp_matches(lag(c) OVER w, '\\s'), false) THEN 0 ELSE 1 END AS n0, length({alnum_sql('c')}) AS n1 FROM x WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT doc_id, i, n0, n1, sum(n0) OVER w AS e0, sum(n1) OVER w AS e1 FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+map AS (SELECT doc_id, 0 AS m, i, e0 - n0 AS lo, e0 AS hi FROM s WHERE n0 > 0 UNION ALL SELECT doc_id, 1, i, e1 - n1, e1 FROM s WHERE n1 > 0),
+h AS (SELECT occ.doc_id, occ.m, term_no, term, nth, i AS o FROM occ JOIN map ON occ.doc_id = map.doc_id AND occ.m = map.m AND lo <= spot - 1 AND spot - 1 < hi),
+f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, o // {S.BUCKET} ORDER BY term_no, m, nth) = 1),
+r AS (SELECT f.doc_id, term, CASE m WHEN 0 THEN 'norm' ELSE 'alnum' END AS mode, CAST(o AS BIGINT) AS "offset", 'p.' || CAST(length(left(text, o)) - length(replace(left(text, o), chr(10), '')) + 1 AS VARCHAR) AS locator,
+  trim(regexp_replace(substr(text, greatest(0, o - {S.CONTEXT // 2}) + 1, least(length(text), o + length(term) + {S.CONTEXT // 2}) - greatest(0, o - {S.CONTEXT // 2})), '\\s+', ' ', 'g')) AS snippet, term_no, m, nth
+  FROM f JOIN documents d ON f.doc_id = d.doc_id),
+sec AS (SELECT doc_id, locator, count(*) AS hits, min([term_no, m, nth, "offset"]) AS seen FROM r GROUP BY doc_id, locator)
+"""
+
+
 def found(spark, d):
     b = books(spark, d)
     return S.hits(b, TERMS, V.line_segments(b))
 
 
-@query()
+@query(_search + 'SELECT doc_id, term, mode, "offset", locator FROM r')
 def search_hits(spark, d):
     return found(spark, d).select("doc_id", "term", "mode", "offset", "locator")
 
 
-@query()
+@query(_search + "SELECT doc_id, locator, hits FROM sec")
 def search_sections(spark, d):
-    return S.sections(found(spark, d))
+    return S.sections(found(spark, d)).drop("first_seen")
 
 
-@query()
+@query(_search + "SELECT doc_id, locator, hits FROM sec ORDER BY hits DESC, doc_id, seen LIMIT 8")
 def search_topk(spark, d):
-    return S.densest(S.sections(found(spark, d)), 8)
+    return S.densest(S.sections(found(spark, d))).drop("first_seen")
 
 
-@query()
+@query(_search + 'SELECT doc_id, term, "offset", snippet, (SELECT count(*) FROM r) AS total FROM r ORDER BY doc_id, "offset", term_no, m, nth LIMIT 20')
 def search_snippets(spark, d):
-    return S.top(found(spark, d), 20).select("doc_id", "term", "offset", "snippet")
+    return S.top(found(spark, d)).select("doc_id", "term", "offset", "snippet", "total")
 
 
 # ---- HTML ----
@@ -430,7 +456,7 @@ def note_lines(spark, d):
     c = table(spark, d, "conversations").withColumn("no", F.col("conv_id") * 100 + F.col("turn"))
     fig = F.col("no") % 5 == 0
     body = F.to_json(F.struct(
-        F.when(F.col("no") % 13 != 0, F.concat(F.lit("n"), F.col("no").cast("string"))).alias("id"), F.left("text", F.lit(30)).alias("claim"), F.when(~fig & (F.col("no") % 7 != 0), F.left("text", F.lit(60))).alias("quote"),
+        F.when(F.col("no") % 13 != 0, F.concat(F.lit("n"), F.col("no").cast("string"))).alias("id"), F.col("text").alias("claim"), F.when(~fig & (F.col("no") % 7 != 0), F.col("text")).alias("quote"),
         F.when(fig & (F.col("no") % 10 == 0), F.lit("pages/p0001.png")).alias("evidence"), F.concat(F.lit("ch"), (F.col("turn") % 4 + F.col("conv_id") % 9).cast("string"), F.lit(" / p."), F.col("conv_id").cast("string")).alias("locator"),
         F.when(fig, "figure").when(F.col("no") % 11 == 0, "rumour").otherwise("claim").alias("kind"), F.when(F.col("no") % 3 == 0, "adjacent").otherwise("core").alias("scope"), F.when(F.col("role") == "user", "conversation").when(F.col("no") % 17 == 0, "nobody").otherwise("author").alias("speaker"),
     ))
@@ -440,7 +466,7 @@ def note_lines(spark, d):
 
 _notes = """
 WITH c AS (SELECT *, conv_id * 100 + turn AS no FROM conversations),
-f AS (SELECT conv_id, turn, no, CASE WHEN no % 13 <> 0 THEN 'n' || CAST(no AS VARCHAR) END AS id, left(text, 30) AS claim, CASE WHEN no % 5 <> 0 AND no % 7 <> 0 THEN left(text, 60) END AS quote,
+f AS (SELECT conv_id, turn, no, CASE WHEN no % 13 <> 0 THEN 'n' || CAST(no AS VARCHAR) END AS id, text AS claim, CASE WHEN no % 5 <> 0 AND no % 7 <> 0 THEN text END AS quote,
   CASE WHEN no % 10 = 0 THEN 'pages/p0001.png' END AS evidence, 'ch' || CAST(turn % 4 + conv_id % 9 AS VARCHAR) || ' / p.' || CAST(conv_id AS VARCHAR) AS locator, turn % 4 + conv_id % 9 AS ch,
   CASE WHEN no % 5 = 0 THEN 'figure' WHEN no % 11 = 0 THEN 'rumour' ELSE 'claim' END AS kind, CASE WHEN no % 3 = 0 THEN 'adjacent' ELSE 'core' END AS scope,
   CASE WHEN role = 'user' THEN 'conversation' WHEN no % 17 = 0 THEN 'nobody' ELSE 'author' END AS speaker, no % 19 = 0 AS broken FROM c WHERE no % 19 = 0 OR (no % 23 <> 0 AND no % 29 <> 0)),
@@ -563,7 +589,7 @@ def coverage_gaps(spark, d):
 SELECT spot.item_id, spot.doc_id, count(*) AS passages, CAST(sum(length(s.body)) AS BIGINT) AS chars FROM spot JOIN seg s ON spot.doc_id = s.doc_id AND s.pos BETWEEN spot.pos - 2 AND spot.pos + 2 GROUP BY spot.item_id, spot.doc_id""")
 def context_window(spark, d):
     seg = V.line_segments(books(spark, d))
-    at = V.locate(exact_hits(spark, d), seg).withColumn("pos", F.regexp_extract("label", "[0-9]+", 0).cast("long"))
+    at = V.locate(exact_hits(spark, d), seg, "doc_id", "found_at", "pos")
     near = N.context_window(seg, at.select("item_id", "doc_id", "pos"), "doc_id", "pos")
     return near.groupBy("item_id", "doc_id").agg(F.count("*").alias("passages"), F.sum(F.length("body")).alias("chars"))
 

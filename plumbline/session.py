@@ -17,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df dealt over the cores where its scan has fewer splits than there are cores, as a table of one file has; a large table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Registers tables as views, so that plain SQL can be used on them."""
     for n in names:
