@@ -149,17 +149,18 @@ def find_all(text: Column, needle: str, limit: int) -> Column:
     return F.when(F.contains(text, F.lit(needle)), F.slice(found, 1, limit)).otherwise(F.array().cast("array<int>"))
 
 
-def raw_offsets(text: Column, positions: Column, mode: str) -> Column:
-    """Offsets in the raw text of positions in its transformed text. An Arrow function: call it once a text, on texts with hits only.
+def raw_offsets(text: Column, positions: Column, mode: Column) -> Column:
+    """Offsets in the raw text of positions in its transformed text, by mode norm or alnum; the positions themselves where the mode is null.
+
+    An Arrow function: call it once a text, on texts with hits only.
 
     Runs of plain characters are mapped as a whole, and a text is read no further than its last position.
     """
     import pandas as pd
 
-    plain = r"[0-9A-Za-z]+" if mode == "alnum" else r"[!-~]+"
     table = fold_table()
 
-    def run(t, p):
+    def run(t, p, modes):
         import re
         import unicodedata
         from functools import cache
@@ -173,10 +174,13 @@ def raw_offsets(text: Column, positions: Column, mode: str) -> Column:
         def kept(ch):  # letters and digits that a character leaves
             return sum(e.isalnum() for c in folded(ch) if c.isalnum() for e in unicodedata.normalize("NFKD", c.lower()))
 
-        token, out = re.compile(rf"({plain})|(?s:.)"), []
-        for s, at in zip(t, p):
+        tokens, out = {"norm": re.compile(r"([!-~]+)|(?s:.)"), "alnum": re.compile(r"([0-9A-Za-z]+)|(?s:.)")}, []
+        for s, at, mode in zip(t, p, modes):
+            if mode is None:
+                out.append(at)
+                continue
             last, idx, space = max(at, default=-1), [], False
-            for m in token.finditer(s):
+            for m in tokens[mode].finditer(s):
                 if len(idx) > last:
                     break
                 i = m.start()
@@ -194,8 +198,8 @@ def raw_offsets(text: Column, positions: Column, mode: str) -> Column:
             out.append([idx[x] for x in at])
         return pd.Series(out)
 
-    run.__annotations__ = {"t": pd.Series, "p": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<int>")(text, positions)
+    run.__annotations__ = {"t": pd.Series, "p": pd.Series, "modes": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<int>")(F.when(mode.isNotNull(), text), positions, mode)
 
 
 # Tags whose content is left out, and tags that stand for a line break.

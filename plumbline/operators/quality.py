@@ -50,12 +50,17 @@ def verdicts(scored: DataFrame, book: str, has_figure: str | None = None) -> Dat
     return both.withColumn("verdict", rule)
 
 
+def percent(ratio: str):
+    """A ratio as a whole percentage, halves up, of its decimal digits."""
+    return F.concat(F.round(F.col(ratio).cast("decimal(12,4)") * 100, 0).cast("long").cast("string"), F.lit("%"))
+
+
 def reasons():
-    """The reasons of a GARBLED verdict, in order."""
+    """The reasons of a GARBLED verdict, in order. The sentences, as they are printed."""
     return F.array_compact(F.array(
-        F.when(F.col("alnum_ratio") < MIN_ALNUM_RATIO, F.format_string("only %.0f%% letters and digits", F.col("alnum_ratio") * 100)),
+        F.when(F.col("alnum_ratio") < MIN_ALNUM_RATIO, F.format_string("only %s letters and digits", percent("alnum_ratio"))),
         F.when(F.col("avg_word_len") > MAX_AVG_WORD, F.format_string("average word length %.1f, spaces likely lost", F.col("avg_word_len"))),
-        F.when(F.col("long_token_ratio") > MAX_LONG_TOKENS, F.format_string("%.0f%% of tokens over 25 characters", F.col("long_token_ratio") * 100)),
+        F.when(F.col("long_token_ratio") > MAX_LONG_TOKENS, F.format_string("%s of tokens over 25 characters", percent("long_token_ratio"))),
         F.when(F.col("replacement_ratio") > MAX_REPLACEMENT, F.lit("unreadable characters present")),
     ))
 

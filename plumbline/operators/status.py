@@ -21,12 +21,17 @@ def synthesis_state(mtime, newest):
 
 
 def unextracted(sources: DataFrame, books: DataFrame, stem: str = "stem", slug: str = "slug") -> DataFrame:
-    """Sources whose stem holds no book's slug. Slugs are broadcast after a count: a topic has few books."""
-    if books.limit(20_001).count() > 20_000:
-        raise ValueError("more than 20,000 books in one topic")
-    return sources.join(F.broadcast(books.select(F.col(slug).alias("_s"))), F.contains(stem, F.col("_s")), "left_anti")
+    """Sources whose stem holds no book's slug: a source meets the slugs that are one of its stem's substrings, so both sides join by key, however many they are."""
+    n = F.length(stem)
+    # the lengths that slugs have are few; a null or empty stem has no substring
+    sizes = books.select(F.length(slug).alias("k")).distinct()
+    cut = F.transform(F.sequence(F.lit(1), F.col("_n") - F.col("k") + 1), lambda i: F.substring(F.col(stem), i, F.col("k")))
+    pieces = sources.select(stem).distinct().withColumn("_n", n).join(F.broadcast(sizes), F.col("k") <= F.col("_n")).select(stem, F.explode(F.array_distinct(cut)).alias("_s"))
+    held = pieces.join(books.select(F.col(slug).alias("_s")).distinct(), "_s", "left_semi").select(F.col(stem).alias("_held")).distinct()
+    return sources.join(held, F.col(stem) == F.col("_held"), "left_anti")
 
 
+# The sentences of the actions.
 def next_actions(books: DataFrame, n_unextracted: int, synthesis: str) -> DataFrame:
     """Rows (ord, action) in the order of the pipeline, from books (slug, state, notes)."""
     wait = books.where("state = 'in-progress'").select(F.lit(1).alias("ord"), "slug", F.format_string("wait: %s looks like a study run still in progress (%d notes so far). Do not restart it.", "slug", F.col("notes")).alias("action"))

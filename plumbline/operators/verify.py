@@ -155,22 +155,16 @@ def verify_notes(notes: DataFrame, books: DataFrame, pages: DataFrame | None, ch
     q = notes.where("kind is null or kind <> 'figure'").join(books.select(book, F.col(text).alias("_text")), book, "left")
     q = q.withColumn("_text", F.coalesce("_text", F.lit("")))
     tries = [("EXACT", F.col("_text"), T.norm), ("NORMALIZED", T.norm(F.col("_text")), T.norm), ("PUNCT", T.alnum(F.col("_text")), T.alnum)]
-    levels = []
-    for name, body, form in tries:
+    def tried(name, body, form):
         # the text and the outcome go through lambdas by name, so that neither is computed anew for each of its uses
-        s = F.aggregate(F.array(body), F.struct(F.lit(False).alias("ok"), F.lit(-1).alias("first"), F.lit(0).alias("cursor")), lambda _, b, f=form: T.search_parts(b, _parts(F.col("quote"), f)))
-        levels.append(F.get(F.transform(F.array(s), lambda x, n=name: F.when(x["ok"], F.struct(F.lit(n).alias("level"), x["first"].alias("first")))), F.lit(0)))
+        s = F.aggregate(F.array(body), F.struct(F.lit(False).alias("ok"), F.lit(-1).alias("first"), F.lit(0).alias("cursor")), lambda _, b: T.search_parts(b, _parts(F.col("quote"), form)))
+        return F.get(F.transform(F.array(s), lambda x: F.when(x["ok"], F.struct(F.lit(name).alias("level"), x["first"].alias("first")))), F.lit(0))
+
+    levels = [tried(*t) for t in tries]
     match = F.coalesce(*levels)
     q = q.withColumn("m", T.once(match))
-    at = F.array("m.first")
-    hit = q.where("m is not null")
-    moved = [hit.where(F.col("m.level") == "EXACT").withColumn("found_at", F.col("m.first"))]
-    moved += [hit.where(F.col("m.level") == n).withColumn("found_at", F.get(T.raw_offsets(F.col("_text"), at, mode), F.lit(0))) for n, mode in (("NORMALIZED", "norm"), ("PUNCT", "alnum"))]
-    all_ = [q.where("m is null").withColumn("found_at", F.lit(None).cast("int")), *moved]
-    cols = [book, "id", "locator", F.col("m.level").alias("level"), F.col("found_at").cast("long").alias("found_at")]
-    rows = all_[0].select(*cols)
-    for more in all_[1:]:
-        rows = rows.unionByName(more.select(*cols))
+    mode = F.when(F.col("m.level") == "NORMALIZED", "norm").when(F.col("m.level") == "PUNCT", "alnum")
+    rows = q.select(book, "id", "locator", F.col("m.level").alias("level"), F.get(T.raw_offsets(F.col("_text"), F.when(F.col("m").isNotNull(), F.array("m.first")), mode), F.lit(0)).cast("long").alias("found_at"))
     rows = locator(rows, pages, chapters, book, "found_at", "found_locator")
     off = F.coalesce(mismatch("locator", "found_locator"), F.lit(False))
     status = F.when(F.col("level").isNull(), "FAIL").when(off, "LOCATOR_MISMATCH").otherwise("PASS")

@@ -120,12 +120,6 @@ def verify_counts(spark, d):
     return r.groupBy(F.col("status").alias("kind")).agg(F.count("*").alias("n")).unionByName(levels)
 
 
-@query(_ladder + "SELECT DISTINCT item_id FROM res WHERE status = 'FAIL' OR level = 'PUNCT'")
-def verify_strict_drops(spark, d):
-    r = verify_ladder(spark, d)
-    return r.where("status = 'FAIL'").select("item_id").union(r.where("level = 'PUNCT' and status = 'PASS'").select("item_id")).distinct()
-
-
 _cut = "length(text) // 2"
 
 
