@@ -41,7 +41,7 @@ SAMPLES, ALPHA, OFFSET, SEED = 2, 0.5, 10, "sp-2"
 #: A lone surrogate, which no valid text has, stands for a mark that is in the text itself.
 MARK, SENTINEL = "▁", "\ud800"
 #: Slots of units that a task remembers before it starts anew, and texts that are walked together.
-REMEMBERED, TOGETHER, FAR = 1 << 21, 64, 50.0
+REMEMBERED, TOGETHER, FAR = 1 << 20, 64, 50.0
 #: Code points below this have a table of which may be neighbours within a piece.
 NEAR = 0x250
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -125,7 +125,7 @@ class Lattice:
         self.first = np.zeros(1, np.int64)  # a slot's first edge; one more at the end
         self.logq = self.upto = np.zeros(0)  # an edge's log-probability given its slot; the summed probabilities of the slot's edges up to it
         self.piece = np.zeros(0, np.int32)
-        self.step = np.zeros(0, np.int32)
+        self.step = np.zeros(0, np.int8)
 
     def _grow(self, name: str, at: int, values) -> None:
         """Writes values at a place of an array and lets it end there; the room behind it doubles where it runs out."""
@@ -133,7 +133,7 @@ class Lattice:
 
         room = self.room.get(name)
         if room is None or len(room) < at + len(values):
-            new = np.empty(max(2 * (at + len(values)), 1 << 12), getattr(self, name).dtype)
+            new = np.empty(max(3 * (at + len(values)) // 2, 1 << 12), getattr(self, name).dtype)
             new[:at] = getattr(self, name)[:at]
             self.room[name] = room = new
         room[at : at + len(values)] = values
@@ -230,7 +230,7 @@ class Lattice:
         self._grow("base", len(self.base), stop - n + slots0)
         self._grow("stop", len(self.stop), stop + slots0)
         self._grow("first", slots0, first + edges0)
-        for name, values in (("logq", q), ("upto", upto), ("piece", pid), ("step", step)):
+        for name, values in (("logq", q), ("upto", upto), ("piece", pid), ("step", step.astype(np.int8))):
             self._grow(name, edges0, values)
 
     def walk(self, slot, stop, key):
@@ -380,6 +380,17 @@ def spread(x):
     return x ^ (x >> np.uint64(31))
 
 
+def remembered(model: str, alpha: float, pieces: list[str]) -> Lattice:
+    """A worker process keeps its lattice from task to task; what is in it changes no draw."""
+    import sys
+
+    kept = sys.__dict__.setdefault("_plumbline_lattices", {})
+    if (model, alpha) not in kept:
+        kept.clear()
+        kept[model, alpha] = Lattice(pieces, alpha)
+    return kept[model, alpha]
+
+
 def decode_ids(ids, pieces: list[str], byte0: int) -> str:
     out = bytearray()
     for i in ids:
@@ -397,7 +408,7 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        lattice = Lattice(pieces.value, alpha)
+        lattice = remembered(model, alpha, pieces.value)
         for b in batches:
             for at in range(0, b.num_rows, TOGETHER):
                 part = b.slice(at, TOGETHER)
