@@ -1,24 +1,29 @@
 """License scans by ordered signature rules, in DataFrame operations only.
 
-Texts are lower-cased (A-Z) and cut in words, joined by single spaces. A gate of a few substrings picks
-texts that can hold a license notice; a family's keywords pick its rules; only those rules' regexes run.
-Detections are ordered by start, length, priority and rule; one that lies within an earlier one is
-suppressed. Positions are word numbers from 0.
+Texts are lower-cased (A-Z) and cut in words, joined by single spaces. A rule's keyword, a substring that all its
+matches hold, gates it, and keywords are gated in turn by a word that several of them share: only the rules whose
+keyword a text holds run their regexes over it. Detections are taken in
+order of priority, then length, start and rule; one that lies within a taken one, or has a taken one within it, is
+suppressed, so a short identifier goes before the long general notice around it. Positions are word numbers from 0.
 
-The rules are the families below times the templates below: hundreds of patterns over words.
+The rules are the hand-written signatures of `license_rules` and, below them in priority, the names of FAMILIES in
+the forms of TEMPLATES.
 
 Defined results: a null text is an empty one; a text without words has n_words 0, null positions, empty
-labels and score 0; repeated rows are judged alike; extra columns are ignored; an empty table gives none.
+labels and score 0; repeated rows are judged alike; other columns stay, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
 
 import json
+import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ascii_lower, table
+from plumbline.llm.common import Sealed, ascii_lower, table
+from plumbline.llm.license_rules import SIGNATURES
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: phrase: label. Fixed by the contract.
@@ -92,17 +97,28 @@ TEMPLATES = (
     (f"{{name}} {LICENSE}", 1, 0.6),
 )
 BASE_WEIGHT = 0.6
-#: A text holds one of these wherever a template can match.
-GATE = ("license", "licence", " under ")
 MARK = "\x01"
 
 
 def rules() -> list[dict]:
-    out = []
+    """All rules, signatures first: a rule's number breaks ties."""
+    made = [(label, priority, weight, [keyword], pattern) for label, priority, weight, keyword, pattern in SIGNATURES]
     for pattern, priority, weight in TEMPLATES:
         for label, keywords, name, spdx in FAMILIES:
             words = list(keywords) if "{name}" in pattern else ["spdx"]
-            out.append({"id": len(out), "label": label, "keywords": words, "pattern": "(?<= )" + pattern.replace("{name}", name).replace("{id}", spdx) + "(?= )", "priority": priority, "weight": weight})
+            made.append((label, priority, weight, words, pattern.replace("{name}", name).replace("{id}", spdx)))
+    return [{"id": i, "label": label, "keywords": words, "pattern": f"(?<= )(?:{pattern})(?= )", "priority": priority, "weight": weight} for i, (label, priority, weight, words, pattern) in enumerate(made)]
+
+
+def gates(keywords) -> list[dict]:
+    """The keywords by a lead that each of them holds: the long word that most of those left share, else the keyword itself."""
+    left, out = set(keywords), []
+    while left:
+        shared = Counter(w for k in left for w in set(re.findall("[a-z]{5,}", k)))
+        lead = max(shared, key=lambda w: (shared[w], w)) if shared else min(left)
+        of = sorted(k for k in left if lead in k)
+        out.append({"lead": lead, "keywords": of})
+        left -= set(of)
     return out
 
 
@@ -120,52 +136,55 @@ def starts(norm: Column, pattern: Column) -> Column:
     return F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit(MARK)), i).otherwise(-1)), lambda i: i >= 0)
 
 
+#: What scan() tells of a text: its words, the places of base phrases, and the detections.
+FOUND = "array<struct<start:int,end:int,id:int,label:string,priority:int,weight:double>>"
+
+
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _n_words, _base (places: start, label) and _found (detections: start, end, label, priority, weight, id)."""
-    any_gate = F.lit(False)
-    for g in GATE:
-        any_gate = any_gate | F.contains("_norm", F.lit(g))
-    table_ = rules()
-    words = sorted({w for r in table_ for w in r["keywords"]})
-    held = F.filter(F.from_json(F.lit(json.dumps(words)), "array<string>"), lambda k: F.contains("_norm", k))
+    """docs with n_words, base (places: start, label) and found (detections in the order they were taken: start, end, id, label, priority, weight)."""
+    sealed, table_ = Sealed(docs), rules()
+    norm, lead_of = F.col("_norm"), gates(w for r in table_ for w in r["keywords"])
+    open_ = F.filter(F.from_json(F.lit(json.dumps(lead_of)), "array<struct<lead:string,keywords:array<string>>>"), lambda g: F.contains(norm, g["lead"]))
+    held = F.flatten(F.transform(open_, lambda g: F.filter(g["keywords"], lambda k: F.contains(norm, k))))
     active = F.filter(F.from_json(F.lit(json.dumps(table_)), f"array<{RULE_TYPE}>"), lambda r: F.arrays_overlap("_held", r["keywords"]))
 
     def found(r):
-        hits = F.regexp_extract_all("_norm", r["pattern"], F.lit(0))
+        hits = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
         return F.transform(
-            F.arrays_zip(starts(F.col("_norm"), r["pattern"]).alias("start"), hits.alias("hit")),
-            lambda x: F.struct(x["start"].alias("start"), (-(x["start"] + F.size(F.split(x["hit"], " ")))).alias("neg_end"), (-r["priority"]).alias("neg_priority"), r["id"].alias("id"), r["label"].alias("label"), r["weight"].alias("weight")),
+            F.arrays_zip(starts(norm, r["pattern"]).alias("start"), hits.alias("hit")),
+            lambda x: F.struct((-r["priority"]).alias("neg"), (-F.size(F.split(x["hit"], " "))).alias("short"), x["start"].alias("start"), r["id"].alias("id"), r["label"].alias("label"), r["weight"].alias("weight")),
         )
 
-    det = "struct<start:int,neg_end:int,neg_priority:int,id:int,label:string,weight:double>"
-    none = F.from_json(F.lit("[]"), f"array<{det}>")
-    first = F.struct(F.lit(-1).alias("reach"), none.alias("kept"))
-    step = lambda acc, d: F.struct(F.greatest(acc["reach"], -d["neg_end"]).alias("reach"), F.when(-d["neg_end"] <= acc["reach"], acc["kept"]).otherwise(F.concat(acc["kept"], F.array(d))).alias("kept"))
+    def take(kept, d):
+        start, end = d["start"], d["start"] - d["short"]
+        nested = F.exists(kept, lambda k: ((k["start"] <= start) & (end <= k["end"])) | ((start <= k["start"]) & (k["end"] <= end)))
+        one = F.struct(start.alias("start"), end.alias("end"), d["id"].alias("id"), d["label"].alias("label"), (-d["neg"]).alias("priority"), d["weight"].alias("weight"))
+        return F.when(nested, kept).otherwise(F.concat(kept, F.array(one)))
 
     def places(phrase, label):
-        return F.transform(starts(F.col("_norm"), F.lit(f"(?<= ){phrase}(?= )")), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
+        return F.transform(starts(norm, F.lit(f"(?<= ){phrase}(?= )")), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
 
     base = [places(*x) for x in BASE.items()]
-    no_base = F.from_json(F.lit("[]"), "array<struct<start:int,label:string>>")
-    return (
-        docs.withColumn("_norm", normal(F.col(text)))
-        .withColumn("_n_words", (F.length("_norm") - F.length(F.replace(F.col("_norm"), F.lit(" "), F.lit(""))) - 1).cast("long"))
-        .withColumn("_gate", any_gate)
-        .withColumn("_base", F.when(F.contains("_norm", F.lit("license")), F.concat(*base)).otherwise(no_base))
-        .withColumn("_held", F.when(F.col("_gate"), held).otherwise(F.array().cast("array<string>")))
-        .withColumn("_all", F.when(F.size("_held") > 0, F.array_sort(F.flatten(F.transform(active, found)))).otherwise(none))
-        .withColumn("_found", F.aggregate("_all", first, step)["kept"])
-        .drop("_norm", "_gate", "_held", "_all")
+    no_base, nothing = F.from_json(F.lit("[]"), "array<struct<start:int,label:string>>"), F.from_json(F.lit("[]"), FOUND)
+    every = F.array_sort(F.flatten(F.transform(active, found)))
+    # explode() of one value keeps the optimiser from copying the value into each of its uses
+    rows = sealed.rows.withColumn("_norm", F.explode(F.array(normal(F.col(sealed[text])))))
+    rows = rows.withColumn("_held", F.explode(F.array(held))).withColumn("_all", F.explode(F.array(F.when(F.size("_held") > 0, every))))
+    return sealed.open(
+        rows,
+        n_words=(F.length(norm) - F.length(F.replace(norm, F.lit(" "), F.lit(""))) - 1).cast("long"),
+        base=F.when(F.contains(norm, F.lit("license")), F.concat(*base)).otherwise(no_base),
+        found=F.when(F.size("_all") > 0, F.aggregate("_all", nothing, take)).otherwise(nothing),
     )
 
 
 def op7_license_scan(spark, sf_dir):
     s = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    at = F.transform("_base", lambda b: b["start"])
-    base_labels = F.array_distinct(F.transform("_base", lambda b: b["label"]))
-    labels = F.array_union(base_labels, F.transform("_found", lambda d: d["label"]))
-    weights = F.concat(F.transform("_found", lambda d: d["weight"]), F.transform("_base", lambda b: F.lit(BASE_WEIGHT)), F.array(F.lit(0.0)))
+    at = F.transform("base", lambda b: b["start"])
+    base_labels = F.array_distinct(F.transform("base", lambda b: b["label"]))
+    labels = F.array_union(base_labels, F.transform("found", lambda d: d["label"]))
+    weights = F.concat(F.transform("found", lambda d: d["weight"]), F.transform("base", lambda b: F.lit(BASE_WEIGHT)), F.array(F.lit(0.0)))
     return s.select(
-        "doc_id", F.col("_n_words").alias("n_words"), F.size("_base").cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(at).cast("long").alias("first_word"), F.array_max(at).cast("long").alias("last_word"),
         F.array_join(F.array_sort(base_labels), ",").alias("base_labels"), F.array_join(F.array_sort(labels), ",").alias("labels"), F.array_max(weights).alias("score"),
     )
