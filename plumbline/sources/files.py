@@ -29,6 +29,12 @@ def texts(spark: SparkSession, path: str, only: list[str] | None = None) -> Data
     return df.where(F.col("slug").isin(only)) if only else df
 
 
+def load_books(spark: SparkSession, folder: str, only: list[str] | None = None) -> DataFrame:
+    """(slug, text, map's columns) of a topic's texts that have a map; a text without one is left out."""
+    m = maps(spark, f"{folder}/*.map.json").drop("slug").withColumn("slug", _stem(r"\.map\.json"))
+    return texts(spark, f"{folder}/*.txt", only).join(m, "slug")
+
+
 def note_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) with physical line numbers from 1: a file is read whole, since splits lose their order."""
     t = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\n", -1)).alias("i", "line"))
@@ -77,6 +83,11 @@ def find_topic(start: str, name: str = "topic.config.yaml", hidden: str = ".topi
         here = os.path.dirname(here)
 
 
+def write_report(report: DataFrame, path: str) -> None:
+    """A report's rows as JSON, one a line, characters unescaped."""
+    report.write.json(path)
+
+
 def write_books(books: DataFrame, segments: DataFrame, path: str) -> None:
     """Books and segments as Parquet tables below ``path``."""
     books.write.parquet(f"{path}/books")

@@ -13,7 +13,7 @@ from plumbline.operators import search as S
 from plumbline.operators import status as ST
 from plumbline.operators import verify as V
 from plumbline.sources import containers, files
-from plumbline.sources.html import TextOf
+from plumbline.sources.html import read_html
 
 
 def test_ladder(spark):
@@ -27,14 +27,52 @@ def test_many_quotes_go_in_blocks(spark, monkeypatch):
     books = spark.createDataFrame([(1, "alpha beta gamma. delta epsilon zeta eta theta iota kappa"), (2, None)], "doc_id int, text string")
     texts = ["beta gamma", "BETA, GAMMA!", "delta; epsilon", "absent", "none here", "theta", "Iota. Kappa", "delta epsilon zeta eta theta iota kappa"]
     quotes = spark.createDataFrame(list(enumerate(texts)), "item_id int, quote string")
-    elided = spark.createDataFrame(list(enumerate(["alpha beta gamma ... delta epsilon", "beta gamma. delta ... zeta eta theta", "theta iota kappa ... alpha beta gamma", "epsilon zeta eta"])), "item_id int, quote string")
-    rows = lambda: (sorted(V.ladder(quotes, books).collect()), sorted(V.elided(elided, books).collect()))
+    elided = spark.createDataFrame(list(enumerate(["alpha beta gamma ... delta epsilon", "beta gamma. delta ... zeta eta theta", "theta iota kappa ... alpha beta gamma", "epsilon zeta eta", "ALPHA, BETA GAMMA ... DELTA-EPSILON"])), "item_id int, quote string")
+    rows = lambda: (sorted(V.ladder(quotes, books).collect()), sorted(V.ladder(elided, books).collect()))
     want = rows()
-    assert len(want[0]) == 6 and len(want[1]) == 3
+    assert len(want[0]) == 6 and [(r.item_id, r.level) for r in want[1]] == [(0, "EXACT"), (1, "EXACT"), (3, "EXACT"), (4, "PUNCT")]
     monkeypatch.setattr(V, "BROADCAST_ROWS", 2)
     assert rows() == want
 
 
+def test_containment(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
+    books = [(i, text(400)) for i in range(12)] + [(20, ""), (21, None), (22, "x" * 50)]
+    quotes = [(i, books[i % 12][1][a : a + n]) for i, (a, n) in enumerate([(0, 30), (100, 16), (370, 30), (50, 15), (7, 1), (200, 60), (3, 17)])] + [(50, "x" * 20), (51, text(40)), (52, "x" * 51)]
+    b, q = spark.createDataFrame(books, "doc_id int, text string"), spark.createDataFrame(quotes, "item_id int, q string")
+    want = sorted((i, d) for i, x in quotes for d, t in books if t and x in t)
+    got = lambda: sorted((r.item_id, r.doc_id) for r in V.contained(q, b.where("text is not null"), "q", "text", "item_id", "doc_id").collect())
+    assert got() == want
+    monkeypatch.setattr(V, "BROADCAST_ROWS", 3)
+    assert got() == want
+
+
+def test_verification_record(spark):
+    text = "Chapter one says “one two three four” and no more.\nThe second line,  with spaces; it ends here.\nA third line closes."
+    books = spark.createDataFrame([("b", text)], "slug string, text string")
+    pages = V.line_segments(books, "slug")
+    chapters = pages.where("pos < 3").groupBy("slug").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("label", F.lit("ch1")).withColumn("pos", F.lit(1))
+    notes = [("n1", "second line", "ch1 / p.2", "claim", None), ("n2", "line, with spaces", "p.2", "claim", None), ("n3", "THIRD LINE CLOSES", "ch9 / p.9", "claim", None), ("n4", "absent words", "p.1", "claim", None),
+             ("n5", "says \"one two three ... line, with spaces", "p.1", None, None), ("n6", None, "p.1", "figure", "a.png"), ("n7", None, "p.1", "figure", "gone.png"), ("n8", "A third", "ch2 / p.4", "claim", None), ("n9", "nine", "p.1", "claim", None)]
+    df = spark.createDataFrame([("b", *n) for n in notes] + [("zz", "n1", "any", "p.1", "claim", None)], "slug string, id string, quote string, locator string, kind string, evidence string")
+    r = V.verify_notes(df, books, pages, chapters, spark.createDataFrame([("b", "a.png")], "slug string, path string"))
+    got = {(x.slug, x.id): x for x in r.collect()}
+    short = {k[1]: (x.status, x.level, x.found_at, x.found_locator) for k, x in got.items() if k[0] == "b"}
+    assert short["n1"] == ("PASS", "EXACT", text.index("second"), "ch1 / p.2")
+    assert short["n2"] == ("PASS", "NORMALIZED", text.index("line,  with"), "ch1 / p.2")
+    assert short["n3"] == ("LOCATOR_MISMATCH", "PUNCT", text.index("third"), "p.3") and got["b", "n3"].issues == ["locator says 'ch9 / p.9' but the quote is at 'p.3'", V.BY_LETTERS]
+    assert short["n4"] == ("FAIL", None, None, None) == short["n9"] and got["b", "n4"].issues == [V.NO_QUOTE]
+    assert short["n5"] == ("PASS", "NORMALIZED", text.index("says"), "ch1 / p.1")
+    assert short["n6"] == ("FIGURE", "IMAGE", None, "p.1") and got["b", "n6"].evidence_path == "a.png" and short["n7"][0] == "FAIL"
+    assert short["n8"][0] == "LOCATOR_MISMATCH" and got["zz", "n1"].status == "FAIL"
+    rep = {x.slug: x for x in V.report(r, "slug", strict=True).collect()}
+    assert rep["b"].must_drop == ["n3", "n4", "n7", "n8", "n9"] and not rep["b"].ok and rep["b"].levels == {"EXACT": 2, "NORMALIZED": 2, "PUNCT": 1}
+    assert rep["b"].counts == {"FAIL": 3, "FIGURE": 1, "LOCATOR_MISMATCH": 2, "PASS": 3}
+
+
 def test_locate_and_mismatch(spark):
     books = spark.createDataFrame([(1, "ab\ncd\n\nx")], "doc_id int, text string")
     seg = V.line_segments(books)
@@ -87,14 +125,20 @@ def test_search(spark):
     assert sorted((r.doc_id, r.term, r["mode"], r.offset) for r in found.collect()) == brute_hits(books, terms)
     assert S.top(found, 1).first().snippet.startswith("The improve- ment of the the cat")
     assert {(r.locator, r.hits) for r in S.sections(found).collect()} == {("p.1", 1), ("p.2", found.count() - 1)}
+    even = spark.createDataFrame([(1, "\n" * i + "cat" + "\n" * (12 - i)) for i in range(0)] + [(1, "\n".join(["cat"] * 12))], "doc_id int, text string")
+    assert [r.locator for r in S.densest(S.sections(S.hits(even, ["cat"], V.line_segments(even)))).collect()] == [f"p.{i}" for i in range(1, 13, 2)][:8] + []
+    assert S.hits(df, [" "], V.line_segments(df)).count() == 0
+    total = S.top(found, 2).collect()
+    assert len(total) == 2 and {r.total for r in total} == {found.count()}
 
 
 def test_html(spark):
     html = '<html><head><title>no</title><script>var a = "</p>";</script></head><body><h1>7</h1><h2>Name &amp; co</h2><p>One<br>two</p><!-- x --></body></html>'
     r = spark.createDataFrame([(html,)], "h string").select(T.html_text(F.col("h")).alias("t"), T.html_title(F.col("h")).alias("n")).first()
-    p = TextOf(html)
+    p = read_html(html)
     assert r.t == p.text and r.n == p.title == "7. Name & co"
-    assert TextOf("<head><p>never closed").text == ""
+    assert read_html("<head><p>never closed").text == "" and read_html("<p>a<br/>b<br>c").text == "a\n\nb\nc"
+    assert read_html("<h1>In <i>two</i> pieces</h1>").title == "In. two" and read_html("<h1>" + "x" * 200).title == "x" * 120
 
 
 def test_notes(spark):
@@ -139,13 +183,14 @@ def test_containers(spark, tmp_path):
     (tmp_path / "huff.prc").write_bytes(mobi(body.encode(), packing=17480))
     b = io.BytesIO()
     with zipfile.ZipFile(b, "w") as z:
-        z.writestr("o/p.opf", '<item id="a" href="a.xhtml"/><item id="b" href="b.xhtml"/><itemref idref="b"/><itemref idref="a"/>')
+        z.writestr("o/p.opf", '<package xmlns="x"><manifest><item href="a.xhtml" id="a"/><item id="b" media-type="m" href="b.xhtml"/></manifest><spine><itemref idref="b"/><itemref idref="none"/><itemref idref="a"/></spine></package>')
         z.writestr("o/a.xhtml", "<h1>Alpha</h1><p>the text of the first item</p>")
         z.writestr("o/b.xhtml", "<h1>Beta</h1><p>the text of the second item</p>")
     (tmp_path / "e.epub").write_bytes(b.getvalue())
+    (tmp_path / "notes.docx").write_bytes(b"?")
     s = containers.sections(spark.read.format("binaryFile").load(str(tmp_path)))
     rows = s.collect()
-    assert {r.path.rsplit("/", 1)[1]: r.error for r in rows if r.error} == {"locked.mobi": "DRM protected", "huff.prc": "HUFF/CDIC compression is not supported"}
+    assert {r.path.rsplit("/", 1)[1]: r.error for r in rows if r.error} == {"locked.mobi": "DRM protected", "huff.prc": "HUFF/CDIC compression is not supported", "notes.docx": "unknown format .docx"}
     assert [r.title for r in sorted(rows, key=lambda r: r.pos or 0) if r.path.endswith("epub")] == ["Beta", "Alpha"]
     books, chapters = containers.books(spark, str(tmp_path))
     text = {r.slug: r.text for r in books.collect()}
@@ -162,6 +207,30 @@ def test_palmdoc():
     assert containers.trim(b"text\x00", 0b1) == b"text"
 
 
+def test_outline_spans(spark):
+    spans = spark.createDataFrame([("b", i + 1, 100 * i, 100 * i + 100) for i in range(5)], "slug string, pos int, start int, end int")
+    o = spark.createDataFrame([("b", 2, "Two", 1), ("b", 0, " One ", 0), ("b", 2, "Also two", 2), ("b", 4, " ", 3)], "slug string, page int, title string, ord int")
+    got = [(r.label, r.title, r.start, r.end) for r in P.outline_spans(o, spans).orderBy("start").collect()]
+    assert got == [("ch1", "One", 0, 200), ("ch2", "Also two", 200, 500)]
+
+
+def test_books_need_a_map(spark, tmp_path):
+    for name, text in (("a", "text of a"), ("b", "text of b"), ("c", "no map")):
+        (tmp_path / f"{name}.txt").write_text(text)
+    for name in "ab":
+        (tmp_path / f"{name}.map.json").write_text('{"kind":"pdf","slug":"%s","total_chars":9,"provenance":"native","pages":[{"label":"p.1","start":0,"end":9}]}' % name)
+    got = {r.slug: (r.text, r.kind, r.pages[0].label) for r in files.load_books(spark, str(tmp_path)).collect()}
+    assert got == {"a": ("text of a", "pdf", "p.1"), "b": ("text of b", "pdf", "p.1")}
+    assert [r.slug for r in files.load_books(spark, str(tmp_path), ["b"]).collect()] == ["b"]
+    books = files.load_books(spark, str(tmp_path)).select("slug", "text")
+    files.write_books(books, V.line_segments(books, "slug"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/books")).count() == spark.read.parquet(str(tmp_path / "out/segments")).count() == 2
+    files.write_jsonl(books.withColumn("_line", F.lit(1)), str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).columns == ["slug", "text"]
+    (tmp_path / "topic.config.yaml").write_text("title: x")
+    assert files.find_topic(str(tmp_path / "out")) == str(tmp_path) and {r.stem for r in files.sources(spark, str(tmp_path)).collect()} == set()
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "n.jsonl").write_text('\n{"id":"a"}\n')
     (tmp_path / "c.yaml").write_text('title: "My: topic" # remark\ndepth: deep\nother: x\n')

@@ -32,10 +32,22 @@ def test_norm_alnum_leader(spark):
 
 def test_offsets_map_back(spark):
     text = "x “im­prove-\nment” café 😀 improvement"
-    row = spark.createDataFrame([(text,)], "t string").select(T.raw_offsets(F.col("t"), T.find_all(T.alnum(F.col("t")), F.lit("improvement"), 9), "alnum").alias("o")).first()
+    row = spark.createDataFrame([(text,)], "t string").select(T.raw_offsets(F.col("t"), T.find_all(T.alnum(F.col("t")), "improvement", 9), F.lit("alnum")).alias("o")).first()
     assert [text[o : o + 2] for o in row.o] == ["im", "im"]
 
 
+def test_every_offset_maps_back(spark):
+    texts = [s for s in SAMPLES if s] + ["a \xa0 b  \n c", "ﬁ½ x", "\xad\xada b"]
+    for mode, form in (("norm", norm), ("alnum", alnum)):
+        df = spark.createDataFrame([(t, list(range(len(form(t))))) for t in texts], "t string, p array<int>")
+        for r in df.select("t", T.raw_offsets(F.col("t"), F.col("p"), F.lit(mode)).alias("o")).collect():
+            # the text up to the character that a position comes from gives at least that much, and without it no more
+            for p, o in enumerate(r.o):
+                assert len(form(r.t[: o + 1])) > p >= len(form(r.t[:o])) or mode == "norm" and r.t[o].isspace()
+    row = spark.createDataFrame([("abc", [1], None)], "t string, p array<int>, m string").select(T.raw_offsets(F.col("t"), F.col("p"), F.col("m")).alias("o")).first()
+    assert row.o == [1]
+
+
 @pytest.mark.parametrize(
     ("text", "parts", "found"),
     [
@@ -54,8 +66,9 @@ def test_elided_parts(spark, text, parts, found):
 def test_small_functions(spark):
     one = spark.range(1)
     get = lambda c: one.select(c.alias("x")).first().x
-    assert get(T.find_all(F.lit("aaaa"), F.lit("aa"), 50)) == [0, 1, 2]
-    assert len(get(T.find_all(F.lit("a" * 300), F.lit("a"), 200))) == 200
+    assert get(T.find_all(F.lit("aaaa"), "aa", 50)) == [0, 1, 2]
+    assert len(get(T.find_all(F.lit("a" * 300), "a", 200))) == 200
+    assert get(T.find_all(F.lit("x.a(b.a(b"), ".a(", 9)) == [1, 5] and get(T.find_all(F.lit("😀b😀b"), "😀b", 9)) == [0, 2] and get(T.find_all(F.lit("ab"), "c", 9)) == []
     assert get(T.locator_tokens(F.lit("Ch. 3 / p.87 epic"))) == ["ch3", "p87", "pic"]
     assert get(T.split_elisions(F.lit("one [...] two… three"))) == ["one", "two", "three"]
     assert get(T.split_elisions(F.lit("..."))) == ["..."]
