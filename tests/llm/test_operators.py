@@ -559,3 +559,111 @@ def test_pipeline(spark):
             assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for k, i in enumerate(ids) if comp[k] == k}
     got = corpus_pipeline.STAGES[4][1](spark, kept, SF)
     assert got.select("doc_id").distinct().count() == kept.select("doc_id").distinct().count()
+
+
+def tables_at(spark, path, docs, labels):
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def first_lines(docs):
+    """Line dedup by hand: of each component of lines the first place by (doc_id, text hash, line) stays."""
+    uniq = sorted({x for _, t in docs for x in (t or "").split("\n") if x})
+    sets = [line_set(x) for x in uniq]
+    comp = dict(zip(uniq, union_find(len(uniq), [(a, b) for a in range(len(uniq)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])))
+    seen, out = set(), {}
+    for i, t in sorted(docs, key=lambda d: d[0]):
+        kept = []
+        for x in (t or "").split("\n"):
+            if not x or comp[x] not in seen:
+                kept.append(x)
+            if x:
+                seen.add(comp[x])
+        out[i] = None if t is None else "\n".join(kept)
+    return out
+
+
+def near_kept(texts):
+    ids = sorted(texts)
+    low = {i: re.sub("[A-Z]", lambda m: m[0].lower(), texts[i] or "").split() for i in ids}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in low.items()}
+    fp = {i: fingerprint(texts[i], 5) for i in ids}
+    near = lambda a, b: (fp[a] ^ fp[b]).bit_count() <= 6 or bool(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    comp = union_find(len(ids), [(a, b) for a in range(len(ids)) for b in range(a) if near(ids[a], ids[b])])
+    return {ids[i]: texts[ids[i]] for i, c in enumerate(comp) if c == i}
+
+
+def copies_by_hand(docs):
+    """Copies of each document (id, text, source): targets by water-filling, of sixteen seeds the one that lands nearest."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in docs}
+    names = sorted({s for *_, s in docs if s is not None}) + ([None] if any(s is None for *_, s in docs) else [])
+    weight = {s: k % 3 + 1 for k, s in enumerate(names)}
+    have = {s: sum(size[i] for i, _, x in docs if x == s) for s in names}
+    total, capped = sum(have.values()), set()
+    while True:
+        left, w = total - sum(3 * have[s] for s in capped), sum(weight[s] for s in names if s not in capped)
+        more = {s for s in names if s not in capped and 3 * have[s] * w <= weight[s] * left}
+        if not more:
+            break
+        capped |= more
+    target = {s: 3.0 * have[s] if s in capped else weight[s] * left / w for s in names}
+    draw = lambda i, j: int(hashlib.md5(f"mix-1:{j // 4}:{i}".encode()).hexdigest()[j % 4 * 8 : j % 4 * 8 + 8], 16) / 2**32
+    out = {}
+    for s in names:
+        rate = target[s] / have[s] if have[s] else 0.0
+        whole, frac = int(rate), rate - int(rate)
+        of = [i for i, _, x in docs if x == s]
+        best = min(range(16), key=lambda j: (abs(sum(size[i] * (whole + (draw(i, j) < frac)) for i in of) - target[s]), j))
+        out |= {i: whole + (draw(i, best) < frac) for i in of}
+    return out
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    import corpus_pipeline
+
+    base = [words(120) for _ in range(6)]
+    rows = []
+    for i in range(24):
+        w = base[i % 6].split()
+        for _ in range(i % 3):
+            w[random.randrange(120)] = f"n{i}"
+        lines = [" ".join(w[:40]), "a line that many documents share", " ".join(w[40:]) + f" only{i}", words(200 + i)]
+        rows.append((i, "\n".join(lines[: 4 if i % 2 else 3]), "en", f"s{i % 4}" if i % 5 else None, 7))
+    rows += [(90, None, "en", "s0", None), (91, "", "en", "s0", 0), (92, "vile " * 6 + words(60), "en", "s1", 1)]
+    labels = [(i, 1, 0) for i in range(24)] + [(92, 1, 1)]
+    clean = [r for r in rows if r[0] != 92]
+    sf = tables_at(spark, tmp_path, rows, labels)
+    model = toxicity.Model(["vile"], [4.0], [1.0, 2.0], 0.5)
+    kept = {r.doc_id for r in toxicity.reject(spark.read.parquet(f"{sf}/documents.parquet"), model).collect()}
+    assert kept == {r[0] for r in clean}
+    sf = tables_at(spark, tmp_path / "clean", clean, [])
+    lines = first_lines([(r[0], r[1]) for r in clean])
+    left = near_kept(lines)
+    copies = copies_by_hand([(r[0], left[r[0]], r[3]) for r in clean if r[0] in left])
+    want = Counter({i: 2 * n if left[i] else n for i, n in copies.items() if n and left[i] is not None})
+    out = sp_sampling.decode(corpus_pipeline.run(spark, sf)).collect()
+    assert Counter(r.doc_id for r in out) == want and all(r.decoded == left[r.doc_id] for r in out)
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, tables_at(spark, tmp_path / "none", [], [])).count() == 0
+    rows = [(None, None, None, None, None), (None, "some words", None, None, None), (1, "", "x", "y", 0), (2, "twice", "x", "y", 5), (2, "twice", "x", "y", 5), (3, "long " * 40_000, "x", "y", 1)]
+    out = corpus_pipeline.run(spark, tables_at(spark, tmp_path / "odd", rows, [(1, None, None), (None, 1, 1)]))
+    assert out.columns == ["doc_id", "sample", "ids", "logp", "inclusion"] and out.where("inclusion < 0 or inclusion > 1 or logp > 1e-9").count() == 0
+    clash = ["gone", "_key", "bad", "p_toxic", "severity", "_n_lines", "_removed", "_lines", "_row", "mix_note", "id", "fp", "component_id", "c0", "__0", "key", "size"]
+    docs = spark.read.parquet(f"{tmp_path}/odd/documents.parquet").select("*", *[F.lit(n).alias(n) for n in clash])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs = Scratch(spark).cut(stage(spark, docs, str(tmp_path / "odd")))
+        assert docs.columns[5:] == clash and all(tuple(r)[5:] == tuple(clash) for r in docs.collect()), name
+
+
+def test_wide_inputs(spark, docs):
+    names = ["fp", "component", "node", "rid", "lo", "key", "digest", "_maybe", "url2", "tokens", "hs", "n"]
+    wide = docs.select("*", *[F.lit(n).alias(n) for n in names])
+    for f in (simhash.groups, lsm_dedup.exact_dedup, substring_dedup.dedup_substrings, sp_sampling.encode_samples):
+        assert f(wide).count() == f(docs).count()
+    pages = spark.createDataFrame([(1, "http://a.net/es/x", "q"), (None, None, "q")], "page_id long, url string, host string")
+    assert {r.verdict for r in url_rules.judge(pages, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()} == {"block", "allow"}
