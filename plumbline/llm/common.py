@@ -7,6 +7,7 @@ import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -188,9 +189,12 @@ def as_edges(linked_: DataFrame) -> DataFrame:
     return linked_.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch: Scratch, payload: Callable[[DataFrame], DataFrame] | None = None, exact: Callable[[DataFrame], DataFrame] | None = None, block: int = KEY_BLOCK, peels: int = PEELS) -> DataFrame:
+def link_by_keys(keyed: DataFrame | list[DataFrame], near: Callable[[str, str], Column], scratch: Scratch, payload: Callable[[DataFrame], DataFrame] | None = None, exact: Callable[[DataFrame], DataFrame] | None = None, block: int = KEY_BLOCK, peels: int = PEELS) -> DataFrame:
     """Components (node, component) of items, of those that share a key and are ``near``; rows of keyed are (key long, item long), distinct.
 
+    Keys may come in several tables, none of which shares a key with another: each is shuffled by itself, and its files go before
+    the next one's come.
+
     ``near`` compares two items' payloads: rows (item, v) that ``payload`` makes of the wanted items, or the items themselves.
     ``exact`` then picks the links from rows (a, b) of items that are near, where being near is not yet a link.
     A key's items meet its least and greatest item, unless one component holds both; then these two have met all others and
@@ -198,10 +202,15 @@ def link_by_keys(keyed: DataFrame, near: Callable[[str, str], Column], scratch:
     blocks dealt over tasks, inside a join that returns near ones alone; so no link between components is lost, and no list of
     pairs is made.
     """
-    ends = scratch.cut(keyed.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo < hi"))
-    held = scratch.cut(pass_filter(keyed, key_filter(ends, "key"), "key").join(ends.select("key"), "key", "left_semi").withColumn("c", F.col("item")))
-    scratch.drop(ends)
-    scratch.tidy()
+    met = []
+    for part in keyed if isinstance(keyed, list) else [keyed]:
+        ends = scratch.cut(part.groupBy("key").agg(F.min("item").alias("lo"), F.max("item").alias("hi")).where("lo < hi"))
+        scratch.tidy()
+        met.append(scratch.cut(pass_filter(part, key_filter(ends, "key"), "key").join(ends.select("key"), "key", "left_semi").withColumn("c", F.col("item"))))
+        scratch.drop(ends)
+    held = scratch.cut(reduce(DataFrame.unionByName, met))
+    for used in met:
+        scratch.drop(used)
     body = payload(scratch.cut(held.select("item").distinct())) if payload else None
 
     def with_value(rows: DataFrame, item: str, value: str) -> DataFrame:

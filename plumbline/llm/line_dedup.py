@@ -26,6 +26,8 @@ from plumbline.llm.common import Scratch, Sealed, key_filter, link_by_keys, pass
 SHINGLE, MIN_SIMILARITY = 12, 0.8
 #: Order of the plane whose points are the minima and whose lines are the bands.
 ORDER = 4
+#: Bands that are shuffled at once.
+BANDS_AT_ONCE = 7
 #: Minima of a candidate's second signature, and how many of a pair's have to agree before the sets are compared: at similarity
 #: 0.8 fewer do with probability 0.0004.
 MORE, AGREE = 96, 64
@@ -130,7 +132,9 @@ def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, simi
         both = with_set(with_set(pairs.join(a, "a").join(b, "b"), "va"), "vb")
         return scratch.cut(both.where(alike("va", "vb", similarity)).select("a", "b"))
 
-    linked = link_by_keys(sigs.select(F.explode("keys").alias("key"), F.col("lid").alias("item")), agree, scratch, second, exact)
+    bands = ORDER * (ORDER + 1)
+    parts = [sigs.select(F.explode(F.slice("keys", at, BANDS_AT_ONCE)).alias("key"), F.col("lid").alias("item")) for at in range(1, bands + 1, BANDS_AT_ONCE)]
+    linked = link_by_keys(parts, agree, scratch, second, exact)
     of = sigs.select("lid", "chk", "n").join(linked, F.col("lid") == F.col("node"), "left")
     return of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
 

@@ -152,13 +152,18 @@ def whole_blocks(n: int, distance: int) -> int:
     return w
 
 
-def block_keys(distance: int = DISTANCE, whole: int = 3):
-    """An array of keys of column fp, one for each choice of ``whole`` blocks out of distance + whole."""
+#: Keys of a fingerprint that are shuffled at once.
+KEYS_AT_ONCE = 32
+
+
+def block_keys(distance: int = DISTANCE, whole: int = 3) -> list:
+    """Arrays of at most KEYS_AT_ONCE keys of column fp, one key for each choice of ``whole`` blocks out of distance + whole."""
     n = distance + whole
     cuts = [64 * i // n for i in range(n + 1)]
     masks = [sum(1 << b for i in chosen for b in range(cuts[i], cuts[i + 1])) for chosen in combinations(range(n), whole)]
-    each = F.from_json(F.lit(json.dumps([[j, m - (1 << 64) if m >> 63 else m] for j, m in enumerate(masks)])), "array<array<long>>")
-    return F.transform(each, lambda m: F.xxhash64(m[0], F.col("fp").bitwiseAND(m[1])))
+    signed = [[j, m - (1 << 64) if m >> 63 else m] for j, m in enumerate(masks)]
+    parts = [F.from_json(F.lit(json.dumps(signed[i : i + KEYS_AT_ONCE])), "array<array<long>>") for i in range(0, len(signed), KEYS_AT_ONCE)]
+    return [F.transform(each, lambda m: F.xxhash64(m[0], F.col("fp").bitwiseAND(m[1]))) for each in parts]
 
 
 def near(a, b, distance: int = DISTANCE):
@@ -168,7 +173,7 @@ def near(a, b, distance: int = DISTANCE):
 def link(fps: DataFrame, distance: int, scratch: Scratch) -> DataFrame:
     """Components (node, component) of distinct fingerprints (fp) at distance or less; those without a link are left out."""
     keys = block_keys(distance, whole_blocks(fps.count(), distance))
-    return link_by_keys(fps.select(F.explode(keys).alias("key"), F.col("fp").alias("item")), lambda a, b: near(a, b, distance), scratch)
+    return link_by_keys([fps.select(F.explode(k).alias("key"), F.col("fp").alias("item")) for k in keys], lambda a, b: near(a, b, distance), scratch)
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, similarity: float | None = None) -> DataFrame:
@@ -176,7 +181,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     scratch, name = Scratch(docs.sparkSession), key
     docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     key, text = "id", "text"
-    prints = scratch.cut(fingerprints(docs, key, text, shingle, similarity is not None))
+    prints = scratch.cut(fingerprints(docs, key, text, shingle, similarity is not None), 1024)
     ids = scratch.cut(prints.groupBy("fp").agg(F.min(key).alias("id")))
     linked = scratch.cut(link(ids.select("fp"), distance, scratch))
     if similarity is not None:
