@@ -40,8 +40,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, OFFSET, SEED = 2, 0.5, 10, "sp-2"
 #: A lone surrogate, which no valid text has, stands for a mark that is in the text itself.
 MARK, SENTINEL = "▁", "\ud800"
-#: Slots of units that a task remembers before it starts anew, and texts that are walked together.
-REMEMBERED, TOGETHER, FAR = 1 << 20, 64, 50.0
+#: Slots of units that a worker remembers before it starts anew, texts whose units are solved together, and texts that are walked together.
+REMEMBERED, SOLVED, TOGETHER = 1 << 20, 512, 64
+#: Nats beyond which an edge's prefix is as good as impossible.
+FAR = 50.0
 #: Code points below this have a table of which may be neighbours within a piece.
 NEAR = 0x250
 GOLDEN, MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
@@ -95,6 +97,15 @@ class Lattice:
         hashed = sorted((self._hash(p), i) for p, i in (starts | words).items())  # pieces, and beginnings of pieces as -1
         self.keys = np.array([h for h, _ in hashed], np.uint64)
         self.ids = np.array([i for _, i in hashed], np.int64)
+        # where a key is looked up: a table of a power of two, the next free places taken where one is taken already
+        self.bits = max(len(hashed).bit_length() + 3, 8)
+        self.table, wait, step = np.full(1 << self.bits, -1, np.int32), np.arange(len(hashed)), 0
+        while len(wait):
+            place = self._place(self.keys[wait], step)
+            free = self.table[place] < 0
+            self.table[place[free][::-1]] = wait[free][::-1]
+            wait, step = wait[self.table[place] != wait], step + 1
+        self.probes = step
         rank = np.maximum(np.arange(len(pieces)) - self.byte0 - 255, 0)
         self.weight = -np.log(rank + OFFSET) * alpha
         self.byte_weight = -np.log(len(pieces)) * alpha
@@ -115,6 +126,25 @@ class Lattice:
             h = (h * GOLDEN + ord(ch) + 1) & 0xFFFFFFFFFFFFFFFF
         return h
 
+    def _place(self, h, step: int):
+        import numpy as np
+
+        return (((h * np.uint64(GOLDEN)) >> np.uint64(64 - self.bits)).astype(np.int64) + step) & ((1 << self.bits) - 1)
+
+    def _find(self, h):
+        """The numbers of keys, -1 for what is none."""
+        import numpy as np
+
+        out = self.table[self._place(h, 0)]
+        wait = np.flatnonzero((out >= 0) & (self.keys[out] != h))
+        for step in range(1, self.probes):
+            if not len(wait):
+                break
+            out[wait] = self.table[self._place(h[wait], step)]
+            wait = wait[(out[wait] >= 0) & (self.keys[out[wait]] != h[wait])]
+        out[wait] = -1
+        return out
+
     def forget(self) -> None:
         import numpy as np
 
@@ -166,16 +196,17 @@ class Lattice:
         """The numbers of the units of each text; new units are solved first."""
         import numpy as np
 
-        got = [list(map(self.at.get, us)) for us in texts]
-        new = dict.fromkeys(u for us, g in zip(texts, got) if None in g for u, i in zip(us, g) if i is None)
+        every = list(chain.from_iterable(texts))
+        got = list(map(self.at.get, every))
+        new = {u for u, i in zip(every, got) if i is None}
         if new:
             if len(self.first) + sum(map(len, new)) > REMEMBERED:
                 self.forget()
-                new = dict.fromkeys(chain.from_iterable(texts))
-                got = [[None]] * len(texts)
-            self.add(list(new))
-            got = [list(map(self.at.__getitem__, us)) if None in g else g for us, g in zip(texts, got)]
-        return [np.array(g, np.int64) for g in got]
+                new = set(every)
+            self.add(sorted(new))
+            got = list(map(self.at.__getitem__, every))
+        ends = np.cumsum([len(us) for us in texts])
+        return np.split(np.array(got, np.int64), ends[:-1]) if texts else []
 
     def add(self, units: list[str]) -> None:
         import numpy as np
@@ -191,8 +222,8 @@ class Lattice:
         length = 1
         while len(live):
             h = h * np.uint64(GOLDEN) + code[live + length - 1] + np.uint64(1)
-            j = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            begun = self.keys[j] == h
+            j = self._find(h)
+            begun = j >= 0
             pid = np.where(begun, self.ids[j], -1)
             if length == 1:  # bytes where the vocabulary lacks the code point
                 pid = np.where(pid >= 0, pid, self.size + code[live].astype(np.int64))
@@ -410,18 +441,18 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
 
         lattice = remembered(model, alpha, pieces.value)
         for b in batches:
-            for at in range(0, b.num_rows, TOGETHER):
-                part = b.slice(at, TOGETHER)
+            for at in range(0, b.num_rows, SOLVED):
+                part = b.slice(at, SOLVED)
                 keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 some = [i for i, t in enumerate(texts) if t is not None]
-                if not some:
-                    continue
                 units = lattice.rows([lattice.units(texts[i]) for i in some])
-                got = lattice.sample(units, samples, [xxh64_intdigest(f"{seed}:{keys[i]}".encode()) for i in some])
-                r, s, edges, p, q = zip(*[(i, s, e, p, q) for i, each in zip(some, got) for s, (e, p, q) in enumerate(each)])
-                ids, n = lattice.ids_of(edges)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(s, pa.int32()), lists, pa.array(p), pa.array(q)], ["key", "sample", "ids", "logp", "inclusion"])
+                for first in range(0, len(some), TOGETHER):
+                    own = some[first : first + TOGETHER]
+                    got = lattice.sample(units[first : first + TOGETHER], samples, [xxh64_intdigest(f"{seed}:{keys[i]}".encode()) for i in own])
+                    r, s, edges, p, q = zip(*[(i, s, e, p, q) for i, each in zip(own, got) for s, (e, p, q) in enumerate(each)])
+                    ids, n = lattice.ids_of(edges)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(r)), pa.array(s, pa.int32()), lists, pa.array(p), pa.array(q)], ["key", "sample", "ids", "logp", "inclusion"])
 
     narrow = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     return narrow.mapInArrow(run, "key long, sample int, ids array<int>, logp double, inclusion double").withColumnRenamed("key", key)
