@@ -29,7 +29,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,6 +150,7 @@ class Lattice:
 
         self.at: dict[str, int] = {}
         self.room: dict = {}
+        self.uses = np.zeros(0, np.int64)  # how often a unit was met
         self.base = np.zeros(0, np.int64)  # a unit's first slot
         self.stop = np.zeros(0, np.int64)  # and its last, which has no edges
         self.first = np.zeros(1, np.int64)  # a slot's first edge; one more at the end
@@ -197,16 +198,43 @@ class Lattice:
         import numpy as np
 
         every = list(chain.from_iterable(texts))
-        got = list(map(self.at.get, every))
-        new = {u for u, i in zip(every, got) if i is None}
-        if new:
+        got = np.fromiter(map(self.at.get, every, repeat(-1)), np.int64, len(every))
+        missing = np.flatnonzero(got < 0).tolist()
+        if missing:
+            new = dict.fromkeys(every[i] for i in missing)
             if len(self.first) + sum(map(len, new)) > REMEMBERED:
-                self.forget()
-                new = set(every)
-            self.add(sorted(new))
-            got = list(map(self.at.__getitem__, every))
-        ends = np.cumsum([len(us) for us in texts])
-        return np.split(np.array(got, np.int64), ends[:-1]) if texts else []
+                self.forget_rare()
+                got = np.fromiter(map(self.at.get, every, repeat(-1)), np.int64, len(every))
+                missing = np.flatnonzero(got < 0).tolist()
+                new = dict.fromkeys(every[i] for i in missing)
+            self.add(list(new))
+            got[missing] = [self.at[every[i]] for i in missing]
+        self.uses = np.concatenate([self.uses, np.zeros(len(self.base) - len(self.uses), np.int64)]) + np.bincount(got, minlength=len(self.base))
+        return np.split(got, np.cumsum([len(us) for us in texts])[:-1]) if texts else []
+
+    def forget_rare(self) -> None:
+        """Keeps the units met most often, of at most half the slots, and forgets the others."""
+        import numpy as np
+
+        size = self.stop - self.base + 1
+        best = np.argsort(-self.uses, kind="stable")
+        best = best[(np.cumsum(size[best]) <= REMEMBERED // 2) & (self.uses[best] > 1)]
+        names = list(self.at)
+        i, slot = inner(self.base[best], size[best])
+        slot += i
+        count = self.first[slot + 1] - self.first[slot]
+        i, edge = inner(self.first[slot], count)
+        edge += i
+        kept = {c: getattr(self, c)[edge] for c in ("logq", "upto", "piece", "step")}
+        ends, size = np.cumsum(size[best]), size[best]
+        self.forget()
+        self.at = {names[u]: n for n, u in enumerate(best.tolist())}
+        self._grow("base", 0, ends - size)
+        self._grow("stop", 0, ends - 1)
+        self._grow("first", 0, np.concatenate([[0], np.cumsum(count)]))
+        for name, values in kept.items():
+            self._grow(name, 0, values)
+        self.uses = np.zeros(len(best), np.int64)
 
     def add(self, units: list[str]) -> None:
         import numpy as np

@@ -516,6 +516,15 @@ def test_sampling_covers_the_whole_lattice(text):
     assert {tuple(lattice.ids_of([e])[0].tolist()) for e, _, _ in whole} == set(p) and {q for *_, q in whole} == {1.0}
 
 
+def test_sampling_with_little_memory(monkeypatch):
+    texts = [words(40) for _ in range(30)]
+    run = lambda x: [[(x.ids_of([e])[0].tolist(), round(p, 9), round(q, 9)) for e, p, q in x.sample(x.rows([x.units(t)]), 2, [i])[0]] for i, t in enumerate(texts)]
+    want = run(sp_sampling.Lattice(PIECES))
+    monkeypatch.setattr(sp_sampling, "REMEMBERED", 700)
+    little = sp_sampling.Lattice(PIECES)
+    assert run(little) == want and len(little.first) < 1200
+
+
 def test_sampling_does_not_depend_on_neighbours():
     texts = [words(30), "", "a", words(200), "▁ ▁▁  x", "y" * 3000]
     each = []
