@@ -189,18 +189,15 @@ def as_edges(linked_: DataFrame) -> DataFrame:
     return linked_.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
-def link_by_keys(keyed: DataFrame | list[DataFrame], near: Callable[[str, str], Column], scratch: Scratch, payload: Callable[[DataFrame], DataFrame] | None = None, exact: Callable[[DataFrame], DataFrame] | None = None, block: int = KEY_BLOCK, peels: int = PEELS) -> DataFrame:
+def link_by_keys(keyed: DataFrame | list[DataFrame], near: Callable[[str, str], Column], scratch: Scratch, payload: Callable[[DataFrame], DataFrame] | None = None, block: int = KEY_BLOCK, peels: int = PEELS) -> DataFrame:
     """Components (node, component) of items, of those that share a key and are ``near``; rows of keyed are (key long, item long), distinct.
 
     Keys may come in several tables, none of which shares a key with another: each is shuffled by itself, and its files go before
-    the next one's come.
-
-    ``near`` compares two items' payloads: rows (item, v) that ``payload`` makes of the wanted items, or the items themselves.
-    ``exact`` then picks the links from rows (a, b) of items that are near, where being near is not yet a link.
-    A key's items meet its least and greatest item, unless one component holds both; then these two have met all others and
-    are done with. After ``peels`` such rounds the items of a key that are still in different components meet each other, in
-    blocks dealt over tasks, inside a join that returns near ones alone; so no link between components is lost, and no list of
-    pairs is made.
+    the next one's come. ``near`` compares two items' payloads: rows (item, v) that ``payload`` makes of the wanted items, or the
+    items themselves. A key's items meet its least and greatest item, unless one component holds both; then these two have met
+    all others and are done with. After ``peels`` such rounds the items of a key that are still in different components meet
+    each other, in blocks dealt over tasks and each pair in the least key that it shares, inside a join that returns links
+    alone; so no link between components is lost, and no list of pairs is made.
     """
     met = []
     for part in keyed if isinstance(keyed, list) else [keyed]:
@@ -219,8 +216,6 @@ def link_by_keys(keyed: DataFrame | list[DataFrame], near: Callable[[str, str],
         return rows.join(body.select(F.col("item").alias("_item"), F.col("v").alias(value)), F.col(item) == F.col("_item")).drop("_item")
 
     def joined(edges: DataFrame, known: DataFrame | None) -> DataFrame:
-        if exact:
-            edges = exact(scratch.cut(edges))
         return scratch.cut(components(edges if known is None else as_edges(known).unionByName(edges), scratch))
 
     known = None
@@ -231,10 +226,12 @@ def link_by_keys(keyed: DataFrame | list[DataFrame], near: Callable[[str, str],
         members = scratch.cut(held.join(ends, "key"))
         scratch.drop(held)
         pairs = members.select("item", "c", F.explode(F.array("lo", "hi")).alias("end")).where("c <> end.c").select(F.greatest("item", "end.item").alias("a"), F.least("item", "end.item").alias("b")).distinct()
-        known = joined(with_value(with_value(pairs, "a", "va"), "b", "vb").where(near("va", "vb")).select("a", "b"), known)
+        found = scratch.cut(with_value(with_value(pairs, "a", "va"), "b", "vb").where(near("va", "vb")).select("a", "b"))
+        scratch.tidy()
+        known = joined(found, known)
         inner = members.where("n > 3 and item <> lo.item and item <> hi.item").select("key", "item")
         held = scratch.cut(inner.join(known, F.col("item") == F.col("node"), "left").select("key", "item", F.coalesce("component", "item").alias("c")))
-        for used in (ends, members):
+        for used in (ends, members, found):
             scratch.drop(used)
         if held.isEmpty():
             return known
@@ -242,16 +239,19 @@ def link_by_keys(keyed: DataFrame | list[DataFrame], near: Callable[[str, str],
     mixed = scratch.cut(held.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), n.alias("nb")).where("c0 < c1").select("key", "nb"))
     if mixed.isEmpty():
         return known
-    dealt = held.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("item"), F.col("nb")).cast("int"))
-    open_ = scratch.cut(with_value(dealt, "item", "v").select("key", "item", "c", "at", "nb", "v"))
+    dealt = scratch.cut(held.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("item"), F.col("nb")).cast("int")))
+    # an item has few keys: as many as its bands or choices of blocks
+    values = with_value(dealt.groupBy("item").agg(F.collect_set("key").alias("ks")), "item", "v").withColumnRenamed("item", "_item2")
+    open_ = scratch.cut(dealt.join(values, F.col("item") == F.col("_item2")).select("key", "item", "c", "at", "nb", "ks", "v"))
     # blocks i and j of a key are a task: rows of block i meet those of block j
-    sides = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "item", "c", "at", "v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
-    left = sides.select("key", "i", "j", F.col("item").alias("a"), F.col("c").alias("ca"), F.col("v").alias("va"), F.col("at").alias("ia"))
-    right = sides.select(F.col("key").alias("key2"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("item").alias("b"), F.col("c").alias("cb"), F.col("v").alias("vb"), F.col("at").alias("ib"))
+    sides = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "c", "at", "ks", "v", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"))
+    left = sides.select("key", "i", "j", F.col("c").alias("a"), F.col("v").alias("va"), F.col("at").alias("ia"), F.col("ks").alias("ka"))
+    right = sides.select(F.col("key").alias("key2"), F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("c").alias("b"), F.col("v").alias("vb"), F.col("at").alias("ib"), F.col("ks").alias("kb"))
     same = (F.col("key") == F.col("key2")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))
-    once = (F.col("i") == F.col("j")) | (F.col("ia") != F.col("ib"))
-    more = scratch.cut(left.join(right, same & once & (F.col("ca") < F.col("cb")) & near("va", "vb")).select("a", "b").distinct())
-    scratch.drop(open_)
+    once = (F.col("a") < F.col("b")) & ((F.col("i") == F.col("j")) | (F.col("ia") != F.col("ib"))) & (F.array_min(F.array_intersect("ka", "kb")) == F.col("key"))
+    more = scratch.cut(left.join(right, same & once & near("va", "vb")).select("a", "b").distinct())
+    for used in (dealt, open_):
+        scratch.drop(used)
     return known if more.isEmpty() else joined(more, known)
 
 

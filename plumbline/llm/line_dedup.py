@@ -77,12 +77,11 @@ def check(line: str) -> Column:
     return F.xxhash64(F.lit(7), F.col(line))
 
 
-def with_set(rows: DataFrame, line: str, k: int = SHINGLE) -> DataFrame:
-    """rows with the set of a line's shingles in the line's place."""
+def shingles(line: Column, k: int = SHINGLE) -> Column:
+    """The set of a line's shingles."""
     low = F.lower(line)
     every = F.regexp_extract_all(low, F.lit(rf"(?s)(?=(.{{{k}}}))"), F.lit(1))
-    # explode() of one value keeps the optimiser from copying the value into each of its uses
-    return rows.withColumn(line, F.explode(F.array(F.array_distinct(F.when(F.length(low) < k, F.array(low)).otherwise(every)))))
+    return F.array_distinct(F.when(F.length(low) < k, F.array(low)).otherwise(every))
 
 
 def hashed(lines: DataFrame, *keep: str) -> DataFrame:
@@ -104,37 +103,36 @@ def signatures(lines: DataFrame) -> DataFrame:
     return sig.select("lid", "chk", "n", keys.alias("keys"))
 
 
-def alike(a: str, b: str, similarity: float) -> Column:
-    common = F.size(F.array_intersect(a, b))
-    return common >= F.lit(similarity) * (F.size(a) + F.size(b) - common)
+def alike(a: Column | str, b: Column | str, similarity: float) -> Column:
+    """Whether two sets' Jaccard similarity is that or more. They go through a lambda by name, so that none is made for each of its uses."""
+
+    def enough(x: Column) -> Column:
+        return F.exists(F.array(F.size(F.array_intersect(x["a"], x["b"]))), lambda common: common >= F.lit(similarity) * (F.size(x["a"]) + F.size(x["b"]) - common))
+
+    return F.exists(F.array(F.struct((F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b).alias("b"))), enough)
 
 
 def line_components(docs: DataFrame, key: str, text: str, scratch: Scratch, similarity: float = MIN_SIMILARITY) -> DataFrame:
     """Rows (lid, chk, component) of the lines that recur or are linked."""
     sigs = scratch.cut(signatures(lines_of(docs, key, text)))
     scratch.tidy()
-    lines: list[DataFrame] = []
 
-    def second(wanted: DataFrame) -> DataFrame:
-        """The wanted lines' second signatures; the lines themselves are kept aside."""
+    def wanted_lines(wanted: DataFrame) -> DataFrame:
+        """The wanted lines and their second signatures. A line is several times smaller than its set, so sets are made where they are compared."""
         some = scratch.cut(sigs.select("lid", "chk").join(wanted, F.col("lid") == F.col("item"), "left_semi"))
         held = pass_filter(lines_of(docs, key, text).select("lid", "chk", "line"), key_filter(some, "lid"), "lid").dropDuplicates(["lid", "chk"])
-        lines.append(scratch.cut(held.join(some, ["lid", "chk"], "left_semi").select("lid", "line")))
-        minima = hashed(lines[0], "lid").groupBy("lid").agg(*least(MORE, ORDER * ORDER, 33))
-        return scratch.cut(minima.select(F.col("lid").alias("item"), F.array(*[F.col(f"m{i}").cast("int") for i in range(MORE)]).alias("v")))
-
-    def agree(a: str, b: str) -> Column:
-        return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) >= AGREE
+        lines = scratch.cut(held.join(some, ["lid", "chk"], "left_semi").select("lid", "line"))
+        minima = hashed(lines, "lid").groupBy("lid").agg(*least(MORE, ORDER * ORDER, 33))
+        minima = minima.select("lid", F.array(*[F.col(f"m{i}").cast("int") for i in range(MORE)]).alias("sig"))
+        return scratch.cut(lines.join(minima, "lid").select(F.col("lid").alias("item"), F.struct("line", "sig").alias("v")))
 
-    def exact(pairs: DataFrame) -> DataFrame:
-        """A line is several times smaller than its set, so sets are made where they are compared."""
-        a, b = (lines[0].select(F.col("lid").alias(n), F.col("line").alias(f"v{n}")) for n in "ab")
-        both = with_set(with_set(pairs.join(a, "a").join(b, "b"), "va"), "vb")
-        return scratch.cut(both.where(alike("va", "vb", similarity)).select("a", "b"))
+    def near(a: str, b: str) -> Column:
+        agree = F.size(F.filter(F.zip_with(F.col(f"{a}.sig"), F.col(f"{b}.sig"), lambda x, y: x == y), lambda same: same))
+        return (agree >= AGREE) & alike(shingles(F.col(f"{a}.line")), shingles(F.col(f"{b}.line")), similarity)
 
     bands = ORDER * (ORDER + 1)
     parts = [sigs.select(F.explode(F.slice("keys", at, BANDS_AT_ONCE)).alias("key"), F.col("lid").alias("item")) for at in range(1, bands + 1, BANDS_AT_ONCE)]
-    linked = link_by_keys(parts, agree, scratch, second, exact)
+    linked = link_by_keys(parts, near, scratch, wanted_lines)
     of = sigs.select("lid", "chk", "n").join(linked, F.col("lid") == F.col("node"), "left")
     return of.where("n > 1 or component is not null").select("lid", "chk", F.coalesce("component", "lid").alias("component"))
 
