@@ -32,14 +32,27 @@ def unextracted(sources: DataFrame, books: DataFrame, stem: str = "stem", slug:
 
 
 # The sentences of the actions.
-def next_actions(books: DataFrame, n_unextracted: int, synthesis: str) -> DataFrame:
-    """Rows (ord, action) in the order of the pipeline, from books (slug, state, notes)."""
-    wait = books.where("state = 'in-progress'").select(F.lit(1).alias("ord"), "slug", F.format_string("wait: %s looks like a study run still in progress (%d notes so far). Do not restart it.", "slug", F.col("notes")).alias("action"))
-    why = F.when(F.col("state") == "notes-only", "notes exist but no brief, so the run was interrupted").otherwise("extracted but never studied")
-    study = books.where("state not in ('studied', 'in-progress')").select(F.lit(2).alias("ord"), "slug", F.format_string("run study on %s (%s)", "slug", why).alias("action"))
-    todo = wait.unionByName(study)
-    if n_unextracted:
-        return todo
-    done = books.agg(F.count_if(F.col("state") != "studied").alias("open"), F.count_if(F.col("state") == "studied").alias("studied")).where("open = 0")
-    last = F.when((F.col("studied") > 1) & F.lit(synthesis == "missing"), "run synthesis, every book is studied").when(F.lit(synthesis == "stale"), "rerun synthesis, the notes changed after it last ran").otherwise("the topic is ready")
-    return todo.unionByName(done.select(F.lit(3).alias("ord"), F.lit("").alias("slug"), last.alias("action")))
+EXTRACT = "study the %d book(s) not yet extracted: %s"
+WAIT = "wait: %s looks like a study run still in progress (%d notes so far). Do not restart it."
+STUDY, INTERRUPTED, NEVER = "run study on %s (%s)", "notes exist but no brief, so the run was interrupted", "extracted but never studied"
+SYNTHESIZE, AGAIN, READY = "run synthesis, every book is studied", "rerun synthesis, the notes changed after it last ran", "the topic is ready"
+
+
+def next_actions(books: DataFrame, missing: DataFrame | None = None, synthesis: str | DataFrame = "missing") -> DataFrame:
+    """Rows (ord, slug, action) in the order of the pipeline.
+
+    books are (slug, state, notes), missing the sources (stem) not yet extracted, synthesis its state or a row (synthesis) with it.
+    Only where nothing is left to extract, to wait for or to study does the last step come.
+    """
+    spark = books.sparkSession
+    left = missing.select("stem") if missing is not None else spark.createDataFrame([], "stem string")
+    state = synthesis if isinstance(synthesis, DataFrame) else spark.createDataFrame([(synthesis,)], "synthesis string")
+    names = left.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("stem")), ", ").alias("names"))
+    extract = names.where("n > 0").select(F.lit(0).alias("ord"), F.lit("").alias("slug"), F.format_string(EXTRACT, "n", "names").alias("action"))
+    wait = books.where("state = 'in-progress'").select(F.lit(1).alias("ord"), "slug", F.format_string(WAIT, "slug", F.col("notes")).alias("action"))
+    why = F.when(F.col("state") == "notes-only", INTERRUPTED).otherwise(NEVER)
+    study = books.where("state not in ('studied', 'in-progress')").select(F.lit(2).alias("ord"), "slug", F.format_string(STUDY, "slug", why).alias("action"))
+    # one row each: how many books are open and studied, what is left to extract, the synthesis
+    done = books.agg(F.count_if(F.col("state") != "studied").alias("open"), F.count_if(F.col("state") == "studied").alias("studied")).crossJoin(F.broadcast(names)).crossJoin(F.broadcast(state)).where("open = 0 and n = 0")
+    last = F.when((F.col("studied") > 1) & (F.col("synthesis") == "missing"), SYNTHESIZE).when(F.col("synthesis") == "stale", AGAIN).otherwise(READY)
+    return extract.unionByName(wait).unionByName(study).unionByName(done.select(F.lit(3).alias("ord"), F.lit("").alias("slug"), last.alias("action")))

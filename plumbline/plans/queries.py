@@ -521,18 +521,40 @@ def status_states(spark, d):
 @query(_status + """SELECT 1 AS ord, slug, 'wait: ' || slug || ' looks like a study run still in progress (' || CAST(notes AS VARCHAR) || ' notes so far). Do not restart it.' AS action FROM s WHERE state = 'in-progress'
 UNION ALL SELECT 2, slug, 'run study on ' || slug || CASE state WHEN 'notes-only' THEN ' (notes exist but no brief, so the run was interrupted)' ELSE ' (extracted but never studied)' END FROM s WHERE state IN ('extracted', 'notes-only')""")
 def next_actions(spark, d):
-    return ST.next_actions(book_status(spark, d), 0, "missing")
+    return ST.next_actions(book_status(spark, d))
 
 
-@query("""WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(split_part(url, '?', 1), '#.*$', ''), '^.*://', '') AS stem FROM pages), b AS (SELECT DISTINCT 'example.' || x AS slug FROM (VALUES ('com/de'), ('com/fr'), ('net/en'), ('org')) v(x))
-SELECT stem FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE contains(stem, slug))""")
+_unextracted = """WITH p AS (SELECT DISTINCT regexp_replace(regexp_replace(split_part(url, '?', 1), '#.*$', ''), '^.*://', '') AS stem FROM pages), b AS (SELECT DISTINCT 'example.' || x AS slug FROM (VALUES ('com/de'), ('com/fr'), ('net/en'), ('org')) v(x))
+SELECT stem FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE contains(stem, slug))"""
+
+
+@query(_unextracted)
 def unextracted_anti(spark, d):
+    return unextracted(spark, d)
+
+
+def unextracted(spark, d) -> DataFrame:
     stem = F.regexp_replace(F.regexp_replace(F.split_part("url", F.lit("?"), F.lit(1)), "#.*$", ""), "^.*://", "")
     src = table(spark, d, "pages").select(stem.alias("stem")).distinct()
     b = spark.createDataFrame([(f"example.{x}",) for x in ("com/de", "com/fr", "net/en", "org")], "slug string")
     return ST.unextracted(src, b)
 
 
+@query(_status + """, g AS (SELECT d.source, max(s.mtime) AS newest FROM s JOIN documents d ON s.doc_id = d.doc_id WHERE s.state = 'studied' GROUP BY d.source)
+SELECT CASE WHEN min(newest) < max(newest) THEN 'rerun synthesis, the notes changed after it last ran' ELSE 'the topic is ready' END AS action FROM g""")
+def next_actions_studied(spark, d):
+    """The last step of a topic whose books are the studied ones, its synthesis as old as the source whose notes are oldest."""
+    s = book_status(spark, d).where("state = 'studied'")
+    per = s.withColumn("source", F.regexp_extract("slug", "^(.*)-", 1)).groupBy("source").agg(F.max("notes_mtime").alias("newest"))
+    state = per.agg(F.min("newest").alias("m"), F.max("newest").alias("newest")).select(ST.synthesis_state(F.col("m"), F.col("newest")).alias("synthesis"))
+    return ST.next_actions(s, synthesis=state).select("action")
+
+
+@query(f"SELECT 'study the ' || count(*) || ' book(s) not yet extracted: ' || string_agg(stem, ', ' ORDER BY stem) AS action FROM ({_unextracted})")
+def next_actions_unextracted(spark, d):
+    return ST.next_actions(book_status(spark, d), unextracted(spark, d)).where("ord = 0").select("action")
+
+
 @query("""SELECT d.doc_id, CASE WHEN doc_id % 4 = 0 THEN 'missing' WHEN doc_id % 50 < 25 THEN 'stale' ELSE 'current' END AS synthesis FROM documents d""")
 def synthesis_states(spark, d):
     m = F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 50)

@@ -156,8 +156,14 @@ def test_status_and_pages(spark):
     b = spark.createDataFrame([("a", 0, False, 0), ("b", 3, True, 0), ("c", 3, False, 1000 - 899), ("d", 3, False, 1000 - 900)], "slug string, notes long, brief boolean, notes_mtime long")
     s = ST.states(b, F.lit(1000))
     assert {r.slug: r.state for r in s.collect()} == {"a": "extracted", "b": "studied", "c": "in-progress", "d": "notes-only"}
-    assert [r.ord for r in ST.next_actions(s, 0, "missing").orderBy("ord", "slug").collect()] == [1, 2, 2]
-    assert ST.next_actions(s.where("slug = 'b'"), 0, "stale").first().action.startswith("rerun")
+    assert [r.ord for r in ST.next_actions(s).orderBy("ord", "slug").collect()] == [1, 2, 2]
+    done = s.where("slug = 'b'")
+    last = lambda *a: [r.action for r in ST.next_actions(*a).collect()]
+    assert last(done, None, "stale") == [ST.AGAIN] and last(done) == [ST.READY] and last(done.unionByName(done)) == [ST.SYNTHESIZE]
+    more = spark.createDataFrame([("y.pdf",), ("x.pdf",)], "stem string")
+    assert last(done, more, "stale") == [ST.EXTRACT % (2, "x.pdf, y.pdf")]
+    stems = spark.createDataFrame([("a-book",), ("my a",), ("zzz",), ("",), (None,)], "stem string")
+    assert sorted(str(r.stem) for r in ST.unextracted(stems, s).collect()) == ["", "None", "zzz"]
     get = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert get(P.parse_pages(F.lit("4,12,,40-44,12"))) == [4, 12, 40, 41, 42, 43, 44]
     assert get(P.evenly_spaced(F.lit(10), F.lit(3))) == [1, 4, 7]
