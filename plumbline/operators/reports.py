@@ -83,7 +83,7 @@ def extraction_markdown(scored: DataFrame, books: DataFrame, book: str = "slug")
 
 # The sentences of a rendered document.
 HEAD = "# Notes\n\nGenerated from `notes.jsonl`. Do not edit by hand.\n\n"
-UNVERIFIED = "**%s of these carry no verification record.** Run `tv_verify.py` and the stage 2 and 3 checks before relying on them.\n\n"
+UNVERIFIED = "**%s of these carry no verification record.** Run the verification and the checks of stages 2 and 3 before relying on them.\n\n"
 DROPPED = "## Dropped\n\n%s claim(s) failed verification and were removed. See `REJECTED.jsonl` for the reasons. A cluster of drops in one chapter usually means an extraction problem, not an author problem.\n"
 
 
