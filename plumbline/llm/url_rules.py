@@ -1,6 +1,6 @@
 """URL filters from association rules, in DataFrame and ML operations only.
 
-Spark's FP-growth mines token combinations of the bad labelled urls, of MIN_COUNT urls or more; a combination
+Spark's FP-growth mines token combinations of the labelled urls, of MIN_COUNT bad ones or more; a combination
 is a rule when its confidence, the share of bad urls among all labelled ones that hold it, is MIN_LIFT times the
 share of bad urls overall, and its lower Wilson bound lies above that share, so that few urls prove nothing. An
 inverted index from token to rule finds the rules that a url holds whole. Hand-written host and path rules come
@@ -32,6 +32,7 @@ RULES = (
 )
 #: Bad labelled urls that hold a rule's tokens, at least; its confidence over the share of bad urls, at least; standard errors of the Wilson bound.
 MIN_COUNT, MIN_LIFT, WILSON_Z = 5, 1.5, 1.645
+BAD = "@bad"
 
 
 def with_host_path(df: DataFrame, url: str = "url") -> DataFrame:
@@ -84,13 +85,20 @@ def mine(labelled: DataFrame, scratch: Scratch, min_count: int = MIN_COUNT, min_
         return nothing
     held = rows.select("rid", "bad", F.explode("tokens").alias("token")).join(items, "token").groupBy("rid", "bad").agg(F.sort_array(F.collect_set("item")).alias("items"))
     held = scratch.cut(held)
-    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / n_bad).fit(held.where("bad").select("items"))
-    sets = scratch.cut(model.freqItemsets.where(F.col("freq") >= min_count).select(F.xxhash64(F.array_sort("items")).alias("rule_id"), F.array_sort("items").alias("items"), F.col("freq").alias("bad")))
-    all_ = matches(held.select("rid", "items"), sets, "rid").groupBy("rule_id").agg(F.count("*").alias("seen"))
+    marked = held.select(F.when(F.col("bad"), F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=(min_count - 0.5) / held.count()).fit(marked)
+    sets = scratch.cut(model.freqItemsets)
+    # a combination's urls, and the bad ones among them, are two of the sets that were mined
+    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("bad"))
+    all_ = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("items"), F.col("freq").alias("seen"))
     p, m, z2 = F.col("bad") / F.col("seen"), F.col("seen"), WILSON_Z**2
     lower = (p + z2 / (2 * m) - WILSON_Z * F.sqrt(p * (1 - p) / m + z2 / (4 * m * m))) / (1 + z2 / m)
     share = n_bad / n
-    return items, scratch.cut(sets.join(all_, "rule_id").where((p >= min_lift * share) & (lower > share)).select("rule_id", "items", "bad", "seen"))
+    rules = scratch.cut(bad.join(all_, "items").where((F.col("bad") >= min_count) & (p >= min_lift * share) & (lower > share)))
+    # a rule that holds another one, less an item, adds nothing to it
+    fewer = rules.select("items", F.explode(F.transform("items", lambda x: F.array_remove("items", x))).alias("sub"))
+    more = fewer.join(rules.select(F.col("items").alias("sub")), "sub", "left_semi").select("items").distinct()
+    return items, scratch.cut(rules.join(more, "items", "left_anti").select(F.xxhash64("items").alias("rule_id"), "items", "bad", "seen"))
 
 
 def matches(rows: DataFrame, rules: DataFrame, key: str) -> DataFrame:
