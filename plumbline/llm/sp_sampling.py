@@ -34,7 +34,7 @@ from itertools import chain, repeat
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import ship, table
+from plumbline.llm.common import remembered, ship, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, ALPHA, OFFSET, SEED = 2, 0.5, 10, "sp-2"
@@ -439,11 +439,9 @@ def spread(x):
     return x ^ (x >> np.uint64(31))
 
 
-def remembered(model: str, alpha: float, pieces: list[str]) -> Lattice:
+def lattice_of(model: str, alpha: float, pieces: list[str]) -> Lattice:
     """A worker process keeps its lattice from task to task; what is in it changes no draw."""
-    import sys
-
-    kept = sys.__dict__.setdefault("_plumbline_lattices", {})
+    kept = remembered()
     if (model, alpha) not in kept:
         kept.clear()
         kept[model, alpha] = Lattice(pieces, alpha)
@@ -467,7 +465,7 @@ def encode_samples(docs: DataFrame, key: str = "doc_id", text: str = "text", sam
         import pyarrow as pa
         from xxhash import xxh64_intdigest
 
-        lattice = remembered(model, alpha, pieces.value)
+        lattice = lattice_of(model, alpha, pieces.value)
         for b in batches:
             for at in range(0, b.num_rows, SOLVED):
                 part = b.slice(at, SOLVED)

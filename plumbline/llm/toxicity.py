@@ -27,7 +27,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import LOWER, UPPER, Sealed, ascii_lower, ship, table
+from plumbline.llm.common import LOWER, UPPER, Sealed, ascii_lower, forget, ship, table
 
 SAMPLE, MIN_Z, MIN_DOCS = 20_000, 5.0, 3
 HELD, CLEAN_LEFT = 0.2, 0.002
@@ -123,6 +123,7 @@ def fit_rows(rows: DataFrame, markers: list[str]) -> Model:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget()
         for b in batches:
             got = [features(t.as_py(), at) for t in b.column(0)]
             lists = [pa.array([list(f(g)) for g in got], pa.list_(pa.int32())) for f in (dict.keys, dict.values)]
@@ -152,25 +153,27 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     if not model.markers:
         return sealed.open(sealed.rows, **zero)
     at, weights, thresholds = {w: i for i, w in enumerate(model.markers)}, model.weights, model.thresholds
-    from pyspark.sql.functions import pandas_udf
+    import pyarrow as pa
+
+    kinds = {"severity": "double", "p_toxic": "double", "n_markers": "long"}
 
     def run(texts):
         import math
 
-        import pandas as pd
+        import pyarrow as pa
 
+        forget()
         out = []
-        for t in texts:
-            f = features(t, at)
+        for t in texts:  # one text at a time is a Python string
+            f = features(t.as_py(), at)
             z = sum(weights[i] * math.log1p(n) for i, n in sorted(f.items()))
             above = [1 / (1 + math.exp(min(max(th - z, -35), 35))) for th in thresholds]
             out.append((sum(above), above[-1], sum(f.values())))
-        return pd.DataFrame(out, columns=["severity", "p_toxic", "n_markers"])
-
-    import pandas as pd
+        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.float64(), pa.float64(), pa.int64()))]
+        return pa.StructArray.from_arrays(columns, list(kinds))
 
-    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    udf = pandas_udf(run, "severity double, p_toxic double, n_markers long")
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    udf = F.arrow_udf(run, ", ".join(f"{c} {kind}" for c, kind in kinds.items()))
     return sealed.open(sealed.rows.withColumn("_tox", udf(F.col(sealed[text]))), **{c: F.col(f"_tox.{c}") for c in zero})
 
 

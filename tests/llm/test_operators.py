@@ -3,14 +3,16 @@
 import hashlib
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import embed_dedup, license_scan, line_dedup, lsm_dedup, mixing, queries, simhash, sp_sampling, substring_dedup, toxicity, url_rules
+from plumbline.llm import common, embed_dedup, license_scan, line_dedup, lsm_dedup, mixing, queries, simhash, sp_sampling, substring_dedup, toxicity, url_rules
 from plumbline.llm.common import Scratch, components, global_rank, key_filter, link_by_keys, lookup_join, pass_filter
 from tests.conftest import SF
 
@@ -374,6 +376,22 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, model).count() == 0 and not toxicity.train(df, labels.where("false")).markers
 
 
+def test_toxicity_holds_little_in_a_worker(spark, monkeypatch):
+    """A worker makes strings of one text at a time, and frees what another operator's task left in it."""
+    real, made = F.arrow_udf, []
+    monkeypatch.setattr(F, "arrow_udf", lambda f, kind: made.append(f) or real(f, kind))
+    one = spark.createDataFrame([(1, "a vile text"), (2, None)], "doc_id long, text string")
+    rows = toxicity.score(one, toxicity.Model(["vile"], [2.0], [0.0, 1.0])).orderBy("doc_id").collect()
+    assert [r.n_markers for r in rows] == [1, 0] and rows[0].severity > rows[1].severity
+    texts = pa.array(["vile " + "x" * 20_000] * 1_000 + [None])
+    common.remembered()["left"] = "by another"
+    tracemalloc.start()
+    out = made[0](texts).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r["n_markers"] for r in out] == [1] * 1_000 + [0] and peak < texts.nbytes / 10 and not common.remembered()
+
+
 def test_ordinal_fit_finds_its_own_parameters():
     rng = np.random.default_rng(1)
     n, m, w, th = 6000, 5, np.array([1.5, -1.0, 0.5, 0.0, 2.0]), np.array([0.5, 2.0])
