@@ -262,6 +262,28 @@ def test_line_dedup_compares_whole_lines(spark):
     assert gone == {i for i, c in enumerate(comp) if c != i} == {5, 6, 8, 10, 12}
 
 
+def test_line_comparison_is_cheap_and_loses_nothing(spark):
+    """Shingles are hashed many in a row, minima are those of all places, and bitmaps refuse no pair that is alike."""
+    rng, lines = random.Random(5), []
+    for n in (1, 11, 12, 13, 27, 28, 60, 300, 4000):
+        x = "".join(rng.choice("abcde é漢") for _ in range(n))
+        lines += [x, x + "q" * (n // 8), x[: n // 3] + "Z" + x[n // 3 + 1 :], x[n // 7 :], "".join(rng.choice("abcde") for _ in range(n))]
+    lines.append("ab" * 200)
+    df = spark.createDataFrame(list(enumerate(lines)), "lid long, line string")
+    rows = line_dedup.hashed(df, "lid")
+    assert {r.lid: r["count"] for r in rows.groupBy("lid").count().collect()} == {i: max(1, -(-(len(x) - 11) // line_dedup.AT_ONCE)) for i, x in enumerate(lines)}
+    hs = {r.lid: r.hs for r in df.select("lid", line_dedup.shingles(F.col("line")).alias("hs")).collect()}
+    assert all(len(hs[i]) == max(1, len(x) - 11) and len(set(hs[i])) == len(line_set(x)) for i, x in enumerate(lines))
+    for r in rows.groupBy("lid").agg(*line_dedup.least(16, 24)).collect():
+        assert list(r[1:]) == [min((h ^ c) % 2**64 for h in hs[r.lid]) >> 24 for c in line_dedup._constants(16)]
+    v = df.withColumn("n", F.size(F.array_distinct(line_dedup.shingles(F.col("line"))))).join(line_dedup.bitmaps(df), "lid")
+    v = v.select("lid", F.struct(*v.columns[1:]).alias("v"))
+    pairs = v.toDF("a", "va").crossJoin(v.toDF("b", "vb")).select("a", "b", line_dedup.may_be_alike("va", "vb", 0.8).alias("may"), line_dedup.lines_alike("va", "vb", 0.8).alias("alike")).collect()
+    sets = [line_set(x) for x in lines]
+    assert all(r.alike == (len(sets[r.a] & sets[r.b]) >= 0.8 * len(sets[r.a] | sets[r.b])) for r in pairs)
+    assert all(r.may for r in pairs if r.alike) and sum(r.may for r in pairs) < 1.2 * sum(r.alike for r in pairs) < len(pairs) / 8
+
+
 def test_line_dedup_keeps_clashing_columns(spark):
     names = ["_n_lines", "_removed", "_lines", "_row", "_maybe", "_f", "_gone", "__0", "id", "line"]
     df = spark.createDataFrame([(1, "a b c\nd", *names), (2, "a b c", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
