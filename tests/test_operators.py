@@ -132,6 +132,39 @@ def test_search(spark):
     assert len(total) == 2 and {r.total for r in total} == {found.count()}
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_not_read_for_each_of_its_lines_or_hits(spark):
+    text = "ab\n" * 700 + "cat"
+    df = spark.createDataFrame([(1, text), (2, ""), (3, "x"), (4, "\n😀b\n")], "doc_id int, text string")
+    seg = V.line_segments(df)
+    assert [(r.doc_id, r.pos, r.start, r.end) for r in seg.where("doc_id > 1").orderBy("doc_id", "pos").collect()] == [(2, 1, 0, 0), (3, 1, 0, 1), (4, 1, 0, 1), (4, 2, 1, 4), (4, 3, 4, 4)]
+    assert [(r.start, r.end) for r in seg.where("doc_id = 1").orderBy("pos").collect()] == [(3 * i, 3 * i + 3) for i in range(701)]
+    # what stands above the rows of lines or hits must not use the whole text
+    assert all("text" not in line for line in plan(seg).split("Generate")[0].splitlines())
+    hits = S.hits(df, ["ab", "cat"])
+    assert hits.count() == 76 and hits.where("term = 'cat'").first().offset == 2100
+    assert all("_text" not in x.split("[")[1] for x in plan(hits).splitlines() if "Generate explode" in x and "decode" in x)
+    assert "posexplode" not in plan(hits)
+
+
+def test_offsets_meet_segments_of_their_stretch_alone(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    seg = [(b, i, f"s{i}", a, a + rng.choice([0, 1, 50, 3000])) for b in (1, 2) for i, a in enumerate(sorted(rng.randrange(9000) for _ in range(40)))]
+    off = [(b, o) for b in (1, 2, 3) for o in [*(rng.randrange(12000) for _ in range(60)), 0, 1023, 1024, 8999]] + [(1, None)]
+    want = {(b, o, next((s[2] for s in seg if o is not None and s[0] == b and s[3] <= o < s[4]), None)) for b, o in off}
+    at, segments = spark.createDataFrame(off, "doc_id int, found_at int"), spark.createDataFrame(seg, "doc_id int, pos int, label string, start int, end int")
+    got = V.locate(at, segments)
+    assert {(r.doc_id, r.found_at, r.label) for r in got.collect()} == want
+    assert "explode(sequence" in plan(got)
+    monkeypatch.setattr(V, "STRETCH", 7)
+    assert {(r.doc_id, r.found_at, r.label) for r in V.locate(at, segments).collect()} == want
+
+
 def test_html(spark):
     html = '<html><head><title>no</title><script>var a = "</p>";</script></head><body><h1>7</h1><h2>Name &amp; co</h2><p>One<br>two</p><!-- x --></body></html>'
     r = spark.createDataFrame([(html,)], "h string").select(T.html_text(F.col("h")).alias("t"), T.html_title(F.col("h")).alias("n")).first()
