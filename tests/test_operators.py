@@ -73,6 +73,16 @@ def test_verification_record(spark):
     assert rep["b"].counts == {"FAIL": 3, "FIGURE": 1, "LOCATOR_MISMATCH": 2, "PASS": 3}
 
 
+def test_report_reads_the_records_once(spark):
+    rows = [("b", "n2", "FAIL", None), ("b", "n1", "PASS", "PUNCT"), ("b", "n1", "PASS", "PUNCT"), ("b", None, "PASS", "EXACT"), ("c", None, "FAIL", None), ("d", "n1", "PASS", "NORMALIZED")]
+    r = spark.createDataFrame(rows, "slug string, id string, status string, level string")
+    got = lambda strict: {x.slug: (x.notes, x.counts, x.levels, x.must_drop, x.ok) for x in V.report(r, strict=strict).collect()}
+    none = {"EXACT": 0, "NORMALIZED": 0, "PUNCT": 0}
+    b, c, d = (4, {"FAIL": 1, "PASS": 3}, {**none, "EXACT": 1, "PUNCT": 2}), (1, {"FAIL": 1}, none, [], False), (1, {"PASS": 1}, {**none, "NORMALIZED": 1}, [], True)
+    assert got(False) == {"b": (*b, ["n2"], False), "c": c, "d": d} and got(True) == {"b": (*b, ["n1", "n2"], False), "c": c, "d": d}
+    assert plan(V.report(r, strict=True)).count("LogicalRDD") == 1
+
+
 def test_locate_and_mismatch(spark):
     books = spark.createDataFrame([(1, "ab\ncd\n\nx")], "doc_id int, text string")
     seg = V.line_segments(books)
