@@ -104,6 +104,16 @@ def test_quality(spark):
     assert [r.label for r in Q.excluded(Q.verdicts(m, "book"), "book", "pos").orderBy("rank").collect()] == ["p.3", "p.4", "p.6", "p.2"]
 
 
+def test_sections_are_scored_once_for_a_report(spark):
+    from plumbline.operators import reports as R
+
+    sec = spark.createDataFrame([("b", 1, "p.1", "word " * 40, False), ("b", 2, "p.2", "x", True), ("b", 3, "p.3", "ab" * 40, True)], "slug string, pos int, label string, body string, has_figure boolean")
+    known = spark.range(1).select(F.lit("b").alias("slug"), F.lit("native").alias("provenance"), F.lit(300).alias("total_chars"))
+    r = R.extraction(Q.metrics(sec), known)
+    assert [(x.sections, x.ok, x.garbled, x.visual, x.image_only_labels, x.excluded, x.passes) for x in r.collect()] == [(3, 1, 1, ["p.2", "p.3"], ["p.2"], ["p.3"], False)]
+    assert plan(r).count("LogicalRDD") == 1
+
+
 def brute_hits(books, terms):
     out, seen = [], set()
     for b, text in books:
